@@ -65,8 +65,8 @@ def crosstab(df: DataFrame, row: str, row_values: list, col: str, col_values: li
     """Full grid of counts, zeros included; value lists are the grid."""
     counts = df.groupBy(row).pivot(col, col_values).agg(F.count(F.lit(1)))
     dtype = df.schema[row].dataType
-    grid = (df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(v) for v in row_values])).cast(dtype).alias(row)))
+    grid = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(v).cast(dtype) for v in row_values])).alias(row))
     return grid.join(counts, row, "left").select(
         row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(f"{prefix}{v}")
                for v in col_values])

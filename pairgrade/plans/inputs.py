@@ -76,3 +76,56 @@ class Inputs:
     def pairs(self) -> DataFrame:
         from pairgrade.operators import pairs
         return pairs.keep_first_pair(self.labelled, "id1", "id2", "ingest_pos", {"y": "tier"})
+
+    @property
+    def raw_attrs(self) -> DataFrame:
+        return self._sql("v_raw_attrs", "lineitem")
+
+    @property
+    def sets(self) -> DataFrame:
+        from pairgrade.operators import features
+        return features.entity_sets(self.attrs)
+
+    @property
+    def fps(self) -> DataFrame:
+        from pairgrade.operators import features
+        return features.fingerprints(self.bits)
+
+    @property
+    def docs(self) -> DataFrame:
+        """Nested entity documents built row by row from the part table."""
+        return self._sql_expr_docs()
+
+    def _sql_expr_docs(self) -> DataFrame:
+        return self.spark.sql("""
+          select concat('E', lpad(cast(p_partkey as string), 7, '0')) as entity_id,
+            case when p_type in ('ECONOMY', 'STANDARD') then 'biotech' else 'small molecule' end as kind,
+            p_name as name,
+            array(concat(' ', p_brand, ' '), '', p_name, p_type, case when p_size % 5 = 0 then concat('红', p_brand) end) as synonyms,
+            array(p_brand, concat(p_type, '\t'), case when p_size % 7 = 0 then concat(p_name, '绿') end) as brands,
+            filter(sequence(1, 4), k -> k <= p_size % 4) as code_no,
+            transform(filter(sequence(1, 4), k -> k <= p_size % 4), k -> concat(p_brand, '.', cast(k as string))) as codes,
+            case when p_size % 4 = 0 then p_type end as inline_value,
+            transform(sequence(0, 3), k -> named_struct(
+              'target', case when (p_partkey + k) % 5 <> 0 then concat('E', lpad(cast((p_partkey * 3 + k * 7) % n_ent as string), 7, '0')) end,
+              'description', case when (p_partkey + k) % 3 <> 0 then concat(p_name, ' affects ', cast(k as string)) end)) as interactions
+          from (select *, (select count(*) from {part}) as n_ent from {part})""", part=self.table("part"))
+
+    @property
+    def sealed(self) -> DataFrame:
+        from pairgrade.operators import splits
+        return splits.sealed_and_folds(self.pairs, "y", ["a", "b"], 42)
+
+    SEEDS = (42, 123, 2024)
+
+    def cold(self, pairs: DataFrame | None = None) -> DataFrame:
+        from pairgrade.operators import pairs as P, splits
+        pairs = self.pairs if pairs is None else pairs
+        held = splits.held_out_entities(P.entity_universe(pairs), self.SEEDS)
+        return splits.cold_start_split(pairs, held, self.SEEDS)
+
+    @property
+    def runs(self) -> DataFrame:
+        """Predictions with the probability array the operators expect."""
+        total = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3") + F.col("w4")
+        return self.preds.withColumn("p", F.array(*[F.col(f"w{c}") / total for c in range(5)]))

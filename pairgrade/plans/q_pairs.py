@@ -84,7 +84,7 @@ def _(src):
     "with old as (select cast(case when substr(md5(concat_ws('|', 'old', a, b)), 1, 1) < '4' then 2 else y end as bigint) as old_y, y from v_pairs),",
     "g as (select cast(unnest([0, 1, 2, 3, 4]) as bigint) as old_y)",
     "select g.old_y, " + ", ".join(
-        f"cast(count_if(o.y = {k}) as bigint) as new_{k}" for k in range(5)),
+        f"count(*) filter (where o.y = {k}) as new_{k}" for k in range(5)),
     "from g left join old o on g.old_y = o.old_y group by g.old_y"]))
 def _(src):
     old = src.pairs.withColumn("old_y", F.when(

@@ -112,3 +112,65 @@ select a, b, y from (
   from v_labelled) where rn = 1"""
 
 VIEWS["v_entities"] = f"select {_ENT.format('p_partkey')} as entity_id, p_name as name from part"
+
+# Messy long attributes (case, blanks, missing) for the ingest aggregation.
+VIEWS["v_raw_attrs"] = f"""
+select {_ENT.format('l_partkey')} as entity_id,
+  case l_linenumber % 3 when 0 then 'enzyme' when 1 then 'transporter' else 'target' end as kind,
+  case when l_suppkey % 11 = 0 then null when l_suppkey % 11 = 1 then '  ' else concat(' Protein ', cast(l_suppkey % 40 as string), ' ') end as name,
+  case when l_linenumber = 7 then null when l_linenumber = 6 then ' ' when l_returnflag = 'A' then ' Substrate' when l_returnflag = 'N' then 'INHIBITOR ' else 'inducer' end as action
+from lineitem"""
+
+# Oracle-side only: decoded attributes, per-entity sets, fingerprints.
+VIEWS["v_attr_enc"] = """
+with g as (select entity_id, kind, name, list_sort(list(distinct action) filter (where action is not null)) as acts from v_attrs group by 1, 2, 3)
+select entity_id, kind, string_agg(case when acts is null or len(acts) = 0 then name else name || ':' || array_to_string(acts, ',') end, '|' order by name) as encoded
+from g group by 1, 2"""
+
+
+def _set(cond: str, name: str) -> str:
+    return f"coalesce(list_sort(list(distinct name) filter (where {cond})), []) as {name}"
+
+
+_SET_COLS = []
+for _k, _acts in (("enzyme", ("substrate", "inhibitor", "inducer")),
+                  ("transporter", ("substrate", "inhibitor", "inducer")),
+                  ("target", ("agonist", "antagonist", "inhibitor"))):
+    for _a in _acts:
+        _SET_COLS.append(_set(f"kind = '{_k}' and action = '{_a}'", f"{_k}_{_a}"))
+    _SET_COLS.append(_set(f"kind = '{_k}'", f"{_k}_all"))
+for _w in ("substrate", "inhibitor", "inducer"):
+    _SET_COLS.append(_set(f"kind = 'enzyme' and name like 'Cytochrome P450%' and action = '{_w}'", f"cyp_{_w}"))
+_SET_COLS.append(_set("kind = 'enzyme' and name like 'Cytochrome P450%'", "cyp_all"))
+VIEWS["v_sets"] = f"select entity_id, {', '.join(_SET_COLS)} from v_attrs group by entity_id"
+VIEWS["v_fp"] = "select entity_id, list_sort(list(distinct bit)) as bits from v_bits group by entity_id"
+
+
+def _quota(src: str, take: str) -> str:
+    """Largest-remainder quotas per class over ``src(y)``; ``take`` uses n_all."""
+    return f"""
+with c as (select y, count(*) as n from {src} group by y),
+t as (select y, n, sum(n) over () as n_all from c),
+u as (select y, n, n_all, cast({take} as bigint) as take from t),
+q as (select y, n, n_all, take, (n * take) // n_all as base, (n * take) % n_all as rem from u),
+r as (select *, row_number() over (order by rem desc, y) as k, take - sum(base) over () as short from q)
+select y, n, cast(base + case when k <= short then 1 else 0 end as bigint) as quota from r"""
+
+
+VIEWS["v_quota20"] = _quota("v_pairs", "(n_all + 4) // 5")
+VIEWS["v_sealed"] = """
+with q as (select *, coalesce(sum(n - quota) over (order by y rows between unbounded preceding and 1 preceding), 0) as before from v_quota20),
+r as (select p.a, p.b, p.y, row_number() over (partition by p.y order by md5(concat_ws('|', '42', p.a, p.b)), p.a, p.b) as rn from v_pairs p)
+select r.a, r.b, r.y, cast(case when rn <= quota then 1 else 0 end as bigint) as sealed_test,
+  cast(case when rn <= quota then -1 else (rn - quota - 1 + before) % 5 + 1 end as bigint) as fold
+from r join q on r.y = q.y"""
+VIEWS["v_universe"] = "select a as entity_id from v_pairs union select b as entity_id from v_pairs"
+VIEWS["v_held"] = """
+with s as (select unnest([42, 123, 2024]) as seed),
+r as (select s.seed, u.entity_id, row_number() over (partition by s.seed order by md5(concat_ws('|', cast(s.seed as string), u.entity_id)), u.entity_id) as rn,
+  count(*) over (partition by s.seed) as n from s, v_universe u)
+select cast(seed as bigint) as seed, entity_id, rn <= (2 * n + 5) // 10 as held_out from r"""
+VIEWS["v_cold"] = """
+select s.seed, p.a, p.b, p.y, case when x.held_out and z.held_out then 'S2' when x.held_out or z.held_out then 'S1' else 'KK' end as part
+from v_pairs p join v_held x on p.a = x.entity_id join v_held z on p.b = z.entity_id and x.seed = z.seed
+join (select distinct seed from v_held) s on s.seed = x.seed"""
