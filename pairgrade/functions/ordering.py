@@ -137,3 +137,67 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, bucket: Colum
     return g.select(*keys, *[
         (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n)
         for n in names])
+
+
+def flag_first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+                 k, name: str) -> DataFrame:
+    """Flag the ``k`` smallest rows of each group, without ranking the others.
+
+    The bucket that holds the k-th row is found from counts; only that bucket
+    is sorted to get the k-th row itself, and every row is then compared with
+    it.  The rows are never shuffled.  ``k`` is a function of the group size
+    or a DataFrame (keys..., quota).
+
+    Groups must be experiment dimensions (class, seed, run, repeat): the cut
+    table has one row per group and is broadcast.
+    """
+    keys = list(keys)
+    g = keys or ["__g"]
+    rows = df.withColumn(_B, bucket)
+    if not keys:
+        rows = rows.withColumn("__g", F.lit(0))
+    sizes = rows.groupBy(*g, _B).agg(F.count(F.lit(1)).alias("n"))
+    off = _offsets(sizes, g, ["n"], False, True)
+    off = off.join(sizes.withColumnRenamed("n", "__in"), g + [_B])
+    if isinstance(k, DataFrame):
+        off = off.join(F.broadcast(k.select(*g, F.col("quota").alias("__k"))), g)
+    else:
+        off = off.withColumn("__k", k(F.col("__all_n")))
+    off = off.withColumn("__k", F.least("__k", "__all_n"))
+    at = off.where((F.col("__before_n") < F.col("__k")) & (F.col("__k") <= F.col("__before_n") + F.col("__in")))
+    at = at.select(*g, _B, (F.col("__k") - F.col("__before_n")).alias("__need"))
+    # One boundary bucket per group.
+    inside = Window.partitionBy(*g).orderBy(*order)
+    cut = (rows.select(*g, _B, *[c for c in order if c not in g]).join(F.broadcast(at), g + [_B])
+           .withColumn("__rn", F.row_number().over(inside)).where(F.col("__rn") == F.col("__need"))
+           .select(*g, F.struct(*order).alias("__cut")))
+    flag = F.coalesce(F.struct(*order) <= F.col("__cut"), F.lit(False))
+    out = rows.join(F.broadcast(cut), g, "left")
+    return out.select(*df.columns, flag.alias(name))
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, bucket: Column,
+                     ks: DataFrame, out: str) -> DataFrame:
+    """The k-th smallest ``value`` (1-based, ties counted) for rows of ``ks``.
+
+    ``ks`` holds (keys..., ..., k) and keeps all its rows; a k outside
+    1..group size gives NULL.  Only the buckets holding an asked position are
+    ordered.  ``ks`` has a few rows per group of experiment dimensions.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, value).withColumn(_B, bucket)
+    sizes = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("n"))
+    off = _offsets(sizes, keys, ["n"], False, False).join(sizes, keys + [_B])
+    cols = [c for c in ks.columns if c not in keys]
+    hit = off.join(F.broadcast(ks), keys).where(
+        (F.col("__before_n") < F.col("k")) & (F.col("k") <= F.col("__before_n") + F.col("n")))
+    hit = hit.select(*keys, _B, *cols, (F.col("k") - F.col("__before_n")).alias("__need"))
+    wanted = hit.select(*keys, _B).distinct()
+    vals = (rows.join(F.broadcast(wanted), keys + [_B], "left_semi")
+            .groupBy(*keys, _B, value).agg(F.count(F.lit(1)).alias("__c")))
+    inside = Window.partitionBy(*keys, _B).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cum = vals.withColumn("__cum", F.sum("__c").over(inside))
+    found = (cum.join(F.broadcast(hit), keys + [_B]).where(F.col("__cum") >= F.col("__need"))
+             .groupBy(*keys, *cols).agg(F.min(value).alias(out)))
+    return ks.join(found, keys + cols, "left")

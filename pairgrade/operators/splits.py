@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairgrade.functions.hashing import hex_to_long, keyed_md5, pair_key_hash
-from pairgrade.functions.ordering import add_rank, hash_bucket
+from pairgrade.functions.ordering import add_rank, flag_first_k, hash_bucket
 
 SEALED_FOLD = -1
 
@@ -55,17 +55,26 @@ def class_quotas(counts: DataFrame, y: str, take: Callable[[Column], Column]) ->
             .select(y, "quota", "rest_before"))
 
 
-def _ranked_with_quota(df, y, ids, seed, take):
-    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
-    quotas = class_quotas(counts, y, take)
-    return rank_by_hash(df, seed, ids, "__rn", [y]).join(quotas, y)
+def _hashed(df: DataFrame, seed, ids: Sequence[str]) -> DataFrame:
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    return df.withColumn("__h", keyed_md5(seed, *[F.col(i) for i in ids]))
+
+
+def first_by_hash(df: DataFrame, seed, ids: Sequence[str], k, name: str,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Flag the first ``k`` rows of the seeded order (within ``keys``)."""
+    out = flag_first_k(_hashed(df, seed, ids), list(keys), ["__h", *ids], hash_bucket("__h", 3), k, name)
+    return out.drop("__h")
+
+
+def _class_counts(df: DataFrame, y: str) -> DataFrame:
+    return df.groupBy(y).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stratified_cut(df: DataFrame, y: str, ids: Sequence[str], seed, take: Callable[[Column], Column],
                    name: str = "in_test") -> DataFrame:
-    """Flag a stratified share of the rows."""
-    r = _ranked_with_quota(df, y, ids, seed, take)
-    return r.withColumn(name, F.col("__rn") <= F.col("quota")).select(*df.columns, name)
+    """Flag a stratified share of the rows; the rows are not shuffled."""
+    return first_by_hash(df, seed, ids, class_quotas(_class_counts(df, y), y, take), name, [y])
 
 
 def stratified_or_plain_cut(df: DataFrame, y: str, ids: Sequence[str], seed,
@@ -78,7 +87,7 @@ def stratified_or_plain_cut(df: DataFrame, y: str, ids: Sequence[str], seed,
     t = take(n)
     small = (F.min("n").over(whole) < 2) | (t < k) | (n - t < k)
     strata = c.select(y, F.when(small, F.lit(-1)).otherwise(F.col(y)).alias("__stratum"))
-    return stratified_cut(df.join(strata, y), "__stratum", ids, seed, take, name).select(*df.columns, name)
+    return stratified_cut(df.join(F.broadcast(strata), y), "__stratum", ids, seed, take, name).select(*df.columns, name)
 
 
 def sealed_and_folds(df: DataFrame, y: str, ids: Sequence[str], seed, n_folds: int = 5,
@@ -88,7 +97,8 @@ def sealed_and_folds(df: DataFrame, y: str, ids: Sequence[str], seed, n_folds: i
     Folds deal the remaining rows of the concatenated classes in turn, so fold
     sizes differ by at most one overall and per class.  Sealed rows: fold -1.
     """
-    r = _ranked_with_quota(df, y, ids, seed, ceil_share(numer, denom))
+    quotas = class_quotas(_class_counts(df, y), y, ceil_share(numer, denom))
+    r = rank_by_hash(df, seed, ids, "__rn", [y]).join(F.broadcast(quotas), y)  # a row per class
     sealed = F.col("__rn") <= F.col("quota")
     fold = (F.col("__rn") - F.col("quota") - 1 + F.col("rest_before")) % n_folds + 1
     return (r.withColumn("sealed_test", sealed.cast("bigint"))
@@ -107,19 +117,17 @@ def three_way(df: DataFrame, y: str, ids: Sequence[str], seed) -> DataFrame:
 
 def stratified_cap(df: DataFrame, y: str, ids: Sequence[str], seed, caps: dict[int, int]) -> DataFrame:
     """Keep all rows of a tier, or its first ``cap`` in seeded order."""
-    r = rank_by_hash(df, seed, ids, "__rn", [y])
-    cond = F.lit(True)
-    for tier, cap in caps.items():
-        cond = cond & ((F.col(y) != tier) | (F.col("__rn") <= cap))
-    return r.where(cond).select(*df.columns)
+    n = F.col("n")
+    cap = F.coalesce(*[F.when(F.col(y) == t, F.lit(c).cast("bigint")) for t, c in caps.items()], n)
+    quotas = _class_counts(df, y).select(y, F.least(cap, n).alias("quota"))
+    return first_by_hash(df, seed, ids, quotas, "__keep", [y]).where("__keep").drop("__keep")
 
 
 def held_out_entities(entities: DataFrame, seeds: Sequence[int], numer: int = 1, denom: int = 5) -> DataFrame:
     """(seed, entity_id, held_out) for each seed: round(share * n) held out."""
     e = entities.select("entity_id", F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])).alias("seed"))
-    r = rank_by_hash(e, F.col("seed"), ["entity_id"], "__rn", ["seed"], "__n")
-    return r.select("seed", "entity_id",
-                    (F.col("__rn") <= rounded_share(numer, denom)(F.col("__n"))).alias("held_out"))
+    r = first_by_hash(e, F.col("seed"), ["entity_id"], rounded_share(numer, denom), "held_out", ["seed"])
+    return r.select("seed", "entity_id", "held_out")
 
 
 def membership_flags(pairs: DataFrame, members: DataFrame, on: Sequence[str] = ()) -> DataFrame:
@@ -167,8 +175,8 @@ def edge_drop(edges: DataFrame, cols: Sequence[str], seed: int, ratio: float) ->
 
 def bounded_sample(df: DataFrame, ids: Sequence[str], seed: int, n: int, required: Column | None = None) -> DataFrame:
     """First ``n`` rows in seeded order, plus every required row."""
-    r = rank_by_hash(df, seed, ids, "__rn")
-    keep = F.col("__rn") <= n
+    r = first_by_hash(df, seed, ids, lambda total: F.least(F.lit(n).cast("bigint"), total), "__keep")
+    keep = F.col("__keep")
     return r.where(keep | required if required is not None else keep).select(*df.columns)
 
 

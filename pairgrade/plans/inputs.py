@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairgrade.plans import views as V
+from pairgrade.session import materialize
 
 
 class Inputs:
@@ -111,16 +112,26 @@ class Inputs:
               'description', case when (p_partkey + k) % 3 <> 0 then concat(p_name, ' affects ', cast(k as string)) end)) as interactions
           from (select *, (select count(*) from {part}) as n_ent from {part})""", part=self.table("part"))
 
+    @property
+    def pairs_table(self) -> DataFrame:
+        """The graded pair table as a stored table, as a pipeline would keep it."""
+        return materialize(self.pairs)
+
+    @property
+    def runs_table(self) -> DataFrame:
+        """The prediction runs as a stored table."""
+        return materialize(self.runs)
+
     @property
     def sealed(self) -> DataFrame:
         from pairgrade.operators import splits
-        return splits.sealed_and_folds(self.pairs, "y", ["a", "b"], 42)
+        return splits.sealed_and_folds(self.pairs_table, "y", ["a", "b"], 42)
 
     SEEDS = (42, 123, 2024)
 
     def cold(self, pairs: DataFrame | None = None) -> DataFrame:
         from pairgrade.operators import pairs as P, splits
-        pairs = self.pairs if pairs is None else pairs
+        pairs = self.pairs_table if pairs is None else pairs
         held = splits.held_out_entities(P.entity_universe(pairs), self.SEEDS)
         return splits.cold_start_split(pairs, held, self.SEEDS)
 

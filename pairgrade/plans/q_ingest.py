@@ -240,5 +240,5 @@ f as (select c.a, c.b from c join v_fp x on c.a = x.entity_id join v_fp z on c.b
   and len(list_intersect(s.enzyme_all, u.enzyme_all)) = 0 and len(list_intersect(s.target_all, u.target_all)) = 0)
 select a, b from (select a, b, row_number() over (order by md5(concat_ws('|', '42', 'cut', a, b)), a, b) as rn from f), k where rn <= n_neg""")
 def _(src):
-    pairs = src.pairs
+    pairs = src.pairs_table
     return N.negative_sampling(src.fps, pairs.select("a", "b"), src.sets, pairs.count() // 10)

@@ -6,6 +6,7 @@ from pairgrade.functions.hashing import keyed_md5
 from pairgrade.operators import features as X, pairs as P, quality as Q, scoring as C, splits as S
 from pairgrade.plans import views as V
 from pairgrade.plans.registry import query
+from pairgrade.session import materialize
 
 IDS = ["a", "b"]
 
@@ -13,7 +14,7 @@ IDS = ["a", "b"]
 @query("rank_by_hash", """
 select a, b, y, row_number() over (order by md5(concat_ws('|', '7', a, b)), a, b) as rank from v_pairs""")
 def _(src):
-    return S.rank_by_hash(src.pairs, 7, IDS)
+    return S.rank_by_hash(src.pairs_table, 7, IDS)
 
 
 @query("set_difference", """
@@ -23,7 +24,7 @@ select (select count(*) from k) as n_both, (select count(*) from v_universe) - (
   (select min(entity_id) from v_universe where entity_id not in (select entity_id from k)) as example_left,
   cast(null as varchar) as example_right, cast((select count(*) from k) = (select count(*) from v_universe) as int) as is_equal""")
 def _(src):
-    u = P.entity_universe(src.pairs)
+    u = P.entity_universe(src.pairs_table)
     k = S.held_out_entities(u, [42]).where("not held_out")
     return S.set_diff_report(u, k, ["entity_id"])
 
@@ -32,12 +33,12 @@ def _(src):
 select a, b, y from (select *, row_number() over (partition by y order by md5(concat_ws('|', '42', a, b)), a, b) as rn from v_pairs)
 where (y <> 1 or rn <= 1000) and (y <> 2 or rn <= 500)""")
 def _(src):
-    return S.stratified_cap(src.pairs, "y", IDS, 42, {1: 1000, 2: 500})
+    return S.stratified_cap(src.pairs_table, "y", IDS, 42, {1: 1000, 2: 500})
 
 
 @query("sealed_test_split", "select a, b, y, sealed_test = 1 as in_test from v_sealed")
 def _(src):
-    return S.stratified_cut(src.pairs, "y", IDS, 42, S.ceil_share(1, 5))
+    return S.stratified_cut(src.pairs_table, "y", IDS, 42, S.ceil_share(1, 5))
 
 
 @query("stratified_kfold", "select a, b, y, sealed_test, fold from v_sealed")
@@ -54,7 +55,7 @@ def _(src):
 select p.a, p.b, x.held_out as in_a, z.held_out as in_b from v_pairs p
 join v_held x on p.a = x.entity_id and x.seed = 42 join v_held z on p.b = z.entity_id and z.seed = 42""")
 def _(src):
-    pairs = src.pairs.select("a", "b")
+    pairs = src.pairs_table.select("a", "b")
     held = S.held_out_entities(P.entity_universe(pairs), [42]).where("held_out")
     return S.membership_flags(pairs, held)
 
@@ -68,7 +69,7 @@ r as (select *, row_number() over (partition by y order by md5(concat_ws('|', '4
 select r.a, r.b, r.y, case when g.plain = 1 then rn_all <= (n_all + 9) // 10 else rn <= quota end as is_val
 from r join q on r.y = q.y cross join g""")
 def _(src):
-    kk = src.cold().where("seed = 42 and part = 'KK'").select("a", "b", "y")
+    kk = materialize(src.cold().where("seed = 42 and part = 'KK'").select("a", "b", "y"))
     return S.stratified_or_plain_cut(kk, "y", IDS, 42, S.ceil_share(1, 10), "is_val")
 
 
@@ -77,7 +78,7 @@ with q as ({V._quota('v_pairs', 'least(greatest((2 * n_all + 100) // 200, 100),
 r as (select *, row_number() over (partition by y order by md5(concat_ws('|', '42', a, b)), a, b) as rn from v_pairs)
 select r.a, r.b, r.y from r join q on r.y = q.y where rn <= quota""")
 def _(src):
-    cut = S.stratified_cut(src.pairs, "y", IDS, 42, S.rounded_share(1, 100, at_least=100), "keep")
+    cut = S.stratified_cut(src.pairs_table, "y", IDS, 42, S.rounded_share(1, 100, at_least=100), "keep")
     return cut.where("keep").drop("keep")
 
 
@@ -86,7 +87,7 @@ with d as (select a, b, y from v_sealed where sealed_test = 0), q as ({V._quota(
 r as (select *, row_number() over (partition by y order by md5(concat_ws('|', '42', a, b)), a, b) as rn from d)
 select r.a, r.b, r.y, rn <= quota as is_val from r join q on r.y = q.y""")
 def _(src):
-    dev = src.sealed.where("sealed_test = 0").select("a", "b", "y")
+    dev = materialize(src.sealed.where("sealed_test = 0").select("a", "b", "y"))
     return S.stratified_cut(dev, "y", IDS, 42, S.ceil_share(1, 20), "is_val")
 
 
@@ -97,7 +98,7 @@ r as (select *, row_number() over (partition by y order by md5(concat_ws('|', '4
 select a, b, y, 'test' as part from t where sealed_test = 1
 union all select r.a, r.b, r.y, case when rn <= quota then 'val' else 'train' end as part from r join q on r.y = q.y""")
 def _(src):
-    return S.three_way(src.pairs, "y", IDS, 42)
+    return S.three_way(src.pairs_table, "y", IDS, 42)
 
 
 @query("split_manifest", """
@@ -110,7 +111,7 @@ def _(src):
 select 'fold ' || cast(fold as string) as split, count(*) as n from v_sealed group by 1
 union all select part || ' ' || cast(seed as string) as split, count(*) as n from v_cold group by 1""")
 def _(src):
-    pairs = src.pairs
+    pairs = src.pairs_table
     folds = S.sealed_and_folds(pairs, "y", IDS, 42).select(F.concat_ws(" ", F.lit("fold"), "fold").alias("split"))
     cold = src.cold(pairs).select(F.concat_ws(" ", "part", "seed").alias("split"))
     return folds.unionByName(cold).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +120,7 @@ def _(src):
 @query("edge_drop", """
 select a, b, y from v_pairs where cast('0x' || substr(md5(concat_ws('|', '3', a, b)), 1, 8) as bigint) >= 858993459""")
 def _(src):
-    return S.edge_drop(src.pairs, IDS, 3, 0.2)
+    return S.edge_drop(src.pairs_table, IDS, 3, 0.2)
 
 
 @query("bounded_sample", """
@@ -135,7 +136,7 @@ def _(src):
 select (select count(*) from v_sealed where sealed_test = 1) as n_both, cast(0 as bigint) as only_left, cast(0 as bigint) as only_right,
   cast(null as varchar) as example_left, cast(null as varchar) as example_right, 1 as is_equal""")
 def _(src):
-    pairs = src.pairs
+    pairs = src.pairs_table
     one = S.sealed_and_folds(pairs, "y", IDS, 42).where("sealed_test = 1")
     two = S.three_way(pairs, "y", IDS, 42).where("part = 'test'")
     return S.set_diff_report(one, two, IDS)
@@ -207,11 +208,12 @@ def _(src):
 @query("check_recompute_sample", """
 with s as (select * from (select a, b, row_number() over (order by md5(concat_ws('|', '42', a, b)), a, b) as rn from v_pairs) where rn <= 200)
 select count(*) as n, cast(0 as bigint) as n_missing,
-  round(max(case when substr(md5(concat_ws('|', 'err', a, b)), 1, 1) = '0' then 0.001 else 0.0 end), 6) as max_abs_diff,
+  round(max(case when substr(md5(concat_ws('|', 'err', a, b)), 1, 1) = '0' then cast(0.001 as double) else 0.0 end), 6) as max_abs_diff,
   count(*) filter (where substr(md5(concat_ws('|', 'err', a, b)), 1, 1) = '0') as n_over from s""")
 def _(src):
     feats = X.pair_lookup(src.pairs.select("a", "b"), src.fps).select(
         "a", "b", X.tanimoto(F.col("bits_a"), F.col("bits_b")).alias("sim"))
+    feats = materialize(feats)
     err = F.substring(keyed_md5("err", F.col("a"), F.col("b")), 1, 1) == "0"
     stored = S.bounded_sample(feats.withColumn("sim", F.col("sim") + F.when(err, 0.001).otherwise(0.0)), IDS, 42, 200)
     return Q.check_recompute(stored, feats, IDS, "sim").withColumn("max_abs_diff", F.round("max_abs_diff", 6))
@@ -222,7 +224,7 @@ with o as (select y, case when substr(md5(concat_ws('|', 'old', a, b)), 1, 1) <
 select count(*) filter (where y <> old_y) as n_changed,
   case when count(*) filter (where y <> old_y) between 9000 and 11000 then 1 else 0 end as within from o""")
 def _(src):
-    old = src.pairs.withColumn("old_y", F.when(
+    old = src.pairs_table.withColumn("old_y", F.when(
         F.substring(keyed_md5("old", F.col("a"), F.col("b")), 1, 1) < "4", 2).otherwise(F.col("y")))
     return Q.check_change_rate(old, "old_y", "y", 10_000)
 

@@ -174,3 +174,38 @@ VIEWS["v_cold"] = """
 select s.seed, p.a, p.b, p.y, case when x.held_out and z.held_out then 'S2' when x.held_out or z.held_out then 'S1' else 'KK' end as part
 from v_pairs p join v_held x on p.a = x.entity_id join v_held z on p.b = z.entity_id and x.seed = z.seed
 join (select distinct seed from v_held) s on s.seed = x.seed"""
+
+# Oracle-side only: row-level formulations of the metrics.
+_RUN = "method, fold, seed"
+VIEWS["v_class"] = f"""
+select {_RUN}, c, count(*) filter (where y_true = c and y_pred = c) as tp, count(*) filter (where y_true = c) as s,
+  count(*) filter (where y_pred = c) as q, count(*) as n
+from v_preds cross join (select unnest([0, 1, 2, 3, 4]) as c) group by 1, 2, 3, 4"""
+VIEWS["v_class_f1"] = f"""
+select *, case when s + q = 0 then 0.0::double else 2 * tp / cast(s + q as double) end as f1,
+  case when q = 0 then 0.0::double else tp / cast(q as double) end as prec, case when s = 0 then 0.0::double else tp / cast(s as double) end as rec from v_class"""
+VIEWS["v_hard"] = f"""
+with a as (select {_RUN}, count(*) as n_eval, count(*) filter (where y_true = y_pred) / cast(count(*) as double) as accuracy,
+    count(*) filter (where abs(y_true - y_pred) <= 1) / cast(count(*) as double) as adjacent_acc,
+    cast(sum(abs(y_true - y_pred)) as bigint) / cast(count(*) as double) as mae_ordinal,
+    count(*) filter (where y_true >= 3 and y_pred >= 3) / cast(count(*) filter (where y_true >= 3) as double) as high_risk_sens,
+    count(*) filter (where y_true < 3 and y_pred < 3) / cast(count(*) filter (where y_true < 3) as double) as high_risk_spec,
+    count(*) filter (where y_true >= 3 and y_pred <= 1) / cast(count(*) filter (where y_true >= 3) as double) as severe_underestimation_rate,
+    1 - sum((y_true - y_pred) * (y_true - y_pred)) / (sum(y_true * y_true) + sum(y_pred * y_pred) - 2.0 * sum(y_true) * sum(y_pred) / count(*)) as qwk
+  from v_preds group by 1, 2, 3),
+f as (select {_RUN}, avg(f1) as macro_f1, sum(f1 * s) / sum(s) as weighted_f1 from v_class_f1 group by 1, 2, 3)
+select * from a join f using ({_RUN})"""
+VIEWS["v_scores"] = f"""
+with x as (select {_RUN}, c, y_true = c as hit, (case c when 0 then w0 when 1 then w1 when 2 then w2 when 3 then w3 else w4 end) / cast(w0 + w1 + w2 + w3 + w4 as double) as score
+  from v_preds cross join (select unnest([0, 1, 2, 3, 4]) as c)),
+g as (select {_RUN}, c, score, count(*) filter (where hit) as pos, count(*) filter (where not hit) as neg from x group by 1, 2, 3, 4, 5)
+select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over v as n_pos, sum(neg) over v as n_neg from g
+window w as (partition by {_RUN}, c order by score desc), v as (partition by {_RUN}, c)"""
+VIEWS["v_ranking"] = f"""
+with k as (select {_RUN}, c, sum(neg * (tp - pos / 2.0)) / (max(n_pos) * max(n_neg)) as auroc,
+  sum(pos * (tp / cast(tp + fp as double))) / max(n_pos) as ap from v_scores group by 1, 2, 3, 4)
+select {_RUN}, avg(auroc) as macro_auroc, avg(ap) as macro_ap from k group by 1, 2, 3"""
+METRIC_NAMES = ["accuracy", "macro_f1", "weighted_f1", "adjacent_acc", "high_risk_sens", "high_risk_spec",
+                "severe_underestimation_rate", "qwk", "mae_ordinal"]
+VIEWS["v_long"] = " union all ".join(
+    f"select {_RUN}, '{m}' as metric, {m} as value from v_hard" for m in METRIC_NAMES)

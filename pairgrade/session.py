@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
+def work_dir(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the
+    session; a temporary folder only where that is unset, as in local tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="pairgrade-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through a reliable checkpoint.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    The checkpoint folder is the one the cluster names in
-    ``spark.checkpoint.dir`` (shared storage, so a lost executor costs
-    nothing).  Only where that is unset, as in local tests, a temporary
-    folder is used.
+    For inputs that several passes read: later passes scan pruned columns of
+    a table with known size instead of recomputing the plan, and a lost
+    executor costs nothing.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="pairgrade-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{work_dir(df.sparkSession)}/pairgrade/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
