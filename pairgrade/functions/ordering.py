@@ -8,7 +8,9 @@ The result is the exact rank: buckets only decide who sorts what.
 
 A bucket must be a deterministic, order-preserving function of the first order
 column, so that a re-run task after an executor loss gives the same bucket.
-Group keys must not be NULL.
+Group keys must not be NULL.  Buckets are never NULL: a nullable join key would
+make the optimizer copy the whole score expression into an IS NOT NULL filter
+below the aggregation.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ _B = "__bucket"
 def hash_bucket(hash_hex: str | Column, digits: int = 2) -> Column:
     """Leading hex digits: 16**digits even, ordered buckets of a hash order."""
     col = F.col(hash_hex) if isinstance(hash_hex, str) else hash_hex
-    return F.substring(col, 1, digits)
+    return F.coalesce(F.substring(col, 1, digits), F.lit(""))
 
 
 def unit_bucket(score: str | Column, per_unit: int = 16) -> Column:
@@ -35,18 +37,15 @@ def unit_bucket(score: str | Column, per_unit: int = 16) -> Column:
     """
     s = F.col(score) if isinstance(score, str) else score
     s = s.cast("double")
-    return (
-        F.when(s <= 0, F.lit(-1_000_000))
-        .when(s >= 1, F.lit(1_000_000))
-        .otherwise(F.floor((F.log(s) - F.log(1 - s)) * per_unit))
-        .cast("int")
-    )
+    bucket = (F.when(s <= 0, F.lit(-1_000_000)).when(s >= 1, F.lit(1_000_000))
+              .otherwise(F.floor((F.log(s) - F.log(1 - s)) * per_unit)))
+    return F.coalesce(bucket.cast("int"), F.lit(-1_000_001))
 
 
 def width_bucket(value: str | Column, width: float) -> Column:
     """Ordered buckets of equal width for a bounded numeric value."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.floor(v.cast("double") / F.lit(float(width))).cast("bigint")
+    return F.coalesce(F.floor(v.cast("double") / F.lit(float(width))).cast("bigint"), F.lit(-(2 ** 62)))
 
 
 def _offsets(totals: DataFrame, keys: list[str], values: Sequence[str],

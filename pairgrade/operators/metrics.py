@@ -154,10 +154,15 @@ def per_class_report(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------- score curves
 
 def class_scores(runs: DataFrame, keys: Sequence[str], p: str = "p", y: str = "y_true") -> DataFrame:
-    """Distinct (run, class, score) with positive and negative counts."""
-    x = runs.select(*keys, F.col(y).alias("__y"), F.posexplode(p).alias("cls", "score"))
-    return binary_scores(x.withColumn("cls", F.col("cls").cast("bigint")), [*keys, "cls"], "score",
-                         F.col("__y") == F.col("cls"))
+    """Distinct (run, class, score) with positive and negative counts.
+
+    Class numbers are exploded, not ``p`` itself: exploding a computed array
+    repeats its expression in an inferred size filter.
+    """
+    x = runs.select(*keys, F.col(y).alias("__y"), F.col(p).alias("__p"),
+                    F.explode(F.array(*[F.lit(c).cast("bigint") for c in CLASSES])).alias("cls"))
+    x = x.select(*keys, "cls", "__y", F.get("__p", F.col("cls").cast("int")).alias("score"))
+    return binary_scores(x, [*keys, "cls"], "score", F.col("__y") == F.col("cls"))
 
 
 def binary_scores(df: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
@@ -243,13 +248,15 @@ def coldstart_wide(long: DataFrame, test_sets: Sequence[str] = ("S1", "S2")) ->
 
 
 def representative_run(table: DataFrame, by: Sequence[str] = ("method",), metric: str = "macro_f1") -> DataFrame:
-    """Per method the run closest to the median; ties: lower fold, then seed.
+    """Per method the run closest to the median; distances equal to 12 digits
+    are ties, which go to the lower fold, then seed.
 
     ``table`` has one row per run, so these windows are over a few rows.
     """
     med = table.groupBy(*by).agg(F.percentile(metric, F.lit(0.5)).alias("median"))
     j = table.join(med, list(by))
-    order = Window.partitionBy(*by).orderBy(F.abs(F.col(metric) - F.col("median")), "fold", "seed")
+    order = Window.partitionBy(*by).orderBy(
+        F.round(F.abs(F.col(metric) - F.col("median")), 12), "fold", "seed")
     return j.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").drop("__rn")
 
 

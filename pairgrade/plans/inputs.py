@@ -140,3 +140,30 @@ class Inputs:
         """Predictions with the probability array the operators expect."""
         total = F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3") + F.col("w4")
         return self.preds.withColumn("p", F.array(*[F.col(f"w{c}") / total for c in range(5)]))
+
+    def aligned(self) -> DataFrame:
+        from pairgrade.operators import runs as R
+        p = self.preds.select("method", "fold", "seed", "split", "test_set", "row_id", "y_true", "y_pred")
+        return R.align(p.where("method = 'A'"), p.where("method = 'B'"))
+
+    def cold_rows(self) -> DataFrame:
+        n = self.table("events").agg(F.count_distinct("user_id")).scalar()
+        s2 = F.col("row_id") % 3 == 0
+        return self.preds.where("fold = 1").select(
+            "method", "seed", F.when(s2, "S2").otherwise("S1").alias("part"), "row_id",
+            F.col("cluster_id").alias("u1"), F.when(s2, (F.col("row_id") * 7 + 3) % n).alias("u2"),
+            "y_true", "y_pred", "r")
+
+    def cold_assigned(self) -> DataFrame:
+        from pairgrade.operators import referral as Rf
+        rows = materialize(self.cold_rows())
+        run = ["method", "seed", "part"]
+        ids = rows.select(*run, F.col("u1").alias("entity_id")).unionByName(
+            rows.where("u2 is not null").select(*run, F.col("u2").alias("entity_id"))).distinct()
+        return materialize(Rf.assign_rows(rows, Rf.split_entities_half(ids, run, V.N_REPS), run))
+
+    def halves(self) -> DataFrame:
+        """Narrow rows of every run, split in halves ``N_REPS`` times."""
+        from pairgrade.operators import referral as Rf
+        rows = materialize(self.preds.select("method", "fold", "seed", "row_id", "y_true", "y_pred", "r"))
+        return Rf.split_rows_half(rows, ["method", "fold", "seed"], V.N_REPS)

@@ -121,9 +121,10 @@ def _(src):
 
 
 @query("expected_level", f"""
-select {KEYS}, row_id, round((w1 + 2 * w2 + 3 * w3 + 4 * w4) / cast(w0 + w1 + w2 + w3 + w4 as double), 6) as expected from v_preds""")
+select {KEYS}, row_id, w1 / s + w2 / s * 2 + w3 / s * 3 + w4 / s * 4 as expected
+from (select *, cast(w0 + w1 + w2 + w3 + w4 as double) as s from v_preds)""")
 def _(src):
-    return src.runs.select(*RUN, "row_id", F.round(C.expected_level(F.col("p")), 6).alias("expected"))
+    return src.runs.select(*RUN, "row_id", C.expected_level(F.col("p")).alias("expected"))
 
 
 @query("label_display", """
@@ -277,19 +278,19 @@ def _(src):
 
 @query("macro_auroc", f"select {KEYS}, round(macro_auroc, 6) as macro_auroc from v_ranking")
 def _(src):
-    return r6(M.macro_ranking(src.runs, RUN).select(*RUN, "macro_auroc"), "macro_auroc")
+    return r6(M.macro_ranking(src.runs_table, RUN).select(*RUN, "macro_auroc"), "macro_auroc")
 
 
 @query("macro_ap", f"select {KEYS}, round(macro_ap, 6) as macro_ap from v_ranking")
 def _(src):
-    return r6(M.macro_ranking(src.runs, RUN).select(*RUN, "macro_ap"), "macro_ap")
+    return r6(M.macro_ranking(src.runs_table, RUN).select(*RUN, "macro_ap"), "macro_ap")
 
 
 @query("cumulative_counts", f"""
 select {KEYS}, cast(c as bigint) as cls, score, pos, neg, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
   cast(n_pos as bigint) as n_pos, cast(n_neg as bigint) as n_neg from v_scores""")
 def _(src):
-    return M.running_curve(M.class_scores(src.runs, RUN), [*RUN, "cls"])
+    return M.running_curve(M.class_scores(src.runs_table, RUN), [*RUN, "cls"])
 
 
 @query("metrics_table", f"""
@@ -297,7 +298,7 @@ with f as (select {KEYS}, {', '.join(f"max(case when c = {c} then f1 end) as f1_
 select {KEYS}, n_eval, {sel6(METRIC_NAMES)}, {sel6([f'f1_c{c}' for c in range(5)])}, {sel6(['macro_auroc', 'macro_ap'])}
 from v_hard join f using ({KEYS}) join v_ranking using ({KEYS})""")
 def _(src):
-    t = M.metrics_table(src.runs, RUN)
+    t = M.metrics_table(src.runs_table, RUN)
     return r6(t, *METRIC_NAMES, *[f"f1_c{c}" for c in range(5)], "macro_auroc", "macro_ap")
 
 
@@ -355,7 +356,7 @@ def _(src):
 
 @query("representative_run", f"""
 with m as (select method, median(macro_f1) as med from v_hard group by 1),
-r as (select h.*, row_number() over (partition by h.method order by abs(macro_f1 - med), fold, seed) as rn from v_hard h join m on h.method = m.method)
+r as (select h.*, row_number() over (partition by h.method order by round(abs(macro_f1 - med), 12), fold, seed) as rn from v_hard h join m on h.method = m.method)
 select {KEYS}, round(macro_f1, 6) as macro_f1 from r where rn = 1""")
 def _(src):
     t = M.hard_metrics(M.confusion_cells(src.preds, RUN), RUN, ("macro_f1",))
@@ -377,7 +378,7 @@ v as (select {KEYS}, c, curve, g, case when curve = 'roc' and g = 0 then 0.0::do
   when r is null or l.x = g then l.y else l.y + (r.y - l.y) / (r.x - l.x) * (g - l.x) end as value from lr)
 select {KEYS}, curve, cast(g as bigint) as g, round(avg(value), 6) as value from v group by 1, 2, 3, 4, 5""")
 def _(src):
-    return r6(M.roc_pr_grid(src.runs, RUN), "value")
+    return r6(M.roc_pr_grid(src.runs_table, RUN), "value")
 
 
 # ------------------------------------------------------------ weights, losses

@@ -209,3 +209,178 @@ METRIC_NAMES = ["accuracy", "macro_f1", "weighted_f1", "adjacent_acc", "high_ris
                 "severe_underestimation_rate", "qwk", "mae_ordinal"]
 VIEWS["v_long"] = " union all ".join(
     f"select {_RUN}, '{m}' as metric, {m} as value from v_hard" for m in METRIC_NAMES)
+
+# Resampling and referral (oracle side).
+N_BOOT_HASH = 20
+VIEWS["v_aligned"] = """
+select a.fold, a.seed, a.row_id, a.y_true, a.y_pred as pred_a, b.y_pred as pred_b
+from v_preds a join v_preds b on a.method = 'A' and b.method = 'B' and a.fold = b.fold and a.seed = b.seed and a.row_id = b.row_id"""
+VIEWS["v_pos"] = """
+select event_id as row_id, row_number() over (order by md5(cast(event_id as string)), event_id) - 1 as pos, count(*) over () as n from events"""
+VIEWS["v_draws"] = f"""
+select rep, pos as i, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 8) as bigint) % n as pos
+from v_pos, unnest(range({N_BOOT_HASH})) as r(rep)"""
+
+
+def _cell_metrics(src: str, keys: str) -> str:
+    """Metrics of both sides from weighted rows ``src(keys, y_true, side, p, n)``."""
+    return f"""
+with s as ({src}),
+c as (select {keys}, side, c, coalesce(sum(n) filter (where y_true = c and p = c), 0) as tp, coalesce(sum(n) filter (where y_true = c), 0) as s, coalesce(sum(n) filter (where p = c), 0) as q,
+  coalesce(sum(n) filter (where y_true >= 1 and p = c), 0) as qs
+  from s cross join (select unnest([0, 1, 2, 3, 4]) as c) group by {keys}, side, c),
+f as (select {keys}, side, avg(case when s + q = 0 then 0 else 2 * tp / cast(s + q as double) end) as macro_f1,
+  avg(case when s + qs = 0 then 0 else 2 * tp / cast(s + qs as double) end) filter (where c >= 1) as macro_f1_sev from c group by {keys}, side),
+h as (select {keys}, side, sum(n) filter (where y_true = p) / cast(sum(n) as double) as accuracy,
+  1 - sum(n * (y_true - p) * (y_true - p)) / (sum(n * y_true * y_true) + sum(n * p * p) - 2.0 * sum(n * y_true) * sum(n * p) / sum(n)) as qwk,
+  1 - sum(n * (y_true - p) * (y_true - p)) filter (where y_true >= 1) / (sum(n * y_true * y_true) filter (where y_true >= 1) + sum(n * p * p) filter (where y_true >= 1)
+    - 2.0 * sum(n * y_true) filter (where y_true >= 1) * sum(n * p) filter (where y_true >= 1) / sum(n) filter (where y_true >= 1)) as qwk_sev,
+  sum(n) filter (where y_true >= 3 and p >= 3) / cast(sum(n) filter (where y_true >= 3) as double) as high_risk_sens,
+  sum(n * abs(y_true - p)) / cast(sum(n) as double) as mae_ordinal from s group by {keys}, side),
+m as (select * from f join h using ({keys}, side)),
+l as (unpivot m on macro_f1, accuracy, qwk, high_risk_sens, mae_ordinal, macro_f1_sev, qwk_sev into name metric value value)
+select {keys}, metric, max(case when side = 'a' then value end) as value_a, max(case when side = 'b' then value end) as value_b,
+  max(case when side = 'a' then value end) - max(case when side = 'b' then value end) as delta from l group by {keys}, metric"""
+
+
+def _sides(src: str, keys: str, n: str) -> str:
+    return (f"select {keys}, 'a' as side, y_true, pred_a as p, {n} as n from {src} union all "
+            f"select {keys}, 'b' as side, y_true, pred_b as p, {n} as n from {src}")
+
+
+VIEWS["v_point"] = _cell_metrics(_sides("v_aligned", "fold, seed", "1"), "fold, seed")
+VIEWS["v_resampled"] = """
+select a.fold, a.seed, m.rep, a.y_true, a.pred_a, a.pred_b, m.m from v_aligned a
+join (select p.row_id, d.rep, count(*) as m from v_draws d join v_pos p on d.pos = p.pos group by 1, 2) m on a.row_id = m.row_id"""
+VIEWS["v_boot"] = _cell_metrics(_sides("v_resampled", "fold, seed, rep", "m"), "fold, seed, rep")
+VIEWS["v_ci"] = """
+select fold, seed, metric, count(delta) as n_finite, quantile_cont(delta, 0.025) as ci_low, quantile_cont(delta, 0.975) as ci_high,
+  avg(cast(delta <= 0 as int)) as share_not_above_0 from v_boot group by 1, 2, 3"""
+VIEWS["v_boot_detail"] = """
+select 'A' as method_a, 'B' as method_b, p.fold, p.seed, p.metric, p.value_a, p.value_b, p.delta, c.n_finite, c.ci_low, c.ci_high,
+  c.ci_low > 0 or c.ci_high < 0 as excludes_zero from v_point p join v_ci c using (fold, seed, metric)"""
+
+_PAIR_B = "(row_id * 7 + 3) % (select count(distinct user_id) from events)"
+VIEWS["v_cluster_rows"] = f"""
+select fold, seed, e.user_id as a, (row_id * 7 + 3) % (select count(distinct user_id) from events) as b, y_true, pred_a, pred_b
+from v_aligned join events e on e.event_id = row_id where y_true >= 1"""
+VIEWS["v_cluster_pos"] = """
+with u as (select a as entity_id from v_cluster_rows union select b as entity_id from v_cluster_rows)
+select entity_id, row_number() over (order by md5(cast(entity_id as string)), entity_id) - 1 as pos, count(*) over () as n from u"""
+VIEWS["v_cluster_mult"] = f"""
+with d as (select rep, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 8) as bigint) % n as pos from v_cluster_pos, unnest(range({N_BOOT_HASH})) as r(rep))
+select d.rep, p.entity_id, count(*) as m from d join v_cluster_pos p on d.pos = p.pos group by 1, 2"""
+VIEWS["v_cluster_resampled"] = """
+select r.fold, r.seed, x.rep, r.y_true, r.pred_a, r.pred_b, x.m * z.m as m from v_cluster_rows r
+join v_cluster_mult x on r.a = x.entity_id join v_cluster_mult z on r.b = z.entity_id and x.rep = z.rep"""
+VIEWS["v_cluster_boot"] = _cell_metrics(_sides("v_cluster_resampled", "fold, seed, rep", "m"), "fold, seed, rep")
+VIEWS["v_cluster_point"] = _cell_metrics(_sides("v_cluster_rows", "fold, seed", "1"), "fold, seed")
+
+N_REPS = 10
+BUDGET_VALUES = "(0, 1, 200, 0.005::double), (1, 1, 100, 0.01::double), (2, 1, 50, 0.02::double), (3, 1, 20, 0.05::double)"
+VIEWS["v_budget"] = f"select * from (values {BUDGET_VALUES}) as t(level, num, den, budget)"
+VIEWS["v_half"] = f"""
+select *, rn <= n // 2 as is_cal from (
+  select method, fold, seed, rep, row_id, y_true, y_pred, r, row_number() over (partition by method, fold, seed, rep
+    order by md5(concat_ws('|', method, cast(fold as string), cast(seed as string), cast(rep as string), cast(row_id as string))), row_id) as rn,
+    count(*) over (partition by method, fold, seed, rep) as n
+  from v_preds, unnest(range({N_REPS})) as u(rep))"""
+VIEWS["v_cold_rows"] = f"""
+select method, seed, case when row_id % 3 = 0 then 'S2' else 'S1' end as part, row_id, cluster_id as u1,
+  case when row_id % 3 = 0 then {_PAIR_B} end as u2, y_true, y_pred, r from v_preds where fold = 1"""
+VIEWS["v_cold_half"] = f"""
+with u as (select method, seed, part, u1 as entity_id from v_cold_rows union select method, seed, part, u2 from v_cold_rows where u2 is not null),
+k as (select method, seed, part, rep, entity_id, row_number() over (partition by method, seed, part, rep
+    order by md5(concat_ws('|', method, cast(seed as string), part, cast(rep as string), cast(entity_id as string))), entity_id) as rn,
+  count(*) over (partition by method, seed, part, rep) as n from u, unnest(range({N_REPS})) as t(rep))
+select method, seed, part, rep, entity_id, rn <= n // 2 as in_a from k"""
+VIEWS["v_cold_assigned"] = """
+select r.*, h.rep, case when h.in_a and coalesce(g.in_a, h.in_a) then 'cal' when not h.in_a and not coalesce(g.in_a, h.in_a) then 'eval' else 'mixed' end as side
+from v_cold_rows r join v_cold_half h on r.method = h.method and r.seed = h.seed and r.part = h.part and r.u1 = h.entity_id
+left join v_cold_half g on r.method = g.method and r.seed = g.seed and r.part = g.part and h.rep = g.rep and r.u2 = g.entity_id
+where r.u2 is null or g.entity_id is not null"""
+
+
+def _mondrian(src: str, keys: str) -> str:
+    return f"""
+with c as (select {keys}, r, case when y_true >= 3 then 'sev' else 'non' end as cls from {src}),
+o as (select *, row_number() over (partition by {keys}, cls order by r) as rn, count(*) over (partition by {keys}, cls) as n from c),
+g as (select distinct {keys} from c),
+ns as (select distinct {keys}, cls, n from o),
+k as (select g.*, b.level, b.budget, b.num, b.den, coalesce(s.n, 0) as n_s, coalesce(t.n, 0) as n_ns from g cross join v_budget b
+  left join (select * from ns where cls = 'sev') s using ({keys}) left join (select * from ns where cls = 'non') t using ({keys}))
+select {', '.join('k.' + x.strip() for x in keys.split(','))}, k.level, k.budget,
+  coalesce(max(o.r) filter (where o.cls = 'sev' and o.rn = (k.num * (k.n_s + 1)) // k.den), '-infinity'::double) as lo,
+  coalesce(max(o.r) filter (where o.cls = 'non' and o.rn = ((k.den - k.num) * (k.n_ns + 1) + k.den - 1) // k.den), 'infinity'::double) as hi
+from k join o using ({keys}) group by all"""
+
+
+def _crc(src: str, keys: str) -> str:
+    return f"""
+with c as (select {keys}, u1, r, case when y_true >= 3 then 'sev' else 'non' end as cls from {src} where u2 is null),
+e as (select {keys}, cls, u1, count(*) as ec from c group by all),
+n as (select {keys}, cls, count(*) as n from e group by all),
+w as (select {keys}, cls, r, sum(1.0::double / ec) as w from c join e using ({keys}, cls, u1) group by all),
+g as (select {keys}, cls, r, sum(w) over (partition by {keys}, cls order by r) as g from w),
+t as (select {keys}, cls, level, budget, n.n, num * (n + 1) - den as numer,
+  min(r) filter (where g * den > num * (n + 1) - den + 1e-6) as lo, min(r) filter (where g * den >= n * den - (num * (n + 1) - den) - 1e-6) as hi
+  from g join n using ({keys}, cls) cross join v_budget group by {keys}, cls, level, budget, n.n, num, den),
+v as (select *, case when cls = 'sev' then (case when numer < 0 then '-infinity'::double else coalesce(lo, 'infinity'::double) end)
+  else (case when numer < 0 then 'infinity'::double else coalesce(hi, 'infinity'::double) end) end as lam from t)
+select {keys}, level, budget, coalesce(max(lam) filter (where cls = 'sev'), '-infinity'::double) as lo, coalesce(max(lam) filter (where cls = 'non'), 'infinity'::double) as hi
+from v group by {keys}, level, budget"""
+
+
+def _evaluate(src: str, thr: str, keys: str) -> str:
+    return f"""
+with t as (select l.*, h.hi as hi2, h.budget as beta, b.num as an, b.den as ad, b2.num as bn, b2.den as bd from (select {keys}, level, budget as alpha, lo from {thr}) l
+  join (select {keys}, level as level2, budget, hi from {thr}) h using ({keys}) join v_budget b on l.level = b.level join v_budget b2 on h.level2 = b2.level),
+d as (select {keys}, alpha, beta, lo, hi2, an, ad, bn, bd, y_true, y_pred = y_true as ok, case when r > hi2 then 'A' when r < lo then 'P' else 'R' end as d from {src} join t using ({keys}))
+select {keys}, alpha, beta, min(lo) as lam_lo, min(hi2) as lam_hi,
+  count(*) filter (where d = 'P' and y_true >= 3) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as miss_sev,
+  count(*) filter (where d = 'A' and y_true < 3) / nullif(cast(count(*) filter (where y_true < 3) as double), 0) as false_alert,
+  count(*) filter (where d = 'R') / cast(count(*) as double) as review_frac, count(*) filter (where d = 'P') / cast(count(*) as double) as passive_frac,
+  count(*) filter (where d = 'A') / cast(count(*) as double) as alert_frac,
+  count(*) filter (where d = 'R' and y_true >= 3) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as review_frac_sev,
+  count(*) filter (where d = 'R' and y_true = 0) / nullif(cast(count(*) filter (where y_true = 0) as double), 0) as review_frac_tier0,
+  count(*) filter (where d = 'R' and y_true >= 1) / nullif(cast(count(*) filter (where y_true >= 1) as double), 0) as review_frac_sevonly,
+  count(*) filter (where d <> 'R' and ok) / nullif(cast(count(*) filter (where d <> 'R') as double), 0) as auto_acc,
+  1.0::double - count(*) filter (where d = 'P' and y_true >= 3) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as severe_sens,
+  cast(count(*) filter (where d = 'P' and y_true >= 3) * min(ad) > min(an) * count(*) filter (where y_true >= 3) as bigint) as exceed_miss,
+  cast(count(*) filter (where d = 'A' and y_true < 3) * min(bd) > min(bn) * count(*) filter (where y_true < 3) as bigint) as exceed_false_alert
+from d group by {keys}, alpha, beta"""
+
+
+REF_METRICS = ["miss_sev", "false_alert", "review_frac", "passive_frac", "alert_frac", "review_frac_sev",
+               "review_frac_tier0", "review_frac_sevonly", "auto_acc", "severe_sens"]
+_TK, _IK = "method, fold, seed, rep", "method, seed, part, rep"
+VIEWS["v_half_cal"] = "select * from v_half where is_cal"
+VIEWS["v_half_eval"] = "select * from v_half where not is_cal"
+VIEWS["v_thr"] = _mondrian("v_half_cal", _TK)
+VIEWS["v_eval"] = _evaluate("v_half_eval", "v_thr", _TK)
+VIEWS["v_cold_cal"] = "select * from v_cold_assigned where side = 'cal'"
+VIEWS["v_cold_eval"] = "select * from v_cold_assigned where side = 'eval'"
+VIEWS["v_cold_eval1"] = "select * from v_cold_eval where u2 is null"
+VIEWS["v_cold_thr"] = _mondrian("v_cold_cal", _IK)
+VIEWS["v_cold_res"] = _evaluate("v_cold_eval", "v_cold_thr", _IK)
+VIEWS["v_crc_thr"] = _crc("v_cold_cal", _IK)
+VIEWS["v_crc_res"] = _evaluate("v_cold_eval1", "v_crc_thr", _IK)
+VIEWS["v_pooled_thr"] = """
+select t.method, t.seed, p.part, t.rep, t.level, t.budget, t.lo, t.hi from v_thr t cross join (select unnest(['S1', 'S2']) as part) p where t.fold = 1"""
+VIEWS["v_pooled_res"] = _evaluate("v_cold_eval", "v_pooled_thr", _IK)
+_MEANS = ", ".join(f"avg({m}) as {m}" for m in REF_METRICS)
+VIEWS["v_trans"] = f"select method, fold, seed, alpha, beta, {_MEANS} from v_eval group by 1, 2, 3, 4, 5"
+VIEWS["v_ind"] = " union all ".join(
+    f"select method, seed, part, '{c}' as calibration, alpha, beta, {_MEANS} from {v} group by 1, 2, 3, 4, 5, 6"
+    for c, v in (("pair-level", "v_cold_res"), ("entity-level", "v_crc_res"), ("transferred", "v_pooled_res")))
+VIEWS["v_refpol"] = """
+select method, fold, seed, rep, count(*) filter (where y_true >= 3 and y_pred <= 2) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as ref_argmax_miss,
+  count(*) filter (where y_true < 3 and y_pred >= 3) / nullif(cast(count(*) filter (where y_true < 3) as double), 0) as ref_argmax_false_alert,
+  count(*) filter (where y_true >= 3 and r < 0.5) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as ref_thr05_miss,
+  count(*) filter (where y_true < 3 and r >= 0.5) / nullif(cast(count(*) filter (where y_true < 3) as double), 0) as ref_thr05_false_alert
+from v_half_eval group by 1, 2, 3, 4"""
+_LONG = " union all ".join(f"select method, alpha, beta, '{m}' as metric, {m} as value from v_trans" for m in REF_METRICS)
+_REFLONG = " union all ".join(f"select method, null::double as alpha, null::double as beta, '{m}' as metric, avg({m}) as value from v_refpol group by method, fold, seed"
+                              for m in ("ref_argmax_miss", "ref_argmax_false_alert", "ref_thr05_miss", "ref_thr05_false_alert"))
+VIEWS["v_policy_long"] = f"""
+select method, alpha, beta, metric, avg(value) as mean, stddev_pop(value) as sd, count(*) as n_runs from ({_LONG} union all {_REFLONG}) group by 1, 2, 3, 4"""
