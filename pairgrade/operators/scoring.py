@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 # ------------------------------------------------------------- probabilities
@@ -87,10 +89,6 @@ def bilinear_scores(df: DataFrame, matrices: Sequence[Sequence[Sequence[float]]]
     A d x d matrix per class (a few MB at most, checked) rides in the task
     closure; expressions would need d*d literals per class.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
     w = np.asarray(matrices, dtype=np.float64)
     if w.nbytes > 64 * 1024 * 1024:
         raise ValueError("relation matrices exceed 64 MB")
@@ -106,3 +104,29 @@ def bilinear_scores(df: DataFrame, matrices: Sequence[Sequence[Sequence[float]]]
 
 def _lit(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+# ------------------------------------------------------------ batch inference
+
+def score_pairs(queries: DataFrame, emb: DataFrame, id_col: str, vec: str, scorers: dict, left: str = "drug_a",
+                right: str = "drug_b", n_classes: int = 5) -> DataFrame:
+    """Grade query pairs with every scorer; rows with unknown ids stay, NULL.
+
+    ``scorers``: name -> function (h_a, h_b) -> array of class scores.  Pairs
+    are put in canonical order first because vectors are order dependent.
+    """
+    q = queries.withColumn("a", F.least(left, right)).withColumn("b", F.greatest(left, right))
+    v = pair_vectors(q, emb, id_col, vec, how="left")
+    known = F.col("h_a").isNotNull() & F.col("h_b").isNotNull()
+    v = v.withColumn("in_index", known)
+    for name, fn in scorers.items():
+        v = v.withColumn(f"__p_{name}", F.when(known, softmax(fn(F.col("h_a"), F.col("h_b")))))
+    cols = [F.when(F.col("in_index"), argmax(F.col(f"__p_{n}"))).alias(f"{n}_pred") for n in scorers]
+    cols += [F.get(f"__p_{n}", c).alias(f"{n}_p{c}") for n in scorers for c in range(n_classes)]
+    return v.select(*queries.columns, F.col("a").alias(f"{left}_canon"), F.col("b").alias(f"{right}_canon"),
+                    "in_index", *cols)
+
+
+def unknown_ids(queries: DataFrame, emb: DataFrame, id_col: str, left: str = "drug_a", right: str = "drug_b") -> DataFrame:
+    ids = queries.select(F.explode(F.array(left, right)).alias(id_col)).distinct()
+    return ids.join(emb.select(id_col), id_col, "left_anti")
