@@ -30,10 +30,11 @@ def interaction_explode(docs: DataFrame) -> DataFrame:
 
 def attribute_explode(docs: DataFrame) -> DataFrame:
     """Long form: entity, attribute kind, raw name, raw action (NULL if none)."""
-    tagged = F.concat(*[
-        F.transform(F.coalesce(F.col(col), F.array()), lambda a, k=kind: F.struct(
-            F.lit(k).alias("kind"), a["name"].alias("name"), a["actions"].alias("actions")))
-        for kind, col in ATTRIBUTE_KINDS.items()])
+    def tag(kind):
+        return lambda a: F.struct(F.lit(kind).alias("kind"), a["name"].alias("name"), a["actions"].alias("actions"))
+
+    tagged = F.concat(*[F.transform(F.coalesce(F.col(col), F.array()), tag(kind))
+                        for kind, col in ATTRIBUTE_KINDS.items()])
     one = docs.select("entity_id", F.explode(tagged).alias("a"))
     return one.select("entity_id", "a.kind", "a.name", F.explode_outer("a.actions").alias("action"))
 

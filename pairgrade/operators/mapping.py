@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairgrade.functions.text import normalize_alias
+from pairgrade.functions.vectors import let
 
 # Salt, hydrate and counter-ion words that may end a name.
 SALT_WORDS = [
@@ -27,21 +28,20 @@ def strip_salt(name: Column, words: Sequence[str] = SALT_WORDS) -> Column:
     drop grows as long as every longer suffix may still go.
     """
     salts = F.array(*[F.lit(w) for w in words])
-    w = F.split(name, " ")
-    n = F.size(w)
 
-    def stem(d):
-        return F.array_join(F.slice(w, 1, n - d), " ")
+    def strip_words(w):
+        n = F.size(w)
+        stem = lambda d: F.array_join(F.slice(w, 1, n - d), " ")
 
-    def step(dropped, d):
-        # Drop word number d from the right only if all words after it went.
-        word = F.get(w, n - d)
-        ok = ((dropped == d - 1) & (d < n) & F.array_contains(salts, word)
-              & (F.length(stem(d)) >= MIN_STEM) & ~F.array_contains(salts, stem(d)))
-        return F.when(ok, d).otherwise(dropped)
+        def step(dropped, d):
+            # Word number d from the right goes only if all words after it went.
+            ok = ((dropped == d - 1) & (d < n) & F.array_contains(salts, F.get(w, n - d))
+                  & (F.length(stem(d)) >= MIN_STEM) & ~F.array_contains(salts, stem(d)))
+            return F.when(ok, d).otherwise(dropped)
 
-    count = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), step)
-    return stem(count)
+        return let(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step), stem)
+
+    return let(F.split(name, " "), strip_words)
 
 
 def _unique(names: DataFrame, key: Column, entity: str = "entity_id") -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pairgrade.functions.vectors import let
+
 
 # ------------------------------------------------------------- probabilities
 
@@ -18,8 +20,14 @@ def argmax(p: Column) -> Column:
 
 def softmax(x: Column) -> Column:
     """Numerically safe softmax of an array column."""
-    e = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+    def shares(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda t, v: t + v), lambda total: F.transform(e, lambda v: v / total))
+
+    def exps(s):
+        return let(F.array_max(s).cast("double"), lambda top: let(
+            F.transform(s, lambda v: F.exp(v.cast("double") - top)), shares))
+
+    return let(x, exps)
 
 
 def severe_score(p: Column) -> Column:
@@ -70,8 +78,7 @@ def pair_ops(h_a: Column, h_b: Column) -> Column:
 
 def diagonal_scores(h_a: Column, h_b: Column, relations: Sequence[Sequence[float]]) -> Column:
     """sum_d h_a r_c h_b for every relation vector (a handful of literals)."""
-    prod = vec_mul(h_a, h_b)
-    return F.array(*[dot(prod, _lit(r)) for r in relations])
+    return let(vec_mul(h_a, h_b), lambda prod: F.array(*[dot(prod, _lit(r)) for r in relations]))
 
 
 def complex_scores(h_a: Column, h_b: Column, relations: Sequence[Sequence[float]], half: int) -> Column:
@@ -80,7 +87,8 @@ def complex_scores(h_a: Column, h_b: Column, relations: Sequence[Sequence[float]
     im = lambda x: F.slice(x, half + 1, half)
     same = F.zip_with(vec_mul(re(h_a), re(h_b)), vec_mul(im(h_a), im(h_b)), lambda u, v: u + v)
     turn = F.zip_with(vec_mul(re(h_a), im(h_b)), vec_mul(im(h_a), re(h_b)), lambda u, v: u - v)
-    return F.array(*[dot(same, _lit(r[:half])) + dot(turn, _lit(r[half:])) for r in relations])
+    return let(same, lambda s: let(turn, lambda t: F.array(*[
+        dot(s, _lit(r[:half])) + dot(t, _lit(r[half:])) for r in relations])))
 
 
 def bilinear_scores(df: DataFrame, matrices: Sequence[Sequence[Sequence[float]]], out: str) -> DataFrame:

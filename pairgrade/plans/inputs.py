@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairgrade.plans import views as V
-from pairgrade.session import materialize
+from pairgrade.session import materialize, spread
 
 
 class Inputs:
@@ -15,7 +15,7 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     def _sql(self, view: str, *tables: str) -> DataFrame:
         text = V.VIEWS[view]
