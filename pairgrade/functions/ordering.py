@@ -15,10 +15,12 @@ below the aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairgrade.session import materialize
+
 _B = "__bucket"
 
 
@@ -142,7 +144,7 @@ def flag_first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
                  k, name: str) -> DataFrame:
     """Flag the ``k`` smallest rows of each group, without ranking the others.
 
-    The bucket that holds the k-th row is found from counts; only that bucket
+    Runs the small job that finds the cuts when called.  The bucket that holds the k-th row is found from counts; only that bucket
     is sorted to get the k-th row itself, and every row is then compared with
     it.  The rows are never shuffled.  ``k`` is a function of the group size
     or a DataFrame (keys..., quota).
@@ -170,25 +172,30 @@ def flag_first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     cut = (rows.select(*g, _B, *[c for c in order if c not in g]).join(F.broadcast(at), g + [_B])
            .withColumn("__rn", F.row_number().over(inside)).where(F.col("__rn") == F.col("__need"))
            .select(*g, F.struct(*order).alias("__cut")))
+    # A row per group, kept as a table: later passes over the flagged rows
+    # then cost one comparison instead of finding the cut again.
+    cut = materialize(cut)
     flag = F.coalesce(F.struct(*order) <= F.col("__cut"), F.lit(False))
     out = rows.join(F.broadcast(cut), g, "left")
     return out.select(*df.columns, flag.alias(name))
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, bucket: Column,
-                     ks: DataFrame, out: str) -> DataFrame:
-    """The k-th smallest ``value`` (1-based, ties counted) for rows of ``ks``.
+                     ks: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """The k-th smallest ``value`` (1-based, ties counted) of each group.
 
-    ``ks`` holds (keys..., ..., k) and keeps all its rows; a k outside
-    1..group size gives NULL.  Only the buckets holding an asked position are
-    ordered.  ``ks`` has a few rows per group of experiment dimensions.
+    ``ks`` maps the group sizes (keys..., n) to asked positions
+    (keys..., ..., k) and all its rows come back; a k outside 1..n gives NULL.
+    Two passes over ``df``: bucket counts (kept as a small table when called),
+    then only the buckets that hold an asked position are ordered.
     """
     keys = list(keys)
     rows = df.select(*keys, value).withColumn(_B, bucket)
-    sizes = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("n")))
+    asked = ks(sizes.groupBy(*keys).agg(F.sum("n").alias("n")))
     off = _offsets(sizes, keys, ["n"], False, False).join(sizes, keys + [_B])
-    cols = [c for c in ks.columns if c not in keys]
-    hit = off.join(F.broadcast(ks), keys).where(
+    cols = [c for c in asked.columns if c not in keys]
+    hit = off.join(F.broadcast(asked), keys).where(
         (F.col("__before_n") < F.col("k")) & (F.col("k") <= F.col("__before_n") + F.col("n")))
     hit = hit.select(*keys, _B, *cols, (F.col("k") - F.col("__before_n")).alias("__need"))
     wanted = hit.select(*keys, _B).distinct()
@@ -199,4 +206,4 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, bucket: Col
     cum = vals.withColumn("__cum", F.sum("__c").over(inside))
     found = (cum.join(F.broadcast(hit), keys + [_B]).where(F.col("__cum") >= F.col("__need"))
              .groupBy(*keys, *cols).agg(F.min(value).alias(out)))
-    return ks.join(found, keys + cols, "left")
+    return asked.join(found, keys + cols, "left")

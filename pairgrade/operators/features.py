@@ -124,39 +124,39 @@ def _crossed(pa: Column, pb: Column, qa: Column, qb: Column) -> Column:
     return F.arrays_overlap(pa, qb) | F.arrays_overlap(pb, qa)
 
 
+def bio_sets(sets: DataFrame) -> DataFrame:
+    """What the 24 features need of an entity: the enzyme family is filtered
+    and fixed-name families are tested once per entity, not once per pair."""
+    cols = [family(F.col(f"enzyme_{w}"), CYP_PREFIX).alias(f"cyp_{w}")
+            for w in ("substrate", "inhibitor", "inducer", "all")]
+    cols += [F.col(f"{k}_{w}") for k in ("transporter", "target") for w in (*_ACTIONS[k], "all")]
+    cols += [in_family(F.col(f"transporter_{w}"), PGP_NAMES).alias(f"pgp_{w}") for w in ("substrate", "inhibitor", "all")]
+    cols.append(in_family(F.col("transporter_all"), OATP1B1_NAMES).alias("oatp_all"))
+    return sets.select("entity_id", *cols)
+
+
 def bio_pair_features(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """24 symmetric features ``f00`` .. ``f23``: enzymes, transporters, targets."""
     keep = pairs.columns
-    p = pair_lookup(pairs, sets)
-
-    def s(kind, what, side):
-        c = F.col(f"{kind}_{what}_{side}")
-        return family(c, CYP_PREFIX) if kind == "enzyme" else c
+    p = pair_lookup(pairs, bio_sets(sets))
 
     def two(kind, what):
-        return s(kind, what, "a"), s(kind, what, "b")
-
-    # Family filters are shared by several features: project them once.
-    for what in ("substrate", "inhibitor", "inducer", "all"):
-        for side in ("a", "b"):
-            p = p.withColumn(f"cyp_{what}_{side}", s("enzyme", what, side))
-    cyp = lambda w: (F.col(f"cyp_{w}_a"), F.col(f"cyp_{w}_b"))
+        return F.col(f"{kind}_{what}_a"), F.col(f"{kind}_{what}_b")
 
-    def block(get):
-        sub, inh, ind, everything = get("substrate"), get("inhibitor"), get("inducer"), get("all")
+    def block(kind):
+        sub, inh, ind, everything = (two(kind, w) for w in ("substrate", "inhibitor", "inducer", "all"))
         return sub, inh, ind, everything, _crossed(*sub, *inh), _crossed(*sub, *ind)
 
-    sub, inh, ind, all_, si, sd = block(cyp)
+    sub, inh, ind, all_, si, sd = block("cyp")
     f = [_jaccard(*sub), _flag(F.arrays_overlap(*sub)), _flag(si), _flag(sd), _jaccard(*inh), _jaccard(*ind),
          F.size(F.array_intersect(*all_)).cast("double"), _flag(si | sd | F.arrays_overlap(*sub))]
 
-    sub, inh, ind, all_, si, sd = block(lambda w: two("transporter", w))
-    pgp = lambda c: in_family(c, PGP_NAMES)
-    oatp = lambda c: in_family(c, OATP1B1_NAMES)
+    sub, inh, ind, all_, si, sd = block("transporter")
+    pgp_sub, pgp_inh, pgp_all = (two("pgp", w) for w in ("substrate", "inhibitor", "all"))
+    oatp = two("oatp", "all")
     f += [_jaccard(*sub), _flag(F.arrays_overlap(*sub)), _flag(si), _flag(sd),
-          _flag(pgp(all_[0]) & pgp(all_[1])),
-          _flag((pgp(sub[0]) & pgp(inh[1])) | (pgp(sub[1]) & pgp(inh[0]))),
-          _flag(oatp(all_[0]) & oatp(all_[1])), F.size(F.array_intersect(*all_)).cast("double")]
+          _flag(pgp_all[0] & pgp_all[1]), _flag((pgp_sub[0] & pgp_inh[1]) | (pgp_sub[1] & pgp_inh[0])),
+          _flag(oatp[0] & oatp[1]), F.size(F.array_intersect(*all_)).cast("double")]
 
     ago, ant, inh, all_ = (two("target", w) for w in ("agonist", "antagonist", "inhibitor", "all"))
     f += [_jaccard(*all_), _flag(F.arrays_overlap(*all_)), _jaccard(*ago), _jaccard(*ant), _jaccard(*inh),

@@ -162,8 +162,8 @@ class Inputs:
             rows.where("u2 is not null").select(*run, F.col("u2").alias("entity_id"))).distinct()
         return materialize(Rf.assign_rows(rows, Rf.split_entities_half(ids, run, V.N_REPS), run))
 
-    def halves(self) -> DataFrame:
-        """Narrow rows of every run, split in halves ``N_REPS`` times."""
+    def halves(self, which: str = "true") -> DataFrame:
+        """Narrow rows of the runs, split in halves ``N_REPS`` times."""
         from pairgrade.operators import referral as Rf
-        rows = materialize(self.preds.select("method", "fold", "seed", "row_id", "y_true", "y_pred", "r"))
+        rows = materialize(self.preds.where(which).select("method", "fold", "seed", "row_id", "y_true", "y_pred", "r"))
         return Rf.split_rows_half(rows, ["method", "fold", "seed"], V.N_REPS)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from pairgrade.functions.hashing import keyed_sha256, draw_index
 from pairgrade.operators import bootstrap as B, metrics as M, referral as Rf, runs as R
 from pairgrade.plans import views as V
 from pairgrade.plans.q_metrics import r6, sel6
@@ -206,7 +205,7 @@ def _(src):
 
 
 def _pooled(src):
-    thr = Rf.mondrian_thresholds(src.halves().where("is_cal and fold = 1"), [*RUN, "rep"]).drop("fold")
+    thr = Rf.mondrian_thresholds(src.halves("fold = 1").where("is_cal"), [*RUN, "rep"]).drop("fold")
     return thr.withColumn("part", F.explode(F.array(F.lit("S1"), F.lit("S2"))))
 
 
@@ -225,7 +224,7 @@ def _(src):
 
 
 def _policy(src):
-    h = materialize(src.halves())
+    h = src.halves()
     keys = [*RUN, "rep"]
     thr = Rf.mondrian_thresholds(h.where("is_cal"), keys)
     res = Rf.mean_over_reps(Rf.referral_metrics(h.where("not is_cal"), thr, keys), RUN)

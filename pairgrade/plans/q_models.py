@@ -2,6 +2,7 @@
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pairgrade.operators import features as X, ingest as I, metrics as M, models as Md, negatives as N, pairs as P, scoring as C, splits as S
@@ -32,10 +33,17 @@ def _write_xml(src) -> str:
       case when p_partkey % 3 = 0 then '<pathways><pathway><drugs><drug><drugbank-id>E9</drugbank-id><name>nested</name></drug></drugs></pathway></pathways>' else '' end,
       '<drug-interactions><drug-interaction><drugbank-id>', concat('E', lpad(cast(p_partkey + 1 as string), 7, '0')), '</drugbank-id><name>n</name><description>may add up</description></drug-interaction></drug-interactions>',
       '<enzymes><enzyme><name>Cytochrome P450 ', cast(p_size as string), '</name><actions><action>Substrate</action><action>inhibitor</action></actions></enzyme></enzymes></drug>')"""
-    src.table("part").select(F.expr(xml).alias("value")).write.text(path)
+    src.table("part").select(F.expr(xml).alias("value")).mapInPandas(_rooted, "value string").write.text(path)
     return path
 
 
+def _rooted(batches):
+    """Every file gets its own root element and is well formed."""
+    yield pd.DataFrame({"value": ["<entities>"]})
+    yield from batches
+    yield pd.DataFrame({"value": ["</entities>"]})
+
+
 @query("xml_entity_scan", f"""
 select {_E} as entity_id, case when p_type in ('ECONOMY', 'STANDARD') then 'biotech' else 'small molecule' end as kind, p_name as name,
   p_brand || ',' || p_type as synonyms, p_brand || '.1|' || p_brand || '.2' as codes,
