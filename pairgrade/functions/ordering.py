@@ -176,7 +176,10 @@ def flag_first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucke
     # then cost one comparison instead of finding the cut again.
     cut = materialize(cut)
     flag = F.coalesce(F.struct(*order) <= F.col("__cut"), F.lit(False))
-    out = rows.join(F.broadcast(cut), g, "left")
+    if keys:
+        out = rows.join(F.broadcast(cut), g, "left")
+    else:  # one row: a scalar, not a join
+        out = rows.withColumn("__cut", cut.select("__cut").scalar())
     return out.select(*df.columns, flag.alias(name))
 
 
@@ -191,13 +194,13 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, bucket: Col
     """
     keys = list(keys)
     rows = df.select(*keys, value).withColumn(_B, bucket)
-    sizes = materialize(rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("n")))
-    asked = ks(sizes.groupBy(*keys).agg(F.sum("n").alias("n")))
-    off = _offsets(sizes, keys, ["n"], False, False).join(sizes, keys + [_B])
+    sizes = materialize(rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__in")))
+    asked = ks(sizes.groupBy(*keys).agg(F.sum("__in").alias("n")))
+    off = _offsets(sizes, keys, ["__in"], False, False).join(sizes, keys + [_B])
     cols = [c for c in asked.columns if c not in keys]
     hit = off.join(F.broadcast(asked), keys).where(
-        (F.col("__before_n") < F.col("k")) & (F.col("k") <= F.col("__before_n") + F.col("n")))
-    hit = hit.select(*keys, _B, *cols, (F.col("k") - F.col("__before_n")).alias("__need"))
+        (F.col("__before___in") < F.col("k")) & (F.col("k") <= F.col("__before___in") + F.col("__in")))
+    hit = hit.select(*keys, _B, *cols, (F.col("k") - F.col("__before___in")).alias("__need"))
     wanted = hit.select(*keys, _B).distinct()
     vals = (rows.join(F.broadcast(wanted), keys + [_B], "left_semi")
             .groupBy(*keys, _B, value).agg(F.count(F.lit(1)).alias("__c")))
