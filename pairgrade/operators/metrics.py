@@ -419,3 +419,11 @@ def ext_level_report(df: DataFrame, level: str, y_pred: str, expected: str) -> D
         *[F.count_if(F.col(y_pred) == c).alias(f"pred_{c}") for c in CLASSES])
     med = exact_quantile(df, [level], expected, width_bucket(expected, 1 / 64), [0.5], ["median_expected"])
     return g.join(med, level)
+
+
+def topk_rows(df: DataFrame, order: Sequence[Column], k: int = 20) -> DataFrame:
+    """First k rows of an order: each task keeps k, so nothing is sorted whole.
+
+    The order must be total, or the cut among ties is arbitrary.
+    """
+    return df.orderBy(*order).limit(k)

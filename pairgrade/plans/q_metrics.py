@@ -433,3 +433,9 @@ def _(src):
     from pairgrade.functions.ordering import width_bucket
     c = src.preds.groupBy(*RUN, "w0").agg(F.count(F.lit(1)).alias("n"))
     return M.average_ranks(c, RUN, "w0", width_bucket("w0", 16))
+
+
+@query("topk_rows", f"select {KEYS}, row_id, r from v_preds order by r desc, method, fold, seed, row_id limit 20")
+def _(src):
+    rows = src.preds.select(*RUN, "row_id", "r")
+    return M.topk_rows(rows, [F.col("r").desc(), *[F.col(c) for c in (*RUN, "row_id")]])
