@@ -7,7 +7,6 @@ DataFrames.  These helpers are for tests, the benchmark and small jobs.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +42,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the
-    session; a temporary folder only where that is unset, as in local tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="pairgrade-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    session, else the warehouse.  Both are folders that all executors see."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def materialize(df: DataFrame) -> DataFrame:
