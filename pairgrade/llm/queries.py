@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import langid
+from pairgrade.llm import langid, quality
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -13,3 +13,11 @@ def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", held_out())
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query("op2_subword_quality")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = quality.fit(docs.where(~F.col("held_out")), labels)
+    return quality.predict(docs, model, keep=("doc_id", "held_out"))
