@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import langid, quality
+from pairgrade.llm import langid, perplexity, quality
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -21,3 +21,8 @@ def op2(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where(~held_out())
     model = quality.fit(docs.where(~F.col("held_out")), labels)
     return quality.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query("op3_perplexity_rules")
+def op3(spark, sf_dir):
+    return perplexity.verdict(table(spark, sf_dir, "documents"))
