@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import langid, perplexity, quality
+from pairgrade.llm import extract, langid, perplexity, quality
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -26,3 +26,8 @@ def op2(spark, sf_dir):
 @query("op3_perplexity_rules")
 def op3(spark, sf_dir):
     return perplexity.verdict(table(spark, sf_dir, "documents"))
+
+
+@query("op4_tag_path_extraction")
+def op4(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
