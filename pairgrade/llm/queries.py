@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import extract, langid, perplexity, quality
+from pairgrade.llm import extract, langid, mixing, perplexity, quality
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -31,3 +31,11 @@ def op3(spark, sf_dir):
 @query("op4_tag_path_extraction")
 def op4(spark, sf_dir):
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_pivotal_mixing")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.copies(rows)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
