@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import extract, langid, mixing, perplexity, quality
+from pairgrade.llm import extract, langid, mixing, perplexity, quality, topk
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -39,3 +39,21 @@ def op7(spark, sf_dir):
     rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.copies(rows)
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id,
+             cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+      from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op5_branch_and_bound_topk", OP5_SQL)
+def op5(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    return topk.search(rows, F.col("vec_id") % 100 == 0, k=10)
