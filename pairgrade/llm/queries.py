@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import extract, langid, mixing, perplexity, quality, topk
+from pairgrade.llm import extract, langid, licenses, mixing, perplexity, quality, topk
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -57,3 +57,8 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 def op5(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
     return topk.search(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op8_license_digests", licenses.sql())
+def op8(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
