@@ -76,6 +76,6 @@ known as (select sha256(array_to_string({cut('body')}, ' ')) as digest, min(lice
 d as (select doc_id, {cut('text')} as lines from documents),
 n as (select doc_id, list_sort(list(distinct license_id)) as notices
       from (select doc_id, unnest(lines) as line from d) p join known on sha256(line) = digest group by 1)
-select d.doc_id, case when len(lines) > 0 then sha256(array_to_string(lines, ' ')) end as digest, k.license_id, coalesce(n.notices, []) as notices
+select d.doc_id, case when len(lines) > 0 then sha256(array_to_string(lines, ' ')) end as digest, k.license_id, array_to_string(coalesce(n.notices, []), ',') as notices
 from d left join known k on len(lines) > 0 and k.digest = sha256(array_to_string(lines, ' ')) left join n on n.doc_id is not distinct from d.doc_id
 """

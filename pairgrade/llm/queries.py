@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import extract, langid, licenses, mixing, nearcopies, perplexity, quality, topk
+from pairgrade.llm import extract, langid, licenses, linededup, mixing, nearcopies, perplexity, quality, topk
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -61,9 +61,16 @@ def op5(spark, sf_dir):
 
 @query("op8_license_digests", licenses.sql())
 def op8(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
 
 
 @query("op6_signature_near_copies")
 def op6(spark, sf_dir):
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query("op10_line_dedup", linededup.sql())
+def op10(spark, sf_dir):
+    found = linededup.report(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
