@@ -173,15 +173,33 @@ def _compare(matches: int, percent: int):
 
 def _candidates(classes: DataFrame, matches: int) -> DataFrame:
     """Classes that may have a partner: id, rep, n, sig, weight, prefix (their rarest postings) and home (their heaviest)."""
-    posted = classes.select("id", F.posexplode("sig").alias("c", "value")).select("id", F.xxhash64("c", "value").alias("token"))
+    posted = classes.select("rep", F.posexplode("sig").alias("c", "value")).select("rep", F.xxhash64("c", "value").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
-    own = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("posts"))  # 64 at most
+    own = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("posts"))  # 64 for each class
     own = own.where(F.size("posts") >= matches)
-    return classes.join(own, "id").select(
+    return classes.join(own, "rep").select(
         "id", "rep", "n", "sig", F.aggregate("posts", F.lit(0).cast("long"), lambda s, x: s + x["times"]).alias("weight"),
         F.slice("posts", F.lit(1), F.size("posts") - (matches - 1)).alias("prefix"), F.element_at("posts", -1).alias("home"))
 
 
+def _may_hold(keys: DataFrame, bits: int = 20):
+    """A test that is true for every value of the column `rep` of `keys`: a bit map of fixed size, 2 ** bits, by hash.
+
+    It keeps most rows that a semi join would drop from being shuffled for it; a full map only saves nothing."""
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(5), "rep"), 64 - bits)
+    found = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("m")).collect()
+    words = [0] * (1 << (bits - 6))
+    for r in found:
+        words[r["w"]] = r["m"]
+    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+    def test(key):
+        at = F.shiftrightunsigned(F.xxhash64(F.lit(5), key), 64 - bits)
+        return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+    return test
+
+
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """Per row of `docs`: key (an integer), n_shingles, component_id (smallest key reachable) and kept."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
@@ -189,35 +207,36 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     live = measured.where(F.col("_key").isNotNull() & (F.col("n") > 0))
     classes = materialize(live.groupBy("id").agg(F.min("_key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     found = materialize(_candidates(classes, matches))
-    texts = rows.join(found.select(F.col("rep").alias("_key")).distinct(), "_key", "left_semi")
+    owners = materialize(found.select(F.col("rep").alias("_key")).distinct())
+    texts = rows.where(_may_hold(found)(F.col("_key"))).join(owners, "_key", "left_semi")
     sets = texts.mapInArrow(_measure(shingle, True), "_key long, n long, id binary, set array<long>").select(F.col("_key").alias("rep"), "id", "set").dropDuplicates(["rep", "id"])
-    found = materialize(found.join(sets, ["rep", "id"]))
+    sets = materialize(sets.join(found.select("rep", "id"), ["rep", "id"]).select("rep", "set"))
 
     posts = found.select("rep", "weight", F.explode("prefix.token").alias("token"))
     hubs = posts.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("hub"), F.count(F.lit(1)).alias("times"))
     stars = posts.join(hubs.where(F.col("times") > 1), "token").select("rep", F.col("hub.rep").alias("hub")).where("rep <> hub").distinct()
-    one, two = (found.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("set").alias(f"set_{k}")) for k in ("rep", "hub"))
+    signed = lambda k: found.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
+    full = lambda k: sets.select(F.col("rep").alias(k), F.col("set").alias(f"set_{k}"))
     agree = F.size(F.filter(F.zip_with("sig_rep", "sig_hub", lambda x, y: x == y), lambda x: x))
+    near = 100 * F.least("n_rep", "n_hub") >= percent * F.greatest("n_rep", "n_hub")
+    close = materialize(stars.join(signed("rep"), "rep").join(signed("hub"), "hub").where(near & (agree >= matches)).select("rep", "hub"))
     both = F.size(F.array_intersect("set_rep", "set_hub"))
-    alike = stars.join(one, "rep").join(two, "hub").where(agree >= matches).where(100 * both >= percent * (F.size("set_rep") + F.size("set_hub") - both))
+    alike = close.join(full("rep"), "rep").join(full("hub"), "hub").where(100 * both >= percent * (F.size("set_rep") + F.size("set_hub") - both))
     first = materialize(alike.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
     reached = components(first)
 
     size = reached.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = (found.join(reached.withColumnRenamed("node", "rep"), "rep", "left").join(size, "root", "left")
-              .withColumn("comp", F.coalesce("root", "rep"))
-              .withColumn("block", F.xxhash64("home.token", F.when(F.col("members") >= LARGE, F.col("root")), F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.times") / BLOCK))))
-              .select("rep", "n", "sig", "set", "comp", "block", "prefix.token"))
-    placed = materialize(placed)
+    block = F.xxhash64("home.token", F.when(F.col("members") >= LARGE, F.col("root")), F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.times") / BLOCK)))
+    placed = materialize(found.join(reached.withColumnRenamed("node", "rep"), "rep", "left").join(size, "root", "left")
+                         .select("rep", "n", "sig", F.coalesce("root", "rep").alias("comp"), block.alias("block"), "prefix.token"))
     blocks = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = placed.select("comp", F.explode("token").alias("token")).groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h")
     touch = materialize(placed.select("block", F.explode("token").alias("token")).join(mixed.select("token"), "token", "left_semi").distinct().join(blocks, "block"))
     a, b = (touch.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ab")
-    pairs = a.join(b, "token").where("block_a <= block_b and least(low_a, low_b) <> greatest(high_a, high_b)").select("block_a", "block_b").distinct()
-    pairs = materialize(pairs)
+    pairs = materialize(a.join(b, "token").where("block_a <= block_b and least(low_a, low_b) <> greatest(high_a, high_b)").select("block_a", "block_b").distinct())
     sides = pairs.select("block_a", "block_b", F.lit(0).alias("side"), F.col("block_a").alias("block")).unionByName(
         pairs.where("block_a <> block_b").select("block_a", "block_b", F.lit(1).alias("side"), F.col("block_b").alias("block")))
-    met = sides.join(placed.select("rep", "n", "sig", "set", "comp", "block"), "block")
+    met = sides.join(placed.join(sets, "rep").select("rep", "n", "sig", "set", "comp", "block"), "block")
     second = met.select("block_a", "block_b", "side", "rep", "n", "sig", "set", "comp").groupBy("block_a", "block_b").applyInPandas(_compare(matches, percent), "u long, v long")
     links = first.unionByName(materialize(second))
 

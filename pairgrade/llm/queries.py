@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import extract, langid, licenses, linededup, mixing, nearcopies, perplexity, quality, topk
+from pairgrade.llm import bpe, extract, langid, licenses, linededup, mixing, nearcopies, perplexity, quality, topk
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -74,3 +74,18 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     found = linededup.report(table(spark, sf_dir, "documents"))
     return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
+def byte_bpe() -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.Tokenizer(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+@query("op9_byte_bpe")
+def op9(spark, sf_dir):
+    tok = byte_bpe()
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tok)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2(tok.decode(F.col("ids")), 256).alias("decoded_sha256"))
