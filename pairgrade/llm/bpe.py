@@ -2,14 +2,14 @@
 
 A word (a match of the split pattern) starts as the ids of its bytes.  A fold
 merges the neighbouring pair of lowest rank, the leftmost first, until no pair
-has a rank.  The ranks of pairs are a literal hash table of fixed size: two
+has a rank.  The ranks of pairs are a constant hash table of fixed size: two
 candidate slots for each pair (cuckoo hashing), so a look-up is two array
 reads.  Words of more than `LONG` bytes are kept as a text of ids instead, in
 which one step replaces every occurrence of the pair, so that a run of one
 letter takes steps by its logarithm.
 
 Distinct words are counted first.  The `FREQUENT` most frequent ones are
-folded once each and go into a second literal table, which serves most words
+folded once each and go into a second constant table, which serves most words
 of a text; the others are folded where they occur.  The table's size is that
 parameter, whatever the corpus; results do not depend on it.
 
@@ -27,16 +27,18 @@ each.
 from __future__ import annotations
 
 import base64
-import json
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgrade.llm.constants import constant, let
 from pairgrade.session import materialize
 
 FREQUENT = 40_000
 LONG = 48
 ID_BITS = 17
+NONE = 1 << 40
 _M1, _M2 = 0x9E3779B, 0x85EBCA7  # odd multipliers of the two slot functions; a pair's key times one of them fits 63 bits
 
 
@@ -73,11 +75,6 @@ def _places(key: int, bits: int) -> tuple[int, int]:
     return ((key * _M1) >> 19) & mask, ((key * _M2) >> 22) & mask
 
 
-def _literal(values: list, kind: str) -> Column:
-    """A literal array: the text is folded to one literal when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(values, ensure_ascii=True)), kind)
-
-
 class Tokenizer:
     """Column expressions for one vocabulary."""
 
@@ -95,38 +92,42 @@ class Tokenizer:
         keys = list(pairs)
         table = _cuckoo([_places(k, self.bits) for k in keys], 1 << self.bits)
         # key and id of a pair in one number
-        self.table = _literal([-1 if i < 0 else keys[i] << ID_BITS | pairs[keys[i]] for i in table], "array<bigint>")
-        self.first = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        self.hex = _literal([x.hex() for x in (lambda t: [t.get(i, b"") for i in range(max(t) + 1)])({r: t for t, r in ranks.items()})], "array<string>")
-        self.whole = {t: r for t, r in ranks.items() if len(t) > 1}
+        self.pairs = pa.array([-1 if i < 0 else keys[i] << ID_BITS | pairs[keys[i]] for i in table], pa.int64())
+        self.first = pa.array([ranks[bytes([b])] for b in range(256)], pa.int64())
+        token = {r: t for t, r in ranks.items()}
+        self.hex = pa.array([token.get(i, b"").hex() for i in range(max(token) + 1)])
 
-    def _pair(self, a: Column, b: Column) -> Column:
+    def tables(self, spark: SparkSession, **more: pa.Array) -> Column:
+        return constant(spark, pairs=self.pairs, first=self.first, **more)
+
+    def _pair(self, t: Column, a: Column, b: Column) -> Column:
         """Id of the merged pair, or a number above all ids."""
         key = F.shiftleft(a.cast("long"), ID_BITS).bitwiseOR(b.cast("long"))
         mask = (1 << self.bits) - 1
-        one = F.get(self.table, F.shiftright(key * F.lit(_M1), 19).bitwiseAND(mask).cast("int"))
-        two = F.get(self.table, F.shiftright(key * F.lit(_M2), 22).bitwiseAND(mask).cast("int"))
+        one = F.get(t["pairs"], F.shiftright(key * F.lit(_M1), 19).bitwiseAND(mask).cast("int"))
+        two = F.get(t["pairs"], F.shiftright(key * F.lit(_M2), 22).bitwiseAND(mask).cast("int"))
         low = F.lit((1 << ID_BITS) - 1)
-        return F.when(F.shiftright(one, ID_BITS) == key, one.bitwiseAND(low)).when(F.shiftright(two, ID_BITS) == key, two.bitwiseAND(low)).otherwise(F.lit(1 << 40))
+        return let(one, lambda x: F.when(F.shiftright(x, ID_BITS) == key, x.bitwiseAND(low)).otherwise(
+            let(two, lambda y: F.when(F.shiftright(y, ID_BITS) == key, y.bitwiseAND(low)).otherwise(F.lit(NONE)))))
 
-    def _ranks(self, ids: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: self._pair(F.get(ids, i), F.get(ids, i + 1)))
+    def _ranks(self, t: Column, ids: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: self._pair(t, F.get(ids, i), F.get(ids, i + 1)))
 
-    def _bytes(self, word: Column) -> Column:
+    def _bytes(self, t: Column, word: Column) -> Column:
         code = F.encode(word, "UTF-8")
-        return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(self.first, F.conv(F.hex(F.substring(code, i, F.lit(1))), 16, 10).cast("int")).cast("long"))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(t["first"], F.conv(F.hex(F.substring(code, i, F.lit(1))), 16, 10).cast("int")))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one word that is not empty."""
+    def fold(self, t: Column, word: Column) -> Column:
+        """Ids of one word that is not empty; t: the tables."""
 
         def short(ids: Column) -> Column:
             def merge(acc: Column, ranks: Column) -> Column:
                 low = F.array_min(ranks)
                 at = F.array_position(ranks, low).cast("int")
                 merged = F.concat(F.slice(acc, F.lit(1), at - 1), F.array(low), F.slice(acc, at + 2, F.size(acc)))
-                return F.when(low < F.lit(1 << 40), merged).otherwise(acc)
+                return F.when(low < F.lit(NONE), merged).otherwise(acc)
 
-            return F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, lambda acc, _: F.when(F.size(acc) > 1, _with(self._ranks(acc), lambda r: merge(acc, r))).otherwise(acc))
+            return F.aggregate(F.sequence(F.lit(2), F.size(ids)), ids, lambda acc, _: F.when(F.size(acc) > 1, let(self._ranks(t, acc), lambda r: merge(acc, r))).otherwise(acc))
 
         def long(ids: Column) -> Column:
             """Over a text of ids, each between spaces of its own."""
@@ -141,50 +142,45 @@ class Tokenizer:
                     at = F.array_position(ranks, low).cast("int")
                     pair = F.concat(F.lit(" "), F.get(ids, at - 1).cast("string"), F.lit("  "), F.get(ids, at).cast("string"), F.lit(" "))
                     out = F.replace(s, pair, F.concat(F.lit(" "), low.cast("string"), F.lit(" ")))
-                    return F.when(F.coalesce(low < F.lit(1 << 40), F.lit(False)), F.struct(out.alias("s"), F.lit(False).alias("done"))).otherwise(F.struct(s.alias("s"), F.lit(True).alias("done")))
+                    return F.when(F.coalesce(low < F.lit(NONE), F.lit(False)), F.struct(out.alias("s"), F.lit(False).alias("done"))).otherwise(F.struct(s.alias("s"), F.lit(True).alias("done")))
 
-                return _with(now, lambda ids: F.when(F.size(ids) > 1, _with(self._ranks(ids), lambda r: replace(ids, r))).otherwise(F.struct(s.alias("s"), F.lit(True).alias("done"))))
+                return let(now, lambda ids: F.when(F.size(ids) > 1, let(self._ranks(t, ids), lambda r: replace(ids, r))).otherwise(F.struct(s.alias("s"), F.lit(True).alias("done"))))
 
             end = F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, lambda acc, _: F.when(acc["done"], acc).otherwise(step(acc["s"])))
             return F.split(F.trim(end["s"]), "  ").cast("array<bigint>")
 
-        return _with(self._bytes(word), lambda ids: F.when(F.size(ids) < 2, ids).when(F.size(ids) <= LONG, short(ids)).otherwise(long(ids)))
+        return let(self._bytes(t, word), lambda ids: F.when(F.size(ids) < 2, ids).when(F.size(ids) <= LONG, short(ids)).otherwise(long(ids)))
 
     def words(self, text: Column) -> Column:
         return F.coalesce(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), F.array().cast("array<string>"))
 
-    def frequent(self, docs: DataFrame, text: str, most: int) -> tuple[Column, Column, int] | None:
-        """Literal tables of the most frequent words and their ids, folded once each."""
+    def frequent(self, docs: DataFrame, text: str, most: int) -> tuple[dict[str, pa.Array], int]:
+        """Tables of the most frequent words and their ids, folded once each; the mask of their slots."""
         rows = docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         top = materialize(rows.where((F.col("n") > 1) & (F.octet_length("word") <= LONG)).orderBy(F.desc("n"), "word").limit(most))
-        got = (top.repartition(max(1, most // 2000)).select("word", self.fold(F.col("word")).alias("ids"), F.xxhash64(F.lit(1), "word").alias("a"), F.xxhash64(F.lit(2), "word").alias("b")).collect())
-        if not got:
-            return None
+        folded = let(F.col("_tables"), lambda t: self.fold(t, F.col("word")))
+        got = top.repartition(max(1, most // 2000)).withColumn("_tables", self.tables(docs.sparkSession)).select("word", folded.alias("ids"), *(F.xxhash64(F.lit(i), "word").alias(f"h{i}") for i in (1, 2))).collect()
         bits = max(4, (len(got) * 5 // 2).bit_length())
         mask = (1 << bits) - 1
-        table = _cuckoo([(r["a"] & mask, r["b"] & mask) for r in got], 1 << bits)
-        return _literal([None if i < 0 else got[i]["word"] for i in table], "array<string>"), _literal([None if i < 0 else got[i]["ids"] for i in table], "array<array<bigint>>"), mask
-
-    def ids(self, text: Column, cache: tuple[Column, Column, int] | None) -> Column:
-        def one(word: Column) -> Column:
-            if cache is None:
-                return self.fold(word)
-            names, held, mask = cache
-            slot = lambda seed: F.xxhash64(F.lit(seed), word).bitwiseAND(mask).cast("int")
-            return _with(slot(1), lambda i: F.when(F.coalesce(F.get(names, i) == word, F.lit(False)), F.get(held, i)).otherwise(
-                _with(slot(2), lambda j: F.when(F.coalesce(F.get(names, j) == word, F.lit(False)), F.get(held, j)).otherwise(self.fold(word)))))
+        table = _cuckoo([(r["h1"] & mask, r["h2"] & mask) for r in got], 1 << bits)
+        return {"names": pa.array([None if i < 0 else got[i]["word"] for i in table], pa.string()),
+                "held": pa.array([None if i < 0 else got[i]["ids"] for i in table], pa.list_(pa.int64()))}, mask
 
-        return F.flatten(F.transform(self.words(text), one))
+    def encode(self, docs: DataFrame, text: str, ids: str, frequent: int = FREQUENT) -> DataFrame:
+        """`docs` with the column `ids`."""
+        held, mask = self.frequent(docs, text, frequent) if frequent else ({}, 0)
 
-    def decode(self, ids: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.hex, i.cast("int"))), ""))
-
-
-def _with(value: Column, use) -> Column:
-    """`use` of a value that is computed once: a variable within an expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+        def one(t: Column, word: Column) -> Column:
+            if not held:
+                return self.fold(t, word)
+            slot = lambda seed: F.xxhash64(F.lit(seed), word).bitwiseAND(mask).cast("int")
+            at = lambda i, other: F.when(F.coalesce(F.get(t["names"], i) == word, F.lit(False)), F.get(t["held"], i)).otherwise(other)
+            return let(slot(1), lambda i: at(i, let(slot(2), lambda j: at(j, self.fold(t, word)))))
 
+        whole = let(F.col("_tables"), lambda t: F.flatten(F.transform(self.words(F.col(text)), lambda word: one(t, word))))
+        return docs.withColumn("_tables", self.tables(docs.sparkSession, **held)).withColumn(ids, whole).drop("_tables")
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "ids", frequent: int = FREQUENT) -> DataFrame:
-    """`docs` with the tokens of `text` in the array column `ids`."""
-    return docs.withColumn(ids, tokenizer.ids(F.col(text), tokenizer.frequent(docs, text, frequent)))
+    def decode(self, rows: DataFrame, ids: str, out: str) -> DataFrame:
+        """`rows` with the binary column `out`, the bytes of `ids`."""
+        pieces = let(F.col("_tables"), lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t["hex"], i.cast("int"))), "")))
+        return rows.withColumn("_tables", constant(rows.sparkSession, hex=self.hex)).withColumn(out, pieces).drop("_tables")
