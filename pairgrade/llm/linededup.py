@@ -6,7 +6,7 @@ similarity of at least `PERCENT` / 100.  Lines of fewer than `MIN_WORDS` words
 are no boilerplate worth removing and stay.
 
 * Rarity: words are counted over all lines in `RARITY` counters, by hash.  The
-  counters' order goes into the plan as one literal array of fixed size, so
+  counters' order goes to the tasks as one array of fixed size, so
   each word becomes a number whose order is rarity first, hash second; sets
   are sorted arrays of these numbers.
 * Equal sets are one class with its earliest place.
@@ -21,7 +21,8 @@ are no boilerplate worth removing and stay.
 
 Both joins are semi joins: a line leaves at its first match, so a group of many
 similar lines yields one row for each line and not one for each pair.  The
-joins are on the word alone, between plain exchanges, so a frequent word's
+first keeps every line with a candidate on either side, its two sides being
+one exchange; the second asks for an earlier match.  They are on the word alone, between plain exchanges, so a frequent word's
 partition can be split.
 
 Edge cases: null texts stay null, empty ones empty; lines of rows without a key
@@ -32,41 +33,49 @@ texts and lines of any length are used whole.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairgrade.llm.constants import constant, let
 from pairgrade.session import materialize
 
 PERCENT, MIN_WORDS = 90, 3
 RARITY_BITS = 17
 
 
+# Fixed: white space within a line.
+_SPACE = " \\t\\x0b\\x0c\\r"
+
+
 def _words(line: Column) -> Column:
-    return F.split(F.trim(line, F.lit(" \t\x0b\x0c\r")), "[ \\t\\x0b\\x0c\\r]+")
+    return F.split(F.trim(line, F.lit(" \t\x0b\x0c\r")), f"[{_SPACE}]+")
 
 
 def _lines(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
+    """Lines of at least `min_words` words (a pattern from the line's start, so that a filter does not split the line)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    return rows.select("doc", "line", _words(F.col("body")).alias("words")).where(F.size("words") >= min_words)
+    return rows.where(F.col("body").rlike(f"^[{_SPACE}]*+(?:[^{_SPACE}]++[{_SPACE}]++){{{max(0, min_words - 1)}}}[^{_SPACE}]"))
 
 
-def _order(lines: DataFrame) -> Column:
-    """Literal array: place of each of the 2 ** RARITY_BITS hash counters, rarest first."""
+def _order(docs: DataFrame, text: str) -> Column:
+    """Place of each of the 2 ** RARITY_BITS hash counters, rarest first, as a constant of the query."""
     n = 1 << RARITY_BITS
-    counts = lines.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(n - 1).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = docs.select(F.explode(F.split(text, f"[{_SPACE}\\n]+")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(n - 1).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     found = {r["b"]: r["n"] for r in counts}
     place = [0] * n
     for i, b in enumerate(sorted(range(n), key=lambda b: (found.get(b, 0), b))):
         place[b] = i
-    return F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
+    return constant(docs.sparkSession, place=pa.array(place, pa.int32()))
 
 
 def _sets(lines: DataFrame, order: Column) -> DataFrame:
     """set: sorted distinct numbers of the words; the high bits are the place in `order`, the low ones the rest of the hash."""
     n = 1 << RARITY_BITS
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    number = F.transform(hashed, lambda h: F.shiftleft(F.get(order, h.bitwiseAND(n - 1).cast("int")).cast("long"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1)))
-    return lines.select("doc", "line", F.sort_array(F.array_distinct(number)).alias("set"))
+    hashed = F.transform(_words(F.col("body")), lambda w: F.xxhash64(w))
+    number = lambda t: F.transform(hashed, lambda h: F.shiftleft(F.get(t["place"], h.bitwiseAND(n - 1).cast("int")).cast("long"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1)))
+    rows = lines.withColumn("_order", order)
+    return rows.select("doc", "line", let(F.col("_order"), lambda t: F.sort_array(F.array_distinct(number(t)))).alias("set"))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -83,7 +92,7 @@ def _least_common(percent: int, a: str, b: str) -> Column:
 def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc and line (from 0) of every line that goes."""
     lines = _lines(docs, text, key, min_words)
-    order = _order(lines)
+    order = _order(docs, text)
     prefix = F.slice("set", F.lit(1), F.size("set") - F.ceil(percent * F.size("set") / 100).cast("int") + 1)
     parity = F.aggregate("set", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     held = materialize(_sets(lines, order).select("doc", "line", F.size("set").alias("n"), F.xxhash64(F.lit(1), "set").alias("k1"), F.xxhash64(F.lit(2), "set").alias("k2"), prefix.alias("prefix"), parity.alias("parity")))
@@ -100,17 +109,16 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
     differ = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
     like = ((F.col("a.word") == F.col("b.word")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
             & (rest >= common) & (F.col("a.n") + F.col("b.n") - differ >= 2 * common))
-    later = materialize(b.join(a, like & _earlier("a", "b"), "left_semi").select("doc", "line").distinct())
-    first = materialize(a.join(b, like & _earlier("a", "b"), "left_semi").select("doc", "line").distinct())
+    apart = _earlier("a", "b") | _earlier("b", "a")
+    touched = materialize(a.join(b, like & apart, "left_semi").select("doc", "line").distinct())
 
-    touched = first.unionByName(later).distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
     owners = touched.select(F.col("doc").alias("owner")).distinct()
     again = _lines(texts.join(owners, F.col("doc").eqNullSafe(F.col("owner")), "left_semi"), "_text", "doc", min_words)
     whole = _sets(again, order).withColumn("n", F.size("set")).withColumn("parity", parity).withColumn("prefix", prefix)
-    wanted = lambda side: whole.join(side.select(F.col("doc").alias("d"), F.col("line").alias("l")), F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
-    post = lambda df: df.select("doc", "line", "n", "parity", "set", F.posexplode("prefix").alias("i", "word"))
-    a, b = post(wanted(first)).alias("a"), post(wanted(later)).alias("b")
+    wanted = whole.join(touched.select(F.col("doc").alias("d"), F.col("line").alias("l")), F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
+    full = wanted.select("doc", "line", "n", "parity", "set", F.posexplode("prefix").alias("i", "word"))
+    a, b = full.alias("a"), full.alias("b")
     exact = F.size(F.array_intersect(F.col("a.set"), F.col("b.set"))) >= common
     near = materialize(b.join(a, like & _earlier("a", "b") & exact, "left_semi").select("doc", "line").distinct())
 
