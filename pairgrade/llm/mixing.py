@@ -99,7 +99,7 @@ def copies(rows: DataFrame, key: str = "doc_id", source: str = "source", size: s
     done, left, depth = [], max(1, -(-most // fan)), 0
 
     def meet(depth: int, root: bool):
-        def run(ident, g: pd.DataFrame) -> pd.DataFrame:
+        def run(ident: tuple, g: pd.DataFrame) -> pd.DataFrame:
             g = g.assign(_id=g["_key"].astype(str)).sort_values(["_size", "_id"], ascending=[False, True], kind="stable").drop(columns="_id")
             rng = np.random.default_rng([seed, int(ident[0]), depth, int(ident[1])])
             part = settle(g["_size"].to_numpy(), g["part"].to_numpy(), rng)

@@ -86,7 +86,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
     asked = rows.where("q").select("id", "v", "n", salt(q_groups, 1).alias("qg")).withColumn("cg", every(n_groups))
     held = rows.select("id", "v", "n", salt(n_groups, 2).alias("cg")).withColumn("qg", every(q_groups))
 
-    def meet(ident, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def meet(ident: tuple, a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         query, columns = np.stack(a["v"].to_numpy()), np.ascontiguousarray(np.stack(c["v"].to_numpy()).T)
