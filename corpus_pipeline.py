@@ -27,12 +27,17 @@ def _identity(*columns: str):
     return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
 
 
+def _whole(docs: DataFrame, own) -> DataFrame:
+    """Rows as one column `row` beside their `id`, so that no name of theirs can clash."""
+    return docs.select(own.alias("id"), F.struct(*docs.columns).alias("row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and lie in their language's perplexity band."""
     own = _identity("doc_id", "text", "lang")
-    rows = docs.select(own.alias("_row"), "lang", "text")
-    good = perplexity.verdict(rows, key="_row").where("kept").select("_row").distinct()
-    return docs.withColumn("_row", own).join(good, "_row", "left_semi").select(*docs.columns)
+    rows = docs.select(own.alias("id"), "lang", "text")
+    good = perplexity.verdict(rows, key="id").where("kept").select("id").distinct()
+    return _whole(docs, own).join(good, "id", "left_semi").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +48,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-copies, the one of the smallest doc_id."""
-    gone = nearcopies.near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = nearcopies.near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    return _whole(docs, F.col("doc_id").cast("long")).join(gone, "id", "left_anti").select("row.*").dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
     own = F.xxhash64("doc_id", "text")
-    taken = mixing.copies(docs.select(own.alias("_row"), "source", mixing.word_count(F.col("text")).alias("size")), key="_row")
-    taken = taken.groupBy("_row").agg(F.max("copies").alias("_copies")).where(F.col("_copies") > 0)
-    rows = docs.withColumn("_row", own).join(taken, "_row")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    taken = mixing.copies(docs.select(own.alias("id"), "source", mixing.word_count(F.col("text")).alias("size")), key="id")
+    taken = taken.groupBy("id").agg(F.max("copies").alias("copies")).where(F.col("copies") > 0)
+    rows = _whole(docs, own).join(taken, "id")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

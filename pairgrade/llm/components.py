@@ -30,4 +30,4 @@ def components(links: DataFrame) -> DataFrame:
         roots = materialize(follow(roots, "root"))
         moved = follow(follow(edges, "a"), "b")
         edges = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") < F.col("b")).distinct())
-    return roots
+    return roots.select("node", "root")

@@ -80,7 +80,7 @@ def build(counts: list[tuple[str, np.ndarray, np.ndarray]], order: int) -> Model
     """Model from (language, grams of the full order, counts), one entry for each language."""
     counts = sorted(counts, key=lambda x: x[0])
     m = Model([x[0] for x in counts], order, [], [], [], [])
-    for d in range(order + 1):
+    for d in range(order + 1 if counts else 0):
         own = []
         for _, key, n in counts:
             cut, at = np.unique(key & key.dtype.type((1 << (8 * (d + 1))) - 1), return_inverse=True)

@@ -145,8 +145,10 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: in
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the texts' remaining lines; rows and other columns stay as they are."""
     gone = _by_document(removals(docs, text, key, percent, min_words))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_doc")), "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.struct(*docs.columns).alias("row")).join(gone, F.col("_key").eqNullSafe(F.col("_doc")), "left")
+    kept = F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    out = F.when(F.col("_gone").isNull(), F.col("row")[text]).otherwise(kept)
+    return rows.select(*(out.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def sql(percent: int = PERCENT, min_words: int = MIN_WORDS) -> str:

@@ -153,7 +153,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         for b in batches:
             out = np.zeros(b.num_rows)
             for lo, hi, data, off in flat.chunks(b.column("_text")):
-                out[lo:hi] = 1 / (1 + np.exp(-np.clip(m.logit(data, off), -700, 700)))
+                with np.errstate(over="ignore"):
+                    out[lo:hi] = 1 / (1 + np.exp(-m.logit(data, off)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
 
     return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -9,11 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from pairgrade.session import local_session
 
     s = local_session(4, shuffle_partitions=4, name="tests")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
