@@ -17,8 +17,9 @@ pairs are candidates from 36 collisions on and are confirmed on full sets.
 * Rest, exactly: classes lie in blocks of about `BLOCK` (by heaviest posting
   and, within a large component, by component).  Blocks that share a posting
   and hold more than one component between them are compared in one task:
-  collisions are counted on the signatures, candidates confirmed on the sets,
-  and only the links of a spanning forest returned.  So no group is held by
+  collisions are counted on the signatures; the members that have a candidate
+  are compared once more with their sets, and only the links of a spanning
+  forest returned.  So no group is held by
   one task, no pair is emitted that is not a link, none is left out.
 
 Links are joined to components; a class of copies takes part as one node.
@@ -82,22 +83,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         for k, salt in enumerate(_SALTS):
             x = part * salt
             out[k] = min(out[k], (x ^ (x >> np.uint64(29))).min())
-    return flat.mix(out * np.uint64(0xBF58476D1CE4E5B9) + _SALTS)
+    return (flat.mix(out * np.uint64(0xBF58476D1CE4E5B9) + _SALTS) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _measure(size: int, full: bool):
-    """Arrow function: key, n, id (digest of the set) and signature, or the set itself, of each text."""
+def _signatures(size: int):
+    """Arrow function: key, n, id (digest of the set) and signature of each text."""
 
     def run(batches):
         for b in batches:
             for lo, hi, data, off in flat.chunks(b.column("_text")):
                 sets = shingle_sets(data, off, size)
                 ids = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-                third = sets if full else [signature(s) if len(s) else None for s in sets]
-                third = [None if s is None else s.view(np.int64) for s in third]
+                sigs = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_key").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(third, pa.list_(pa.int64()))],
-                    ["_key", "n", "id", "set" if full else "sig"])
+                    [b.column("_key").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
+                    ["_key", "n", "id", "sig"])
+
+    return run
+
+
+def _sets(size: int):
+    """Arrow function: rep and set of each text whose set has the wanted digest."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in flat.chunks(b.column("_text")):
+                rep, want = b.column("rep").slice(lo, hi - lo), b.column("id").slice(lo, hi - lo).to_pylist()
+                sets = shingle_sets(data, off, size)
+                own = [i for i, s in enumerate(sets) if hashlib.md5(s.tobytes()).digest() == want[i]]
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(own, pa.int64())), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], ["rep", "set"])
 
     return run
 
@@ -147,20 +161,45 @@ def forest(ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _sides(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of the two blocks of a pair; the same twice for a block with itself."""
+    first = g[g["side"] == 0]
+    return first, g[g["side"] == 1] if (g["block_a"] != g["block_b"]).any() else first
+
+
+def _collisions(first: pd.DataFrame, second: pd.DataFrame, matches: int, percent: int) -> np.ndarray:
+    """(row of first, row of second) of different components whose signatures collide often enough."""
+    if not len(first) or not len(second):
+        return np.zeros((0, 2), np.int64)
+    a_sig, b_sig = np.stack(first["sig"].to_numpy()), np.stack(second["sig"].to_numpy())
+    n = np.zeros((len(first), len(second)), np.int16)
+    for k in range(a_sig.shape[1]):
+        n += a_sig[:, k, None] == b_sig[None, :, k]
+    na, nb = first["n"].to_numpy()[:, None], second["n"].to_numpy()[None, :]
+    ok = (n >= matches) & (first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :])
+    ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    return np.argwhere(np.triu(ok, 1) if second is first else ok)
+
+
+def _needed(matches: int, percent: int):
+    """Pandas function over two blocks' signatures: the members that have a candidate, with their side."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        first, second = _sides(g)
+        pairs = _collisions(first, second, matches, percent)
+        if second is first:
+            return first.iloc[np.unique(pairs)][["block_a", "block_b", "side", "rep"]]
+        return pd.concat([x.iloc[np.unique(pairs[:, i])][["block_a", "block_b", "side", "rep"]] for i, x in enumerate((first, second))])
+
+    return run
+
+
 def _compare(matches: int, percent: int):
-    """Pandas function over the rows of two blocks (side 0 and 1; one block with itself: only side 0)."""
+    """Pandas function over two blocks' members with their sets: links of a spanning forest."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        first = g[g["side"] == 0]
-        second = g[g["side"] == 1] if (g["side"] == 1).any() else first
-        a_sig, b_sig = np.stack(first["sig"].to_numpy()), np.stack(second["sig"].to_numpy())
-        n = np.zeros((len(first), len(second)), np.int16)
-        for k in range(a_sig.shape[1]):
-            n += a_sig[:, k, None] == b_sig[None, :, k]
-        na, nb = first["n"].to_numpy()[:, None], second["n"].to_numpy()[None, :]
-        ok = (n >= matches) & (first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :])
-        ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-        pairs = np.argwhere(np.triu(ok, 1) if second is first else ok)
+        first, second = _sides(g)
+        pairs = _collisions(first, second, matches, percent)
         if not len(pairs):
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
         view = lambda f: [np.asarray(x, np.int64).view(np.uint64) for x in f["set"]]
@@ -203,14 +242,13 @@ def _may_hold(keys: DataFrame, bits: int = 20):
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """Per row of `docs`: key (an integer), n_shingles, component_id (smallest key reachable) and kept."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    measured = materialize(rows.mapInArrow(_measure(shingle, False), "_key long, n long, id binary, sig array<long>"))
+    measured = materialize(rows.mapInArrow(_signatures(shingle), "_key long, n long, id binary, sig array<int>"))
     live = measured.where(F.col("_key").isNotNull() & (F.col("n") > 0))
     classes = materialize(live.groupBy("id").agg(F.min("_key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     found = materialize(_candidates(classes, matches))
-    owners = materialize(found.select(F.col("rep").alias("_key")).distinct())
-    texts = rows.where(_may_hold(found)(F.col("_key"))).join(owners, "_key", "left_semi")
-    sets = texts.mapInArrow(_measure(shingle, True), "_key long, n long, id binary, set array<long>").select(F.col("_key").alias("rep"), "id", "set").dropDuplicates(["rep", "id"])
-    sets = materialize(sets.join(found.select("rep", "id"), ["rep", "id"]).select("rep", "set"))
+    owners = materialize(found.select("rep", "id"))
+    texts = rows.where(_may_hold(found)(F.col("_key"))).join(owners, F.col("_key") == F.col("rep")).select("rep", "id", "_text")
+    sets = materialize(texts.mapInArrow(_sets(shingle), "rep long, set array<long>"))
 
     posts = found.select("rep", "weight", F.explode("prefix.token").alias("token"))
     hubs = posts.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("hub"), F.count(F.lit(1)).alias("times"))
@@ -236,8 +274,11 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     pairs = materialize(a.join(b, "token").where("block_a <= block_b and least(low_a, low_b) <> greatest(high_a, high_b)").select("block_a", "block_b").distinct())
     sides = pairs.select("block_a", "block_b", F.lit(0).alias("side"), F.col("block_a").alias("block")).unionByName(
         pairs.where("block_a <> block_b").select("block_a", "block_b", F.lit(1).alias("side"), F.col("block_b").alias("block")))
-    met = sides.join(placed.join(sets, "rep").select("rep", "n", "sig", "set", "comp", "block"), "block")
-    second = met.select("block_a", "block_b", "side", "rep", "n", "sig", "set", "comp").groupBy("block_a", "block_b").applyInPandas(_compare(matches, percent), "u long, v long")
+    ends = ["block_a", "block_b"]
+    met = sides.join(placed.select("rep", "n", "sig", "comp", "block"), "block")
+    needed = materialize(met.groupBy(*ends).applyInPandas(_needed(matches, percent), "block_a long, block_b long, side int, rep long"))
+    near = needed.join(placed.select("rep", "n", "sig", "comp"), "rep").join(sets, "rep")
+    second = near.groupBy(*ends).applyInPandas(_compare(matches, percent), "u long, v long")
     links = first.unionByName(materialize(second))
 
     roots = components(links)
