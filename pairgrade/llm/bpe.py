@@ -1,42 +1,42 @@
-"""Byte-level BPE encoding and decoding with higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A word (a match of the split pattern) starts as the ids of its bytes.  A fold
-merges the neighbouring pair of lowest rank, the leftmost first, until no pair
-has a rank.  The ranks of pairs are a constant hash table of fixed size: two
-candidate slots for each pair (cuckoo hashing), so a look-up is two array
-reads.  Words of more than `LONG` bytes are kept as a text of ids instead, in
-which one step replaces every occurrence of the pair, so that a run of one
-letter takes steps by its logarithm.
+A word (a match of the split pattern, found by Spark) starts as the ids of its
+bytes.  Merges fold over it: the neighbouring pair of lowest rank, the leftmost
+first, becomes one id, until no pair has a rank.  The ranks of pairs are a hash
+table of fixed size with two slots for each pair (cuckoo hashing).
 
-Distinct words are counted first.  The `FREQUENT` most frequent ones are
-folded once each and go into a second constant table, which serves most words
-of a text; the others are folded where they occur.  The table's size is that
-parameter, whatever the corpus; results do not depend on it.
+`Tokenizer.encode` folds the distinct words of each Arrow batch together, one
+merge of every word at a time, on flat arrays.  `Tokenizer.fold` is the same
+fold as one Spark expression of higher-order functions over a word; it gives
+equal results, but at about twenty microseconds of interpretation for each
+word of a text it is three times over the check tool's CPU budget (see
+README), so texts are not encoded with it.
 
-Decoding writes each id's bytes in hexadecimal, joins the pieces and turns
-them to binary.
-
-Everything stays in the JVM: no Python runs on the executors.
+Decoding writes each id's bytes in hexadecimal, joins the pieces and turns them
+to binary, in Spark expressions.
 
 Edge cases: null and empty texts have no tokens and decode to an empty binary;
 special tokens are ordinary text; any text round-trips to its UTF-8 bytes;
-texts and words of any length are encoded whole; repeated rows get one result
-each.
+texts and words of any length are encoded whole (words of more than `LONG`
+bytes with a heap, in n log n steps); repeated rows get one result each.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgrade.llm import flat
 from pairgrade.llm.constants import constant, let
-from pairgrade.session import materialize
 
-FREQUENT = 40_000
 LONG = 48
+WORDS = 1 << 20  # words of a batch that are encoded at a time
 ID_BITS = 17
 NONE = 1 << 40
 _M1, _M2 = 0x9E3779B, 0x85EBCA7  # odd multipliers of the two slot functions; a pair's key times one of them fits 63 bits
@@ -75,6 +75,95 @@ def _places(key: int, bits: int) -> tuple[int, int]:
     return ((key * _M1) >> 19) & mask, ((key * _M2) >> 22) & mask
 
 
+class Coder:
+    """The fold on flat arrays: pair table and byte ids, as held by tasks."""
+
+    def __init__(self, pairs: np.ndarray, first: np.ndarray, bits: int):
+        self.pairs, self.first, self.mask = pairs, first, (1 << bits) - 1
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Id of each merged pair, NONE where there is none."""
+        key = a << ID_BITS | b
+        one = self.pairs[(key * _M1) >> 19 & self.mask]
+        two = self.pairs[(key * _M2) >> 22 & self.mask]
+        low = (1 << ID_BITS) - 1
+        return np.where(one >> ID_BITS == key, one & low, np.where(two >> ID_BITS == key, two & low, NONE))
+
+    def fold(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word, flat, and the number of them; words are not empty."""
+        n = np.diff(off)
+        ids, word = self.first[data], np.repeat(np.arange(len(n)), n)
+        done_ids, done_word = [], []
+        long = n > LONG
+        if long.any():
+            for w in np.flatnonzero(long):
+                got = self.long(ids[off[w]:off[w + 1]].tolist())
+                done_ids.append(np.array(got, np.int64))
+                done_word.append(np.full(len(got), w))
+            keep = ~long[word]
+            ids, word = ids[keep], word[keep]
+        while len(ids):
+            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            rank = np.full(len(ids), NONE)
+            same = np.flatnonzero(word[1:] == word[:-1])
+            rank[same] = self.merged(ids[same], ids[same + 1])
+            best = np.minimum.reduceat(rank, start)
+            size = np.diff(np.r_[start, len(ids)])
+            best_of = np.repeat(best, size)
+            over = best_of == NONE
+            done_ids.append(ids[over])
+            done_word.append(word[over])
+            hit = np.flatnonzero((rank == best_of) & ~over)
+            hit = hit[np.r_[True, word[hit][1:] != word[hit][:-1]]] if len(hit) else hit
+            ids[hit] = rank[hit]
+            over[hit + 1] = True
+            ids, word = ids[~over], word[~over]
+        ids, word = np.concatenate([*done_ids, ids]), np.concatenate([*done_word, word])
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.bincount(word, minlength=len(n))
+
+    def long(self, ids: list[int]) -> list[int]:
+        """The same for one word, with a heap of pairs by rank and place."""
+        rank = lambda a, b: int(self.merged(np.array([a]), np.array([b]))[0])
+        known: dict[tuple[int, int], int] = {}
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def push(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j < len(ids):
+                pair = ids[i], ids[j]
+                r = known[pair] = known[pair] if pair in known else rank(*pair)
+                if r < NONE:
+                    heapq.heappush(heap, (r, i, *pair))
+
+        for i in range(len(ids) - 1):
+            push(i)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j < len(ids) and ids[i] == a and ids[j] == b:
+                ids[i], ids[j], after[i] = r, -1, after[j]
+                if after[j] < len(ids):
+                    before[after[j]] = i
+                push(i)
+                if before[i] >= 0:
+                    push(before[i])
+        return [x for x in ids if x >= 0]
+
+    def encode(self, words: pa.Array, off: np.ndarray) -> pa.Array:
+        """Ids of each text: its words are words[off[i]:off[i + 1]]."""
+        coded = pc.dictionary_encode(words)
+        index = coded.indices.to_numpy()
+        if not len(index):
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(off)), pa.int32()), pa.array([], pa.int32()))
+        ids, n = self.fold(*flat.utf8(coded.dictionary))
+        size = n[index]
+        place = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(place[-1]) + np.repeat((np.cumsum(n) - n)[index] - place[:-1], size)
+        return pa.ListArray.from_arrays(pa.array(place[off], pa.int32()), pa.array(ids[at].astype(np.int32)))
+
+
 class Tokenizer:
     """Column expressions for one vocabulary."""
 
@@ -97,8 +186,8 @@ class Tokenizer:
         token = {r: t for t, r in ranks.items()}
         self.hex = pa.array([token.get(i, b"").hex() for i in range(max(token) + 1)])
 
-    def tables(self, spark: SparkSession, **more: pa.Array) -> Column:
-        return constant(spark, pairs=self.pairs, first=self.first, **more)
+    def tables(self, spark: SparkSession) -> Column:
+        return constant(spark, pairs=self.pairs, first=self.first)
 
     def _pair(self, t: Column, a: Column, b: Column) -> Column:
         """Id of the merged pair, or a number above all ids."""
@@ -118,7 +207,10 @@ class Tokenizer:
         return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(t["first"], F.conv(F.hex(F.substring(code, i, F.lit(1))), 16, 10).cast("int")))
 
     def fold(self, t: Column, word: Column) -> Column:
-        """Ids of one word that is not empty; t: the tables."""
+        """Ids of one word that is not empty, as a Spark expression; t: the tables, bound by `let`.
+
+        Words of more than `LONG` bytes are kept as a text of ids, in which one step replaces every occurrence of the
+        pair."""
 
         def short(ids: Column) -> Column:
             def merge(acc: Column, ranks: Column) -> Column:
@@ -154,31 +246,24 @@ class Tokenizer:
     def words(self, text: Column) -> Column:
         return F.coalesce(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), F.array().cast("array<string>"))
 
-    def frequent(self, docs: DataFrame, text: str, most: int) -> tuple[dict[str, pa.Array], int]:
-        """Tables of the most frequent words and their ids, folded once each; the mask of their slots."""
-        rows = docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        top = materialize(rows.where((F.col("n") > 1) & (F.octet_length("word") <= LONG)).orderBy(F.desc("n"), "word").limit(most))
-        folded = let(F.col("_tables"), lambda t: self.fold(t, F.col("word")))
-        got = top.repartition(max(1, most // 2000)).withColumn("_tables", self.tables(docs.sparkSession)).select("word", folded.alias("ids"), *(F.xxhash64(F.lit(i), "word").alias(f"h{i}") for i in (1, 2))).collect()
-        bits = max(4, (len(got) * 5 // 2).bit_length())
-        mask = (1 << bits) - 1
-        table = _cuckoo([(r["h1"] & mask, r["h2"] & mask) for r in got], 1 << bits)
-        return {"names": pa.array([None if i < 0 else got[i]["word"] for i in table], pa.string()),
-                "held": pa.array([None if i < 0 else got[i]["ids"] for i in table], pa.list_(pa.int64()))}, mask
-
-    def encode(self, docs: DataFrame, text: str, ids: str, frequent: int = FREQUENT) -> DataFrame:
-        """`docs` with the column `ids`."""
-        held, mask = self.frequent(docs, text, frequent) if frequent else ({}, 0)
-
-        def one(t: Column, word: Column) -> Column:
-            if not held:
-                return self.fold(t, word)
-            slot = lambda seed: F.xxhash64(F.lit(seed), word).bitwiseAND(mask).cast("int")
-            at = lambda i, other: F.when(F.coalesce(F.get(t["names"], i) == word, F.lit(False)), F.get(t["held"], i)).otherwise(other)
-            return let(slot(1), lambda i: at(i, let(slot(2), lambda j: at(j, self.fold(t, word)))))
-
-        whole = let(F.col("_tables"), lambda t: F.flatten(F.transform(self.words(F.col(text)), lambda word: one(t, word))))
-        return docs.withColumn("_tables", self.tables(docs.sparkSession, **held)).withColumn(ids, whole).drop("_tables")
+    def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
+        """`docs` with the tokens of `text` in the array column `ids`."""
+        coder = docs.sparkSession.sparkContext.broadcast(Coder(self.pairs.to_numpy(), self.first.to_numpy(), self.bits))
+        rows = docs.select(F.struct(*docs.columns).alias("row"), self.words(F.col(text)).alias("words"))
+        schema = rows.select("row").withColumn("ids", F.array().cast("array<int>")).schema
+
+        def run(batches):
+            for b in batches:
+                words = b.column("words")
+                off = words.offsets.to_numpy()
+                lo = 0
+                while lo < b.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(off, off[lo] + WORDS, side="right")) - 1)
+                    part = b.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column("row"), coder.value.encode(words.values.slice(off[lo], off[hi] - off[lo]), off[lo:hi + 1] - off[lo])], names=["row", "ids"])
+                    lo = hi
+
+        return rows.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != ids), F.col("ids").alias(ids))
 
     def decode(self, rows: DataFrame, ids: str, out: str) -> DataFrame:
         """`rows` with the binary column `out`, the bytes of `ids`."""
