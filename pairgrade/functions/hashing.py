@@ -24,9 +24,9 @@ def hex_to_long(hex_text: Column) -> Column:
 
 
 def draw_index(hash_hex: Column, n: Column | int) -> Column:
-    """Uniform index in [0, n): first 8 hex digits modulo n."""
+    """Index in [0, n), uniform to within n / 2**60: first 15 hex digits modulo n."""
     n = n if isinstance(n, Column) else F.lit(n)
-    return (hex_to_long(F.substring(hash_hex, 1, 8)) % n).cast("bigint")
+    return (hex_to_long(F.substring(hash_hex, 1, 15)) % n).cast("bigint")
 
 
 def pair_key_hash(a: Column, b: Column) -> Column:

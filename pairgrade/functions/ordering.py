@@ -17,15 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pairgrade.session import materialize
 
 _B = "__bucket"
 
 
-def hash_bucket(hash_hex: str | Column, digits: int = 2) -> Column:
-    """Leading hex digits: 16**digits even, ordered buckets of a hash order."""
+def hash_bucket(hash_hex: str | Column, digits: int = 4) -> Column:
+    """Leading hex digits: 16**digits even, ordered buckets of a hash order.
+
+    The counts per bucket are the only table that grows with ``digits``; give
+    fewer where groups are many (run x repeat), more where one group is huge."""
     col = F.col(hash_hex) if isinstance(hash_hex, str) else hash_hex
     return F.coalesce(F.substring(col, 1, digits), F.lit(""))
 
@@ -50,9 +53,27 @@ def width_bucket(value: str | Column, width: float) -> Column:
     return F.coalesce(F.floor(v.cast("double") / F.lit(float(width))).cast("bigint"), F.lit(-(2 ** 62)))
 
 
+def range_bucket(df: DataFrame, column: str, n: int = 512) -> Column:
+    """Ordered buckets for a text column of any distribution: the number of
+    boundaries at or below the value.
+
+    The boundaries are the ``n`` distinct values with the smallest hashes, a
+    uniform sample of fixed size, as one literal array.  They only decide who
+    sorts what; a family of names with a common prefix is cut like any other.
+    """
+    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
+    sample = values.orderBy(F.md5("v"), "v").limit(n).collect()
+    bounds = F.array(*[F.lit(r["v"]) for r in sorted(sample, key=lambda r: r["v"].encode())]).cast("array<string>")
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(column))), F.lit(-1))
+
+
 def _offsets(totals: DataFrame, keys: list[str], values: Sequence[str],
              descending: bool, grand: bool) -> DataFrame:
     # One row per (group, bucket): at most the number of buckets per group.
+    # Text buckets are summed per leading two characters first, so that a
+    # group's buckets do not meet in one task.
+    if isinstance(totals.schema[_B].dataType, T.StringType):
+        return _offsets_by_prefix(totals, keys, values, descending, grand)
     part = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
     order = F.col(_B).desc() if descending else F.col(_B).asc()
     before = part.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,6 +85,22 @@ def _offsets(totals: DataFrame, keys: list[str], values: Sequence[str],
     return totals.select(*cols)
 
 
+def _offsets_by_prefix(totals: DataFrame, keys: list[str], values: Sequence[str],
+                       descending: bool, grand: bool) -> DataFrame:
+    rows = totals.withColumn("__prefix", F.substring(F.col(_B), 1, 2))
+    sums = rows.groupBy(*keys, "__prefix").agg(*[F.sum(v).alias(v) for v in values])
+    turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    part = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    before = part.orderBy(turn("__prefix")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.select(*keys, "__prefix", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__top_{v}") for v in values],
+                       *[F.sum(v).over(part).alias(f"__all_{v}") for v in values if grand])
+    inside = Window.partitionBy(*keys, "__prefix").orderBy(turn(_B)).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.select(*keys, "__prefix", _B, *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__own_{v}") for v in values])
+    return own.join(tops, [*keys, "__prefix"]).select(
+        *keys, _B, *[(F.col(f"__own_{v}") + F.col(f"__top_{v}")).alias(f"__before_{v}") for v in values],
+        *[F.col(f"__all_{v}") for v in values if grand])
+
+
 def add_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
              bucket: Column, name: str, total: str | None = None) -> DataFrame:
     """1-based exact ``row_number`` within ``keys`` by ``order``.

@@ -185,7 +185,7 @@ def attr_disjoint(df: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _pack(fp: DataFrame, block_rows: int) -> DataFrame:
     h = fp.withColumn("__h", keyed_md5("block", F.col("entity_id")))
-    ranked = add_rank(h, [], ["__h", "entity_id"], hash_bucket("__h", 2), "__rn")
+    ranked = add_rank(h, [], ["__h", "entity_id"], hash_bucket("__h"), "__rn")
     return (ranked.groupBy(F.floor((F.col("__rn") - 1) / block_rows).alias("block"))
             .agg(F.collect_list(F.struct("entity_id", "bits")).alias("rows")))  # <= block_rows
 

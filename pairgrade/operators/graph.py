@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
-from pairgrade.functions.ordering import add_rank
+from pairgrade.functions.ordering import add_rank, range_bucket
 from pairgrade.operators.ingest import NO_ACTION
 from pairgrade.operators.scoring import vec_sum
 
@@ -26,15 +26,16 @@ def _kind_rank(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.lit(i)) for i, k in enumerate(KINDS)])
 
 
-def kg_nodes(entities: DataFrame, attrs: DataFrame, prefix: int = 7) -> DataFrame:
+def kg_nodes(entities: DataFrame, attrs: DataFrame) -> DataFrame:
     """Contiguous node ids: kinds in order, names sorted within a kind.
 
-    Ranks are taken per name prefix and shifted by counts, so no kind is
-    sorted in one task; kind offsets come from the four kind sizes.
+    Ranks are taken per range of names and shifted by counts, so no kind and
+    no family of names is sorted in one task, and the offset table has at most
+    as many rows as there are ranges; kind offsets come from the kind sizes.
     """
     names = (entities.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("name"))
              .unionByName(attrs.select("kind", "name")).where("name is not null").distinct())
-    r = add_rank(names, ["kind"], ["name"], F.coalesce(F.substring("name", 1, prefix), F.lit("")), "__rn")
+    r = add_rank(names, ["kind"], ["name"], range_bucket(names, "name"), "__rn")
     sizes = names.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(F.lit(0)).orderBy(_kind_rank(F.col("kind"))).rowsBetween(Window.unboundedPreceding, -1)
     off = sizes.select("kind", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__off"))  # four rows

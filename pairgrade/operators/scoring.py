@@ -94,18 +94,17 @@ def complex_scores(h_a: Column, h_b: Column, relations: Sequence[Sequence[float]
 def bilinear_scores(df: DataFrame, matrices: Sequence[Sequence[Sequence[float]]], out: str) -> DataFrame:
     """h_a' W_c h_b per class, as a numpy product over Arrow batches.
 
-    A d x d matrix per class (a few MB at most, checked) rides in the task
-    closure; expressions would need d*d literals per class.
+    The matrices (classes x d x d, a model's parameters, which do not grow with
+    the rows) are broadcast once; expressions would need d*d literals per class.
     """
     w = np.asarray(matrices, dtype=np.float64)
-    if w.nbytes > 64 * 1024 * 1024:
-        raise ValueError("relation matrices exceed 64 MB")
+    shared = df.sparkSession.sparkContext.broadcast(w)
 
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=object)
         x, y = np.stack(a.to_numpy()).astype(np.float64), np.stack(b.to_numpy()).astype(np.float64)
-        return pd.Series(list(np.einsum("ni,cij,nj->nc", x, w, y, optimize=True)))
+        return pd.Series(list(np.einsum("ni,cij,nj->nc", x, shared.value, y, optimize=True)))
 
     return df.withColumn(out, F.pandas_udf(score, T.ArrayType(T.DoubleType()))("h_a", "h_b"))
 

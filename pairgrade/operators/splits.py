@@ -22,7 +22,7 @@ def rank_by_hash(df: DataFrame, seed, ids: Sequence[str], name: str = "rank",
     """Position of every row in the seeded random order (within ``keys``)."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     h = df.withColumn("__h", keyed_md5(seed, *[F.col(i) for i in ids]))
-    return add_rank(h, list(keys), ["__h", *ids], hash_bucket("__h", 2), name, total).drop("__h")
+    return add_rank(h, list(keys), ["__h", *ids], hash_bucket("__h"), name, total).drop("__h")
 
 
 def ceil_share(numer: int, denom: int) -> Callable[[Column], Column]:
@@ -63,7 +63,7 @@ def _hashed(df: DataFrame, seed, ids: Sequence[str]) -> DataFrame:
 def first_by_hash(df: DataFrame, seed, ids: Sequence[str], k, name: str,
                   keys: Sequence[str] = ()) -> DataFrame:
     """Flag the first ``k`` rows of the seeded order (within ``keys``)."""
-    out = flag_first_k(_hashed(df, seed, ids), list(keys), ["__h", *ids], hash_bucket("__h", 3), k, name)
+    out = flag_first_k(_hashed(df, seed, ids), list(keys), ["__h", *ids], hash_bucket("__h"), k, name)
     return out.drop("__h")
 
 

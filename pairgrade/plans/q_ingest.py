@@ -228,8 +228,8 @@ def _(src):
 with idx as (select entity_id, row_number() over (order by md5(entity_id), entity_id) - 1 as i from v_fp),
 k as (select (select count(*) from v_pairs) // 10 as n_neg, (select count(*) from v_fp) as n_ent),
 t as (select unnest(range(15 * n_neg)) as id, n_ent from k),
-d as (select cast('0x' || substr(md5(concat_ws('|', '42', 'i', cast(id as string))), 1, 8) as bigint) % n_ent as i,
-  cast('0x' || substr(md5(concat_ws('|', '42', 'j', cast(id as string))), 1, 8) as bigint) % (n_ent - 1) as j0 from t),
+d as (select cast('0x' || substr(md5(concat_ws('|', '42', 'i', cast(id as string))), 1, 15) as bigint) % n_ent as i,
+  cast('0x' || substr(md5(concat_ws('|', '42', 'j', cast(id as string))), 1, 15) as bigint) % (n_ent - 1) as j0 from t),
 e as (select i, j0 + case when j0 >= i then 1 else 0 end as j from d),
 c as (select distinct least(x.entity_id, z.entity_id) as a, greatest(x.entity_id, z.entity_id) as b
   from e join idx x on e.i = x.i join idx z on e.j = z.i),

@@ -218,7 +218,7 @@ from v_preds a join v_preds b on a.method = 'A' and b.method = 'B' and a.fold =
 VIEWS["v_pos"] = """
 select event_id as row_id, row_number() over (order by md5(cast(event_id as string)), event_id) - 1 as pos, count(*) over () as n from events"""
 VIEWS["v_draws"] = f"""
-select rep, pos as i, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 8) as bigint) % n as pos
+select rep, pos as i, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 15) as bigint) % n as pos
 from v_pos, unnest(range({N_BOOT_HASH})) as r(rep)"""
 
 
@@ -268,7 +268,7 @@ VIEWS["v_cluster_pos"] = """
 with u as (select a as entity_id from v_cluster_rows union select b as entity_id from v_cluster_rows)
 select entity_id, row_number() over (order by md5(cast(entity_id as string)), entity_id) - 1 as pos, count(*) over () as n from u"""
 VIEWS["v_cluster_mult"] = f"""
-with d as (select rep, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 8) as bigint) % n as pos from v_cluster_pos, unnest(range({N_BOOT_HASH})) as r(rep))
+with d as (select rep, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 15) as bigint) % n as pos from v_cluster_pos, unnest(range({N_BOOT_HASH})) as r(rep))
 select d.rep, p.entity_id, count(*) as m from d join v_cluster_pos p on d.pos = p.pos group by 1, 2"""
 VIEWS["v_cluster_resampled"] = """
 select r.fold, r.seed, x.rep, r.y_true, r.pred_a, r.pred_b, x.m * z.m as m from v_cluster_rows r

@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.driver.memory", os.environ.get("PAIRGRADE_DRIVER_MEM", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,17 +30,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than cores.
-
-    A small file is one split and keeps every narrow step after it in one
-    task.  Such a scan is at most cores x split size, so dealing its rows out
-    is cheap; a scan with enough splits is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the
     session, else the warehouse.  Both are folders that all executors see."""

@@ -37,9 +37,13 @@ def write_features(df: DataFrame, path: str, keys: Sequence[str], columns: Seque
 
 
 def table_digest(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
-    """Rows and an order-free digest of a table: the sum of row hashes."""
-    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
-    h = F.conv(F.substring(row, 1, 8), 16, 10).cast("decimal(20,0)")
+    """Rows and an order-free digest of a table: the sum of 60-bit row hashes.
+
+    Fields are written with their length, NULL as ``-``, so that no two rows
+    of different values are written alike.  Columns may be expressions."""
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    row = F.sha2(F.concat(*[field(F.expr(c).cast("string")) for c in columns]), 256)
+    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("decimal(38,0)").alias("digest")).select(
         F.lit(name).alias("name"), "n_rows", F.col("digest").cast("string").alias("digest"))
 
