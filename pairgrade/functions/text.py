@@ -14,8 +14,8 @@ _PUNCT = r"[()\[\]{},.;:]"
 
 
 def strip(c: Column) -> Column:
-    """Trim any white space (trim() alone keeps tabs and newlines)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim any Unicode white space (trim() alone keeps tabs and newlines)."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def _fold(s: pd.Series) -> pd.Series:
@@ -41,4 +41,4 @@ def tidy_alias(c: Column) -> Column:
     t = F.translate(c, _DASHES + _MARKS, "---")
     t = F.regexp_replace(t, _PUNCT, " ")
     t = F.regexp_replace(t, r"[-_/]+", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))

@@ -47,6 +47,10 @@ class Inputs:
     def entities(self) -> DataFrame:
         return self._sql("v_entities", "part")
 
+    @property
+    def run_rows(self) -> DataFrame:
+        return self._sql("v_runs", "events")
+
     @property
     def ext(self) -> DataFrame:
         return self._sql("v_ext", "documents", "labels")

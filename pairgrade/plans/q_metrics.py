@@ -76,32 +76,35 @@ def _(src):
 
 
 @query("runs_union_unique", f"""
-select {KEYS}, 'test' as test_set, cast(1 + case when method = 'A' and fold = 1 then 1 else 0 end as bigint) as n
-from (select distinct {KEYS} from v_preds) where method = 'A' and fold = 1""")
+with k as (select {KEYS}, case when lower(test_set) in ('test', 'holdout') then 'test' else test_set end as ts, test_set, n, split from v_runs),
+u as (select *, row_number() over (partition by {KEYS}, ts order by test_set desc, split) as i from k)
+select {KEYS}, test_set, n, case when fold < 3 then 'first' else 'second' end as part from u where i = 1""")
 def _(src):
-    runs = src.preds.select(*RUN, "test_set").distinct()
-    again = runs.where("method = 'A' and fold = 1").withColumn("test_set", F.lit("holdout"))
-    return R.duplicate_keys(runs.unionByName(again))
+    r = src.run_rows.withColumn("ts", R.norm_test_set(F.col("test_set")))
+    best = r.groupBy(*RUN, "ts").agg(F.max(F.struct("test_set", F.negative(F.ascii("split")).alias("k"), "n")).alias("b"))
+    runs = best.select(*RUN, "b.test_set", "b.n")
+    first, second = (runs.where(c).withColumn("part", F.lit(p)) for c, p in (("fold < 3", "first"), ("fold >= 3", "second")))
+    return R.union_unique(first, second)
 
 
 @query("runs_prefer_primary", f"""
-select {KEYS}, case when seed = 42 then 'recomputed' else 'state' end as source from (select distinct {KEYS} from v_preds)""")
+with p as (select {KEYS}, sum(n) as n from v_runs where n_high > 0 group by {KEYS}), f as (select {KEYS}, sum(n) as n from v_runs group by {KEYS})
+select {KEYS}, cast(n as bigint) as n, 'recomputed' as source from p
+union all select {KEYS}, cast(n as bigint) as n, 'state' as source from f anti join p using ({KEYS})""")
 def _(src):
-    runs = src.preds.select(*RUN).distinct()
-    return R.prefer_primary(runs.where("seed = 42").withColumn("source", F.lit("recomputed")),
-                            runs.withColumn("source", F.lit("state")), RUN)
+    total = lambda df, s: df.groupBy(*RUN).agg(F.sum("n").alias("n")).withColumn("source", F.lit(s))
+    return R.prefer_primary(total(src.run_rows.where("n_high > 0"), "recomputed"), total(src.run_rows, "state"), RUN)
 
 
-@query("run_grid_check", """
-with have as (select distinct method, fold, seed, method = 'B' and fold = 2 as err from v_preds),
-g as (select m as method, cast(f as bigint) as fold, cast(s as bigint) as seed from unnest(['A', 'C']) as a(m), unnest([1, 2]) as b(f), unnest([42, 123, 2024]) as c(s))
+@query("run_grid_check", f"""
+with have as (select {KEYS}, sum(n_high) > sum(n) / 20.0 as err from v_runs group by {KEYS}),
+g as (select m as method, cast(f as bigint) as fold, cast(s as bigint) as seed from unnest(['click', 'error', 'signup', 'refund']) as a(m), unnest([1, 2, 3]) as b(f), unnest([42, 123, 2024]) as c(s))
 select coalesce(g.method, h.method) as method, coalesce(g.fold, h.fold) as fold, coalesce(g.seed, h.seed) as seed,
   case when h.method is null then 'missing' when g.method is null then 'extra' when h.err then 'error' else 'ok' end as status
 from g full join have h on g.method = h.method and g.fold = h.fold and g.seed = h.seed""")
 def _(src):
-    have = src.preds.select(*RUN).distinct().withColumn(
-        "error", F.when((F.col("method") == "B") & (F.col("fold") == 2), "out of memory"))
-    return R.grid_check(have, ["A", "C"], [1, 2], [42, 123, 2024])
+    have = src.run_rows.groupBy(*RUN).agg(F.when(F.sum("n_high") > F.sum("n") / 20.0, "many high values").alias("error"))
+    return R.grid_check(have, ["click", "error", "signup", "refund"], [1, 2, 3], [42, 123, 2024])
 
 
 @query("softmax_argmax", f"""
@@ -128,10 +131,10 @@ def _(src):
 
 
 @query("label_display", """
-select distinct method, case when method = 'A' then 'Method A (ours)' else method end as label from v_preds""")
+select method, case method when 'click' then 'Click (ours)' when 'view' then 'View' else method end as label, cast(sum(n) as bigint) as n from v_runs group by 1, 2""")
 def _(src):
-    labels = src.spark.sql("select * from values ('A', 'Method A (ours)'), ('Z', 'unused') as t(method, label)")
-    return R.display_label(src.preds.select("method").distinct(), labels)
+    labels = src.spark.sql("select * from values ('click', 'Click (ours)'), ('view', 'View'), ('Z', 'unused') as t(method, label)")
+    return R.display_label(src.run_rows.groupBy("method").agg(F.sum("n").alias("n")), labels)
 
 
 _MIXED = """
@@ -157,12 +160,12 @@ def _(src):
 
 
 @query("run_key_codec", f"""
-with r as (select distinct {KEYS}, case method when 'A' then 0 else 1 end as m, case seed when 42 then 0 else 1 end as s from v_preds)
+with r as (select distinct {KEYS}, case method when 'click' then 0 when 'view' then 1 else 2 end as m, case seed when 42 then 0 when 123 then 1 else 2 end as s from v_runs)
 select {KEYS}, method || '_f' || fold || '_s' || seed as run_key, method || '_f' || fold || '_s' || seed || '_drug_S1' as drug_key,
   cast(m * 15 + (fold - 1) * 3 + s as bigint) as pair_id, cast(1000 + m * 6 + s * 2 as bigint) as s1_id, cast(1000 + m * 6 + s * 2 + 1 as bigint) as s2_id from r""")
 def _(src):
-    r = src.preds.select(*RUN).distinct()
-    m = F.when(F.col("method") == "A", 0).otherwise(1)
+    r = src.run_rows.select(*RUN).distinct()
+    m = F.when(F.col("method") == "click", 0).when(F.col("method") == "view", 1).otherwise(2)
     key = (F.col("method"), F.col("fold"), F.col("seed"))
     return r.select(*RUN, R.run_key(*key).alias("run_key"),
                     R.run_key(*key, F.lit("drug"), F.lit("S1")).alias("drug_key"),
@@ -183,14 +186,12 @@ def _(src):
 
 
 @query("match_runs", """
-with r as (select distinct method, fold, seed from v_preds where not (method = 'B' and fold = 2 and seed = 123))
-select a.method as method_a, b.method as method_b, a.fold, a.seed, 'pair' as split, 'test' as test_set
-from r a join r b on a.method = 'A' and b.method = 'B' and a.fold = b.fold and a.seed = b.seed""")
+with r as (select distinct method, case when split = 'drug' then 0 else fold end as fold, seed, split,
+    case when lower(test_set) in ('test', 'holdout') then 'test' else test_set end as test_set from v_runs)
+select a.method as method_a, b.method as method_b, a.fold, a.seed, a.split, a.test_set
+from r a join r b on a.method = 'error' and b.method <> 'error' and a.fold = b.fold and a.seed = b.seed and a.split = b.split and a.test_set = b.test_set""")
 def _(src):
-    r = src.preds.select(*RUN, "split", "test_set").distinct().where("not (method = 'B' and fold = 2 and seed = 123)")
-    r = r.withColumn("test_set", F.when((F.col("method") == "B") & (F.col("seed") == 123), "holdout")
-                     .otherwise(F.col("test_set")))
-    return R.match_runs(r, "A")
+    return R.match_runs(src.run_rows.select(*RUN, "split", "test_set"), "error")
 
 
 @query("broadcast_single_run", """
@@ -204,10 +205,9 @@ def _(src):
 
 
 @query("stable_order", f"""
-with r as (select distinct {KEYS} from v_preds)
-select {KEYS}, row_number() over (order by case method when 'B' then 0 else 1 end, method, fold, seed) as position from r""")
+select {KEYS}, split, test_set, row_number() over (order by split, test_set, case method when 'view' then 0 when 'error' then 1 else 2 end, method, fold, seed) as position from v_runs""")
 def _(src):
-    return R.stable_order(src.preds.select(*RUN, "split", "test_set").distinct(), ["B"]).select(*RUN, "position")
+    return R.stable_order(src.run_rows, ["view", "error"]).select(*RUN, "split", "test_set", "position")
 
 
 # ---------------------------------------------------------------- hard labels

@@ -52,7 +52,9 @@ select a as id1, b as id2, md5(concat_ws('|', 'pos', a, b)) as ingest_pos,
        when e = 6 then concat('The risk or severity of alpha overload may rise with ', b, '.')
        when d % 8 = 0 then concat('The risk or severity of Alpha Overload and beta drift can be increased with ', b, '.')
        when e in (7, 8, 9) then concat('the risk or severity of  Gamma rash  can be increased with ', b, '.')
-       when e in (10, 11, 12) then concat('The Risk or severity of beta drift can be increased with ', b, '.')
+       when e = 12 and d % 8 = 1 then '\u00a0\u2003 '
+       when e = 12 then concat('The risk or severity of ', '\u00a0', 'Alpha Overload', '\u2003', ' can be increased with ', b, '.')
+       when e in (10, 11) then concat('The Risk or severity of beta drift can be increased with ', b, '.')
        else concat('The risk or severity of delta drop can be increased with ', b, '.') end as description
 from h"""
 
@@ -82,6 +84,16 @@ select method, cast(fold as bigint) as fold, cast(seed as bigint) as seed, 'pair
   {PRED_ARGMAX} as y_pred, w0, w1, w2, w3, w4, {PRED_R} as r
 from v"""
 
+# One row for each prediction run, as facts of the events: the kind of event is the method, users and days deal the
+# rows to folds and seeds, and what is missing, repeated or failed is so in the table.
+VIEWS["v_runs"] = """
+select event_type as method, cast(user_id % 3 + 1 as bigint) as fold,
+  cast(case event_id % 3 when 0 then 42 when 1 then 123 else 2024 end as bigint) as seed,
+  case when user_id % 7 = 0 then 'drug' else 'pair' end as split,
+  case when user_id % 7 = 0 then 'S1' when user_id % 5 = 0 then 'holdout' else 'test' end as test_set,
+  count(*) as n, cast(sum(case when value > 95 then 1 else 0 end) as bigint) as n_high
+from events where event_type <> 'error' or event_id % 3 < 2 group by 1, 2, 3, 4, 5"""
+
 VIEWS["v_ext"] = f"""
 select d.doc_id as row_id, d.lang, case when l.doc_id is null then 'Unknown' when l.toxic = 1 then 'Major' when l.quality = 0 then 'Moderate' else 'Minor' end as ext_level,
   cast({_nib("md5(concat_ws('|', 'ext', cast(d.doc_id as string)))", 1)} % 5 as bigint) as y_pred,
@@ -97,9 +109,9 @@ from part"""
 VIEWS["v_labelled"] = r"""
 with x as (select id1, id2, ingest_pos, description,
     regexp_extract(description, 'the risk or severity of (.+?) can be', 1, 'i') as ph from v_pair_events),
-y as (select x.*, lower(regexp_replace(ph, '^\s+|\s+$', '', 'g')) as phrase from x)
+y as (select x.*, lower(regexp_replace(ph, '^[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) as phrase from x)
 select y.id1, y.id2, y.ingest_pos, y.description,
-  cast(case when regexp_replace(y.description, '\s', '', 'g') = '' then 1
+  cast(case when regexp_replace(y.description, '[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g') = '' then 1
        when regexp_matches(y.description, 'the risk or severity of adverse (effects|events)', 'i') then 1
        when not regexp_matches(y.description, 'the risk or severity of', 'i') then 1
        else coalesce(p.tier, 3) end as bigint) as tier
