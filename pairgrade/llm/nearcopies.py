@@ -246,9 +246,12 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     live = measured.where(F.col("_key").isNotNull() & (F.col("n") > 0))
     classes = materialize(live.groupBy("id").agg(F.min("_key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     found = materialize(_candidates(classes, matches))
-    owners = materialize(found.select("rep", "id"))
-    texts = rows.where(_may_hold(found)(F.col("_key"))).join(owners, F.col("_key") == F.col("rep")).select("rep", "id", "_text")
-    sets = materialize(texts.mapInArrow(_sets(shingle), "rep long, set array<long>"))
+
+    def build(owners: DataFrame) -> DataFrame:
+        """rep and set of the classes that `owners` names."""
+        owners = materialize(owners.select("rep").distinct().join(found.select("rep", "id"), "rep"))
+        texts = rows.where(_may_hold(owners)(F.col("_key"))).join(owners, F.col("_key") == F.col("rep")).select("rep", "id", "_text")
+        return materialize(texts.mapInArrow(_sets(shingle), "rep long, set array<long>"))
 
     posts = found.select("rep", "weight", F.explode("prefix.token").alias("token"))
     hubs = posts.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("hub"), F.count(F.lit(1)).alias("times"))
@@ -258,6 +261,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     agree = F.size(F.filter(F.zip_with("sig_rep", "sig_hub", lambda x, y: x == y), lambda x: x))
     near = 100 * F.least("n_rep", "n_hub") >= percent * F.greatest("n_rep", "n_hub")
     close = materialize(stars.join(signed("rep"), "rep").join(signed("hub"), "hub").where(near & (agree >= matches)).select("rep", "hub"))
+    sets = build(close.select("rep").union(close.select("hub")))
     both = F.size(F.array_intersect("set_rep", "set_hub"))
     alike = close.join(full("rep"), "rep").join(full("hub"), "hub").where(100 * both >= percent * (F.size("set_rep") + F.size("set_hub") - both))
     first = materialize(alike.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
@@ -277,6 +281,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     ends = ["block_a", "block_b"]
     met = sides.join(placed.select("rep", "n", "sig", "comp", "block"), "block")
     needed = materialize(met.groupBy(*ends).applyInPandas(_needed(matches, percent), "block_a long, block_b long, side int, rep long"))
+    sets = sets.unionByName(build(needed.join(sets.select("rep"), "rep", "left_anti")))
     near = needed.join(placed.select("rep", "n", "sig", "comp"), "rep").join(sets, "rep")
     second = near.groupBy(*ends).applyInPandas(_compare(matches, percent), "u long, v long")
     links = first.unionByName(materialize(second))
