@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairgrade.session import materialize
@@ -22,3 +22,21 @@ def constant(spark: SparkSession, **arrays: pa.Array) -> Column:
 def let(value: Column, use) -> Column:
     """`use` of a value that is computed once: a variable within an expression."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def may_hold(keys: DataFrame, column: str, bits: int = 20):
+    """A test that is true for every value of `column` in `keys`: a bit map of fixed size, 2 ** bits, by hash.
+
+    It keeps most rows that a semi join would drop from being shuffled for it; a full map only saves nothing."""
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(5), column), 64 - bits)
+    found = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("m")).collect()
+    words = [0] * (1 << (bits - 6))
+    for r in found:
+        words[r["w"]] = r["m"]
+    held = constant(keys.sparkSession, words=pa.array(words, pa.int64()))["words"]
+
+    def test(key):
+        at = F.shiftrightunsigned(F.xxhash64(F.lit(5), key), 64 - bits)
+        return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+    return test

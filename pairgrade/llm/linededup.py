@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgrade.llm.constants import constant, let
+from pairgrade.llm.constants import constant, let, may_hold
 from pairgrade.session import materialize
 
 PERCENT, MIN_WORDS = 90, 3
@@ -112,12 +112,18 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
     apart = _earlier("a", "b") | _earlier("b", "a")
     touched = materialize(a.join(b, like & apart, "left_semi").select("doc", "line").distinct())
 
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
-    owners = touched.select(F.col("doc").alias("owner")).distinct()
-    again = _lines(texts.join(owners, F.col("doc").eqNullSafe(F.col("owner")), "left_semi"), "_text", "doc", min_words)
-    whole = _sets(again, order).withColumn("n", F.size("set")).withColumn("parity", parity).withColumn("prefix", prefix)
-    wanted = whole.join(touched.select(F.col("doc").alias("d"), F.col("line").alias("l")), F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left_semi")
-    full = wanted.select("doc", "line", "n", "parity", "set", F.posexplode("prefix").alias("i", "word"))
+    owners = materialize(touched.groupBy(F.col("doc").alias("owner")).agg(F.collect_set("line").alias("chosen")))  # a text's own lines
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")).where(may_hold(owners, "owner")(F.col("doc")))
+    texts = texts.join(owners, F.col("doc").eqNullSafe(F.col("owner")))
+    again = texts.select("doc", "chosen", F.posexplode(F.split("_text", "\n")).alias("line", "body")).where(F.array_contains("chosen", F.col("line")))
+    whole = _sets(again.select("doc", "line", "body"), order).withColumn("n", F.size("set")).withColumn("parity", parity).withColumn("prefix", prefix)
+    whole = materialize(whole)
+    # Words that only one of these lines has in its prefix meet nothing: they need not carry a set to the join.
+    met = whole.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("word")
+    light = whole.select("doc", "line", F.posexplode("prefix").alias("i", "word")).join(met, "word", "left_semi")
+    kept = materialize(light.groupBy("doc", "line").agg(F.collect_list(F.struct("i", "word")).alias("posts")))  # a prefix at most
+    full = whole.join(kept.select(F.col("doc").alias("d"), F.col("line").alias("l"), "posts"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")))
+    full = full.select("doc", "line", "n", "parity", "set", F.inline("posts"))
     a, b = full.alias("a"), full.alias("b")
     exact = F.size(F.array_intersect(F.col("a.set"), F.col("b.set"))) >= common
     near = materialize(b.join(a, like & _earlier("a", "b") & exact, "left_semi").select("doc", "line").distinct())

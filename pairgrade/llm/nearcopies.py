@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from pairgrade.llm import flat
 from pairgrade.llm.components import components
+from pairgrade.llm.constants import may_hold
 from pairgrade.session import materialize
 
 COORDINATES, MATCHES = 64, 36
@@ -221,24 +222,6 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
         F.slice("posts", F.lit(1), F.size("posts") - (matches - 1)).alias("prefix"), F.element_at("posts", -1).alias("home"))
 
 
-def _may_hold(keys: DataFrame, bits: int = 20):
-    """A test that is true for every value of the column `rep` of `keys`: a bit map of fixed size, 2 ** bits, by hash.
-
-    It keeps most rows that a semi join would drop from being shuffled for it; a full map only saves nothing."""
-    slot = F.shiftrightunsigned(F.xxhash64(F.lit(5), "rep"), 64 - bits)
-    found = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("m")).collect()
-    words = [0] * (1 << (bits - 6))
-    for r in found:
-        words[r["w"]] = r["m"]
-    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-    def test(key):
-        at = F.shiftrightunsigned(F.xxhash64(F.lit(5), key), 64 - bits)
-        return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
-
-    return test
-
-
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """Per row of `docs`: key (an integer), n_shingles, component_id (smallest key reachable) and kept."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
@@ -250,7 +233,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     def build(owners: DataFrame) -> DataFrame:
         """rep and set of the classes that `owners` names."""
         owners = materialize(owners.select("rep").distinct().join(found.select("rep", "id"), "rep"))
-        texts = rows.where(_may_hold(owners)(F.col("_key"))).join(owners, F.col("_key") == F.col("rep")).select("rep", "id", "_text")
+        texts = rows.where(may_hold(owners, "rep")(F.col("_key"))).join(owners, F.col("_key") == F.col("rep")).select("rep", "id", "_text")
         return materialize(texts.mapInArrow(_sets(shingle), "rep long, set array<long>"))
 
     posts = found.select("rep", "weight", F.explode("prefix.token").alias("token"))
