@@ -214,8 +214,19 @@ def metrics_table(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hard.join(macro_ranking(runs, keys), list(keys))
 
 
-def metric_by_name(table: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def metric_by_name(table: DataFrame, keys: Sequence[str], name: str, runs: DataFrame | None = None) -> DataFrame:
+    """One metric of every run by its name or an alias.
+
+    A ranking metric that ``table`` lacks is computed from the rows ``runs``:
+    with probabilities ``p``, else with the one-hot of the prediction.
+    """
     key = METRIC_ALIASES.get(name, name)
+    if key not in table.columns and runs is not None and key in ("macro_auroc", "macro_ap"):
+        if "p" not in runs.columns:
+            runs = runs.withColumn("p", F.array(*[(F.col("y_pred") == c).cast("double") for c in CLASSES]))
+        table = macro_ranking(runs, keys)
+    if key not in table.columns:
+        raise ValueError(f"no metric {name}")
     return table.select(*keys, F.lit(key).alias("metric"), F.col(key).alias("value"))
 
 

@@ -44,17 +44,17 @@ def _(src):
 
 
 @query("run_schema_compat", """
-select method, row_id, y_true, y_pred,
+select method, fold, seed, row_id, y_true, y_pred,
   round(case when row_id % 3 = 0 then (case when y_pred = 3 then 1.0::double else 0.0::double end)
     when row_id % 3 = 1 then 0.0::double else w3 / cast(w0 + w1 + w2 + w3 + w4 as double) end, 6) as p3
-from v_preds where fold = 1 and seed = 42""")
+from v_preds""")
 def _(src):
-    old = src.runs.where("fold = 1 and seed = 42").select(
-        "method", "row_id", F.col("y_true").alias("y_test"), "y_pred",
+    old = src.runs.select(
+        *RUN, "row_id", F.col("y_true").alias("y_test"), "y_pred",
         F.when(F.col("row_id") % 3 == 0, F.lit(None)).when(F.col("row_id") % 3 == 1, F.slice("p", 1, 3))
         .otherwise(F.col("p")).alias("p"))
     new = SR.compat_schema(old)
-    return new.select("method", "row_id", "y_true", "y_pred", F.round(F.get("p", 3), 6).alias("p3"))
+    return new.select(*RUN, "row_id", "y_true", "y_pred", F.round(F.get("p", 3), 6).alias("p3"))
 
 
 @query("state_json_scan", f"""
@@ -302,10 +302,20 @@ def _(src):
     return r6(t, *METRIC_NAMES, *[f"f1_c{c}" for c in range(5)], "macro_auroc", "macro_ap")
 
 
-@query("metric_by_name", f"select {KEYS}, 'qwk' as metric, round(qwk, 6) as value from v_hard")
+@query("metric_by_name", f"""
+with o as (select *, s as pos, n - s as neg, q - tp as fp from v_class where s > 0),
+k as (select {KEYS}, avg((tp * (neg - fp) + 0.5::double * (tp * fp + (pos - tp) * (neg - fp))) / (pos * neg)) as macro_auroc,
+  avg((case when q = 0 then 0 else tp * (tp / cast(q as double)) end + (pos - tp) * (pos / cast(n as double))) / pos) as macro_ap from o group by {KEYS})
+select {KEYS}, 'qwk' as metric, round(qwk, 6) as value from v_hard union all select {KEYS}, 'macro_f1' as metric, round(macro_f1, 6) as value from v_hard
+union all select {KEYS}, 'macro_auroc' as metric, round(macro_auroc, 6) as value from k union all select {KEYS}, 'macro_ap' as metric, round(macro_ap, 6) as value from k""")
 def _(src):
-    t = M.hard_metrics(M.confusion_cells(src.preds, RUN), RUN)
-    return r6(M.metric_by_name(t, RUN, "kappa"), "value")
+    rows = src.preds.select(*RUN, "y_true", "y_pred")
+    t = M.hard_metrics(M.confusion_cells(rows, RUN), RUN)
+    out = None
+    for name in ("kappa", "macro_f1", "macro_auroc", "macro_ap"):
+        m = M.metric_by_name(t, RUN, name, rows)
+        out = m if out is None else out.unionByName(m)
+    return r6(out, "value")
 
 
 _POINTS = ", ".join(f"('t = {t:g}', {t})" for t in (0.5, 0.3, 0.2, 0.1, 0.05))

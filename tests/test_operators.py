@@ -256,3 +256,27 @@ def test_unknown_ids_stay_with_null(spark):
     assert out[1]["in_index"] and out[1]["drug_a_canon"] == 1 and out[1]["m_pred"] == 4
     assert not out[9]["in_index"] and out[9]["m_pred"] is None
     assert [r["id"] for r in C.unknown_ids(q, emb, "id").collect()] == [9]
+
+
+def test_rows_without_id_take_their_place_in_the_file(spark, tmp_path):
+    rows = [(c, (c * 3) % 5) for c in range(5)]
+    spark.createDataFrame(rows, "y_test long, y_pred long").coalesce(1).write.parquet(str(tmp_path / "run=A_f1_s42"))
+    from pairgrade.sources import runs as SR
+    got = SR.compat_schema(SR.scan_runs(spark, str(tmp_path))).orderBy("row_id").collect()
+    assert [(r.row_id, r.y_true, r.y_pred) for r in got] == [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_metric_by_name_without_probabilities(spark):
+    from pairgrade.operators import metrics as M
+    rows = spark.createDataFrame([("A", y, p) for y, p in ((0, 0), (1, 1), (2, 2), (2, 1))], "m string, y_true long, y_pred long")
+    table = M.hard_metrics(M.confusion_cells(rows, ["m"]), ["m"])
+    assert abs(M.metric_by_name(table, ["m"], "macro_auroc", rows).first().value - (1 + 5 / 6 + 3 / 4) / 3) < 1e-9
+    with pytest.raises(ValueError):
+        M.metric_by_name(table, ["m"], "nothing", rows)
+
+
+def test_draws_reach_past_32_bits(spark):
+    from pairgrade.functions.hashing import draw_index, keyed_sha256
+    n = 40_000_000_000
+    got = spark.range(2000).select(draw_index(keyed_sha256(F.col("id")), n).alias("d")).toPandas().d
+    assert got.max() > 2**32 and 0.45 < (got > n / 2).mean() < 0.55
