@@ -36,7 +36,7 @@ from pairgrade.llm import flat
 from pairgrade.llm.constants import constant, let
 
 LONG = 48
-WORDS = 1 << 20  # words of a batch that are encoded at a time
+WORDS = 1 << 19  # words of a batch that are encoded at a time
 ID_BITS = 17
 NONE = 1 << 40
 _M1, _M2 = 0x9E3779B, 0x85EBCA7  # odd multipliers of the two slot functions; a pair's key times one of them fits 63 bits
