@@ -25,16 +25,17 @@ def _fold(s: pd.Series) -> pd.Series:
 fold_unicode = F.pandas_udf(_fold, T.StringType())
 
 
-def normalize_alias(c: Column) -> Column:
-    """Compare form of a name: folded, dashes/marks/punctuation removed.
-
-    Plain ASCII never leaves the JVM: ``when`` sends only other text through
-    the Arrow UDF's result, and NFKC + casefold of ASCII is ``lower``.
-    """
+def fold_name(c: Column) -> Column:
+    """NFKC and case folding.  For ASCII that is ``lower``; only other text
+    gives the Arrow UDF anything to do (ASCII rows reach it as NULL)."""
     text = F.coalesce(c, F.lit(""))
-    folded = F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(
         fold_unicode(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
-    return tidy_alias(folded)
+
+
+def normalize_alias(c: Column) -> Column:
+    """Compare form of a name: folded, dashes/marks/punctuation removed."""
+    return tidy_alias(fold_name(c))
 
 
 def tidy_alias(c: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairgrade.functions.text import normalize_alias
+from pairgrade.functions.text import fold_name, normalize_alias, tidy_alias
 from pairgrade.functions.vectors import let
 
 # Salt, hydrate and counter-ion words that may end a name.
@@ -16,6 +16,7 @@ SALT_WORDS = [
     "phosphate", "potassium", "sodium", "succinate", "sulfate", "tartrate", "tosylate",
 ]
 MIN_STEM = 4
+AMBIGUOUS = "ambiguous"
 CONFIDENCE = {"exact_primary": 1.0, "exact_i18n": 1.0, "exact_alias": 0.95, "exact_alias_normalized": 0.9,
               "salt_stripped_primary": 0.8, "salt_stripped_alias": 0.75, "detail_page": 0.99}
 
@@ -44,51 +45,61 @@ def strip_salt(name: Column, words: Sequence[str] = SALT_WORDS) -> Column:
     return let(F.split(name, " "), strip_words)
 
 
-def _unique(names: DataFrame, key: Column, entity: str = "entity_id") -> DataFrame:
-    """Names that belong to exactly one entity."""
+def _keyed(names: DataFrame, key: Column, entity: str = "entity_id") -> DataFrame:
+    """One row for each name: an entity it belongs to and whether it belongs to several."""
     g = names.select(key.alias("__k"), F.col(entity)).where("__k <> ''").groupBy("__k").agg(
-        F.min(entity).alias("lo"), F.max(entity).alias("hi"))
-    return g.where("lo = hi").select("__k", F.col("lo").alias("__id"))
+        F.min(entity).alias("__id"), F.max(entity).alias("hi"))
+    return g.select("__k", "__id", (F.col("__id") != F.col("hi")).alias("__several"))
 
 
 def name_to_id(queries: DataFrame, aliases: DataFrame, i18n: DataFrame | None = None,
                pages: DataFrame | None = None, name: str = "drug") -> DataFrame:
-    """Resolve names by the ordered stages; the first unique hit counts.
+    """Resolve names by the ordered stages; the first stage that knows a name decides.
 
     ``aliases``: entity_id, primary_name, alias; ``i18n``: entity_id, name;
     ``pages``: <name>, entity_id - links found on the external pages, used
-    last.  Each stage is one hash join on a unique key; a name that means two
-    entities is dropped from its stage.
+    last.  Each stage is one hash join on a unique key.  A name that means two
+    entities in the stage that knows it is ambiguous: no later stage of names
+    is asked, only the pages, and without a page its method is ``ambiguous``
+    and its id NULL.  Distinct names are normalised once and joined back.
     """
-    fold = lambda c: F.lower(F.col(c))
-    norm = lambda c: normalize_alias(F.col(c))
-    q = queries.withColumn("__fold", fold(name)).withColumn("__norm", norm(name))
+    names = queries.select(F.col(name).alias("__name")).distinct()
+    q = names.withColumn("__fold", fold_name(F.col("__name")))
+    q = q.withColumn("__norm", tidy_alias(F.col("__fold")))
     q = q.withColumn("__stem", strip_salt(F.col("__norm")))
     q = q.withColumn("__stem", F.when(F.col("__stem") != F.col("__norm"), F.col("__stem")))
     primary = aliases.select("entity_id", "primary_name").distinct()
-    stages = [("exact_primary", "__fold", _unique(primary, fold("primary_name")))]
+    fold = lambda c: fold_name(F.col(c))
+    norm = lambda c: normalize_alias(F.col(c))
+    stages = [("exact_primary", "__fold", _keyed(primary, fold("primary_name")))]
     if i18n is not None:
-        stages.append(("exact_i18n", "__fold", _unique(i18n, fold("name"))))
-    stages += [("exact_alias", "__fold", _unique(aliases, fold("alias"))),
-               ("exact_alias_normalized", "__norm", _unique(aliases, norm("alias"))),
-               ("salt_stripped_primary", "__stem", _unique(primary, norm("primary_name"))),
-               ("salt_stripped_alias", "__stem", _unique(aliases, norm("alias")))]
-    found = []
+        stages.append(("exact_i18n", "__fold", _keyed(i18n, fold("name"))))
+    stages += [("exact_alias", "__fold", _keyed(aliases, fold("alias"))),
+               ("exact_alias_normalized", "__norm", _keyed(aliases, norm("alias"))),
+               ("salt_stripped_primary", "__stem", _keyed(primary, norm("primary_name"))),
+               ("salt_stripped_alias", "__stem", _keyed(aliases, norm("alias")))]
+    entry = lambda e, m, c, s: F.struct(e.alias("entity_id"), F.lit(m).alias("method"), c.alias("confidence"), s.alias("several"))
     for method, key, table in stages:
-        t = table.withColumnsRenamed({"__k": key, "__id": f"__{method}"})
+        t = table.withColumnsRenamed({"__k": key, "__id": f"__{method}", "__several": f"__{method}_several"})
         q = q.join(t, key, "left")
-        found.append(method)
+    first = F.coalesce(*[F.when(F.col(f"__{m}").isNotNull(), entry(F.col(f"__{m}"), m, F.lit(CONFIDENCE[m]), F.col(f"__{m}_several")))
+                         for m, _, _ in stages])
+    q = q.withColumn("__first", first)
+    page = F.lit(None).cast("string")
     if pages is not None:
-        q = q.join(_unique(pages, F.col(name)).withColumnsRenamed({"__k": name, "__id": "__detail_page"}), name, "left")
-        found.append("detail_page")
-    hit = F.coalesce(*[F.when(F.col(f"__{m}").isNotNull(), F.struct(
-        F.col(f"__{m}").alias("entity_id"), F.lit(m).alias("method"), F.lit(CONFIDENCE[m]).alias("confidence")))
-        for m in found])
-    return q.withColumn("__hit", hit).select(*queries.columns, "__hit.*")
+        links = _keyed(pages, F.col(name)).where("not __several").select(F.col("__k").alias("__name"), F.col("__id").alias("__page"))
+        q, page = q.join(links, "__name", "left"), F.col("__page")
+    several = F.col("__first.several")
+    hit = (F.when(~several, F.col("__first"))
+           .when(page.isNotNull(), entry(page, "detail_page", F.lit(CONFIDENCE["detail_page"]), F.lit(False)))
+           .when(several, entry(F.lit(None).cast("string"), AMBIGUOUS, F.lit(None).cast("double"), F.lit(True))))
+    found = q.select("__name", hit.alias("__hit"))
+    return (queries.join(found, F.col(name).eqNullSafe(F.col("__name")), "left")
+            .select(*queries.columns, "__hit.entity_id", "__hit.method", "__hit.confidence"))
 
 
 def coverage(mapped: DataFrame) -> DataFrame:
-    """Names per mapping method and their share of all names."""
+    """Names per mapping method, with the ambiguous and the unmatched ones, and their share of all names."""
     from pyspark.sql import Window
     n = mapped.groupBy(F.coalesce("method", F.lit("unmatched")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(F.lit(0))  # a row per method

@@ -295,21 +295,25 @@ def _norm_sql(c):
     return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[()\\[\\]{{}},.;:]', ' ', 'g'), '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g'))")
 
 
+def _keyed_sql(key, source):
+    return f"(select {key} as k, min(entity_id) as id, count(distinct entity_id) > 1 as several from {source} group by 1)"
+
+
 V.VIEWS["v_mapped"] = f"""
 with q as (select ext_id, drug, lower(drug) as fold, {_norm_sql('drug')} as norm from v_drug_names),
 z as (select *, regexp_replace(norm, '( ({_SALT_RX}))+$', '') as st from q),
-u1 as (select lower(primary_name) as k, min(entity_id) as id from v_names group by 1 having count(distinct entity_id) = 1),
-u2 as (select lower(name) as k, min(entity_id) as id from v_i18n group by 1 having count(distinct entity_id) = 1),
-u3 as (select lower(alias) as k, min(entity_id) as id from v_names group by 1 having count(distinct entity_id) = 1),
-u4 as (select {_norm_sql('alias')} as k, min(entity_id) as id from v_names group by 1 having count(distinct entity_id) = 1),
-u5 as (select {_norm_sql('primary_name')} as k, min(entity_id) as id from v_names group by 1 having count(distinct entity_id) = 1)
-select z.ext_id, z.drug, coalesce(u1.id, u2.id, u3.id, u4.id, s5.id, s6.id, pg.entity_id) as entity_id,
-  case when u1.id is not null then 'exact_primary' when u2.id is not null then 'exact_i18n' when u3.id is not null then 'exact_alias' when u4.id is not null then 'exact_alias_normalized'
-    when s5.id is not null then 'salt_stripped_primary' when s6.id is not null then 'salt_stripped_alias' when pg.entity_id is not null then 'detail_page' end as method,
-  case when u1.id is not null then 1.0::double when u2.id is not null then 1.0::double when u3.id is not null then 0.95::double when u4.id is not null then 0.9::double
-    when s5.id is not null then 0.8::double when s6.id is not null then 0.75::double when pg.entity_id is not null then 0.99::double end as confidence
-from z left join u1 on z.fold = u1.k left join u2 on z.fold = u2.k left join u3 on z.fold = u3.k left join u4 on z.norm = u4.k
-left join u5 s5 on z.st <> z.norm and z.st = s5.k left join u4 s6 on z.st <> z.norm and z.st = s6.k left join v_pages pg on z.drug = pg.drug"""
+j as (select z.ext_id, z.drug, pg.entity_id as page, list_filter([
+    {{'id': u1.id, 'several': u1.several, 'method': 'exact_primary', 'confidence': 1.0::double}}, {{'id': u2.id, 'several': u2.several, 'method': 'exact_i18n', 'confidence': 1.0::double}},
+    {{'id': u3.id, 'several': u3.several, 'method': 'exact_alias', 'confidence': 0.95::double}}, {{'id': u4.id, 'several': u4.several, 'method': 'exact_alias_normalized', 'confidence': 0.9::double}},
+    {{'id': s5.id, 'several': s5.several, 'method': 'salt_stripped_primary', 'confidence': 0.8::double}}, {{'id': s6.id, 'several': s6.several, 'method': 'salt_stripped_alias', 'confidence': 0.75::double}}],
+    lambda x: x.id is not null)[1] as f
+  from z left join {_keyed_sql('lower(primary_name)', 'v_names')} u1 on z.fold = u1.k left join {_keyed_sql('lower(name)', 'v_i18n')} u2 on z.fold = u2.k
+  left join {_keyed_sql('lower(alias)', 'v_names')} u3 on z.fold = u3.k left join {_keyed_sql(_norm_sql('alias'), 'v_names')} u4 on z.norm = u4.k
+  left join {_keyed_sql(_norm_sql('primary_name'), 'v_names')} s5 on z.st <> z.norm and z.st = s5.k left join {_keyed_sql(_norm_sql('alias'), 'v_names')} s6 on z.st <> z.norm and z.st = s6.k
+  left join v_pages pg on z.drug = pg.drug)
+select ext_id, drug, case when f.several = false then f.id else page end as entity_id,
+  case when f.several = false then f.method when page is not null then 'detail_page' when f.several then 'ambiguous' end as method,
+  case when f.several = false then f.confidence when page is not null then 0.99::double end as confidence from j"""
 
 
 def _mapped(src):

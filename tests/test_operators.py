@@ -280,3 +280,19 @@ def test_draws_reach_past_32_bits(spark):
     n = 40_000_000_000
     got = spark.range(2000).select(draw_index(keyed_sha256(F.col("id")), n).alias("d")).toPandas().d
     assert got.max() > 2**32 and 0.45 < (got > n / 2).mean() < 0.55
+
+
+def test_ambiguous_names_stop_the_cascade(spark):
+    from pairgrade.operators import mapping as Mp
+    names = spark.createDataFrame([("E1", "abc", "x1"), ("E2", "abc", "x2"), ("E4", "other", "Abc"), ("E5", "straße", "x5")], "entity_id string, primary_name string, alias string")
+    asked = spark.createDataFrame([("ABC",), ("abc page",), ("ＳＴＲＡＳＳＥ",), (None,)], "drug string")
+    pages = spark.createDataFrame([("abc page", "E9"), ("ABC", "E1")], "drug string, entity_id string")
+    got = {r.drug: (r.entity_id, r.method) for r in Mp.name_to_id(asked, names).collect()}
+    assert got == {"ABC": (None, "ambiguous"), "abc page": (None, None), "ＳＴＲＡＳＳＥ": ("E5", "exact_primary"), None: (None, None)}
+    assert {r.drug: r.entity_id for r in Mp.name_to_id(asked, names, pages=pages).collect()}["ABC"] == "E1"
+
+
+def test_any_white_space_around_a_phrase(spark):
+    rows = spark.createDataFrame([("The risk or severity of  Alpha  can be increased",), ("  ",)], "description string")
+    tiers = spark.createDataFrame([("alpha", 4)], "phrase string, tier long")
+    assert [r.tier for r in L.tier_cascade(rows, tiers).collect()] == [4, 1]

@@ -18,3 +18,9 @@ def test_no_cross_product(spark, key):
 def test_scan_reads_only_needed_columns(spark):
     plan = entry.queries()["accuracy_suite"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+
+
+@pytest.mark.parametrize("key", ["label_display", "match_runs", "runs_union_unique", "runs_prefer_primary", "run_grid_check", "run_key_codec", "stable_order"])
+def test_run_queries_read_their_runs_from_the_table(spark, key):
+    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" not in plan and "event_type:string" in plan
