@@ -131,9 +131,15 @@ def _(src):
     return _ttest(src).withColumns({"mean_delta": F.round("mean_delta", 6), "t": F.round("t", 4)})
 
 
-@query("paired_ttest_p")
+# Two-sided tail of the t distribution in closed form for the three degrees of freedom of four runs.
+@query("paired_ttest_p", """
+with d as (select a.macro_f1 - b.macro_f1 as d from v_hard a join v_hard b on a.method = 'A' and b.method = 'B' and a.fold = b.fold and a.seed = b.seed),
+s as (select count(*) as n, avg(d) as mean_delta, avg(d) / (stddev_samp(d) / sqrt(count(*))) as t from d),
+p as (select *, case when n = 4 then 1 - 2 / pi() * (atan(abs(t) / sqrt(3)) + abs(t) / sqrt(3) / (1 + t * t / 3)) end as p from s)
+select 'A' as method_a, 'B' as method_b, n, round(mean_delta, 6) as mean_delta, round(t, 4) as t, round(p, 8) as p,
+  case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end as stars from p""")
 def _(src):
-    return B.t_p_value(_ttest(src))
+    return B.t_p_value(_ttest(src)).withColumns({"mean_delta": F.round("mean_delta", 6), "t": F.round("t", 4), "p": F.round("p", 8)})
 
 
 # ------------------------------------------------------------ referral policy
