@@ -14,7 +14,7 @@ pairs are candidates from 36 collisions on and are confirmed on full sets.
 * Hubs: in each posting list every class is checked against one hub, the class
   with the heaviest postings.  In a large group of near-copies this links most
   of them with one check each.
-* Rest, exactly: classes lie in blocks of about `BLOCK` (by heaviest posting
+* Rest, exactly: classes that may still collide with another component's lie in blocks of about `BLOCK` (by heaviest posting
   and, within a large component, by component).  Blocks that share a posting
   and hold more than one component between them are compared in one task:
   collisions are counted on the signatures; the members that have a candidate
@@ -222,6 +222,24 @@ def _candidates(classes: DataFrame, matches: int) -> DataFrame:
         F.slice("posts", F.lit(1), F.size("posts") - (matches - 1)).alias("prefix"), F.element_at("posts", -1).alias("home"))
 
 
+def _touched(placed: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Classes that share a posting with a class of another component that may collide often enough.
+
+    Two bits of each coordinate fit two numbers; coordinates that are equal have equal bits, so fewer than `matches`
+    equal pairs of bits rule a pair out.  A semi join: one row for each posting at most."""
+    half = lambda i: F.aggregate(F.slice("sig", 1 + i * COORDINATES // 2, COORDINATES // 2), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 2).bitwiseOR(x.bitwiseAND(3).cast("long")))
+    posts = placed.select("rep", "comp", "n", half(0).alias("s0"), half(1).alias("s1"), F.explode("token").alias("token"))
+    a, b = posts.alias("a"), posts.alias("b")
+
+    def differ(c: str):
+        x = F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(0x5555555555555555))
+
+    alike = COORDINATES - differ("s0") - differ("s1") >= matches
+    size = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & size & alike, "left_semi").select("rep").distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """Per row of `docs`: key (an integer), n_shingles, component_id (smallest key reachable) and kept."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
@@ -254,6 +272,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     block = F.xxhash64("home.token", F.when(F.col("members") >= LARGE, F.col("root")), F.pmod(F.xxhash64("rep"), F.ceil(F.col("home.times") / BLOCK)))
     placed = materialize(found.join(reached.withColumnRenamed("node", "rep"), "rep", "left").join(size, "root", "left")
                          .select("rep", "n", "sig", F.coalesce("root", "rep").alias("comp"), block.alias("block"), "prefix.token"))
+    placed = materialize(placed.join(_touched(placed, matches, percent), "rep"))
     blocks = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = placed.select("comp", F.explode("token").alias("token")).groupBy("token").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h")
     touch = materialize(placed.select("block", F.explode("token").alias("token")).join(mixed.select("token"), "token", "left_semi").distinct().join(blocks, "block"))
