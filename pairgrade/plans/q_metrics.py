@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pairgrade.operators import metrics as M, runs as R, scoring as C
 from pairgrade.plans.registry import query
 from pairgrade.plans.views import METRIC_NAMES
-from pairgrade.session import materialize, work_dir
+from pairgrade.session import work_dir
 from pairgrade.sources import runs as SR
 
 RUN = ["method", "fold", "seed"]

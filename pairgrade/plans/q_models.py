@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from pairgrade.operators import features as X, ingest as I, metrics as M, models as Md, negatives as N, pairs as P, scoring as C, splits as S
 from pairgrade.operators.profile import ProfilePCA
-from pairgrade.plans import views as V
-from pairgrade.plans.q_graph import DIM, REL, _list
-from pairgrade.plans.q_ingest import _E, _RAW_ALIAS
+from pairgrade.plans.q_graph import REL, _list
+from pairgrade.plans.q_ingest import _E
 from pairgrade.plans.registry import query
 from pairgrade.session import materialize, work_dir
 from pairgrade.sources import tables as Tb

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairgrade.functions.hashing import keyed_md5
-from pairgrade.operators import label, pairs as P
+from pairgrade.operators import pairs as P
 from pairgrade.plans.registry import query
 
 
