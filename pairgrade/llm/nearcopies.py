@@ -4,7 +4,7 @@ A text is the set of its distinct word shingles.  Equal sets are one class.
 Each class has a signature of `COORDINATES` min-hash values and is posted
 under every (coordinate, value) pair.  Two classes whose sets have Jaccard
 similarity s agree in a binomial number of coordinates with mean s * 64; at
-s = 0.8 they agree in fewer than `MATCHES` = 36 with probability 6e-6, so
+s = 0.8 they agree in fewer than `MATCHES` = 36 with probability 4e-6, so
 pairs are candidates from 36 collisions on and are confirmed on full sets.
 
 * Skip: a pair that only one class is posted under is dropped, and then every
@@ -47,7 +47,7 @@ from pairgrade.session import materialize
 
 COORDINATES, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 80
-BLOCK, LARGE = 256, 64
+BLOCK, LARGE, ROWS = 256, 64, 2048
 
 _SALTS = flat.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -162,51 +162,56 @@ def forest(ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _sides(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The rows of the two blocks of a pair; the same twice for a block with itself."""
-    first = g[g["side"] == 0]
-    return first, g[g["side"] == 1] if (g["block_a"] != g["block_b"]).any() else first
-
-
-def _collisions(first: pd.DataFrame, second: pd.DataFrame, matches: int, percent: int) -> np.ndarray:
-    """(row of first, row of second) of different components whose signatures collide often enough."""
-    if not len(first) or not len(second):
-        return np.zeros((0, 2), np.int64)
-    a_sig, b_sig = np.stack(first["sig"].to_numpy()), np.stack(second["sig"].to_numpy())
-    n = np.zeros((len(first), len(second)), np.int16)
-    for k in range(a_sig.shape[1]):
-        n += a_sig[:, k, None] == b_sig[None, :, k]
-    na, nb = first["n"].to_numpy()[:, None], second["n"].to_numpy()[None, :]
-    ok = (n >= matches) & (first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :])
-    ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return np.argwhere(np.triu(ok, 1) if second is first else ok)
+def _block_pairs(g: pd.DataFrame):
+    """Row numbers of the two blocks of each pair in a bucket of pairs; the same twice for a block with itself."""
+    a, b, side = (g[c].to_numpy() for c in ("block_a", "block_b", "side"))
+    order = np.lexsort((side, b, a))
+    x, y = a[order], b[order]
+    for run in np.split(order, np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1):
+        if len(run):
+            cut = np.searchsorted(side[run], 1)
+            first = run[:cut]
+            yield first, first if a[run[0]] == b[run[0]] else run[cut:]
+
+
+def _collisions(g: pd.DataFrame, matches: int, percent: int):
+    """For each pair of blocks: their rows, and the (row, row) pairs of different components whose signatures collide
+    often enough."""
+    if not len(g):
+        return
+    sig, n, comp = np.stack(g["sig"].to_numpy()), g["n"].to_numpy(), g["comp"].to_numpy()
+    for i, j in _block_pairs(g):
+        ok = (comp[i][:, None] != comp[j][None]) & (100 * np.minimum(n[i][:, None], n[j][None]) >= percent * np.maximum(n[i][:, None], n[j][None]))
+        if j is i:
+            ok = np.triu(ok, 1)
+        pairs = np.argwhere(ok)
+        for lo in range(0, len(pairs), 1 << 14):
+            part = pairs[lo:lo + (1 << 14)]
+            part = part[(sig[i[part[:, 0]]] == sig[j[part[:, 1]]]).sum(1) >= matches]
+            if len(part):
+                yield i[part[:, 0]], j[part[:, 1]]
 
 
 def _needed(matches: int, percent: int):
-    """Pandas function over two blocks' signatures: the members that have a candidate, with their side."""
+    """Pandas function over signatures of pairs of blocks: the members that have a candidate, with their side."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        first, second = _sides(g)
-        pairs = _collisions(first, second, matches, percent)
-        if second is first:
-            return first.iloc[np.unique(pairs)][["block_a", "block_b", "side", "rep"]]
-        return pd.concat([x.iloc[np.unique(pairs[:, i])][["block_a", "block_b", "side", "rep"]] for i, x in enumerate((first, second))])
+        rows = [np.union1d(i, j) for i, j in _collisions(g, matches, percent)]
+        return g.iloc[np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]))][["block_a", "block_b", "side", "rep"]]
 
     return run
 
 
 def _compare(matches: int, percent: int):
-    """Pandas function over two blocks' members with their sets: links of a spanning forest."""
+    """Pandas function over members with their sets: links of a spanning forest."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        first, second = _sides(g)
-        pairs = _collisions(first, second, matches, percent)
-        if not len(pairs):
-            return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        view = lambda f: [np.asarray(x, np.int64).view(np.uint64) for x in f["set"]]
-        pairs = pairs[confirm(sets := view(first), sets if second is first else view(second), pairs, percent)]
-        ends = np.stack([first["rep"].to_numpy()[pairs[:, 0]], second["rep"].to_numpy()[pairs[:, 1]]], 1)
-        return pd.DataFrame(forest(ends), columns=["u", "v"]).astype("int64")
+        links, rep = [], g["rep"].to_numpy()
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in g["set"]]
+        for i, j in _collisions(g, matches, percent):
+            good = confirm(sets, sets, np.stack([i, j], 1), percent)
+            links += forest(np.stack([rep[i[good]], rep[j[good]]], 1))
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -280,12 +285,15 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     pairs = materialize(a.join(b, "token").where("block_a <= block_b and least(low_a, low_b) <> greatest(high_a, high_b)").select("block_a", "block_b").distinct())
     sides = pairs.select("block_a", "block_b", F.lit(0).alias("side"), F.col("block_a").alias("block")).unionByName(
         pairs.where("block_a <> block_b").select("block_a", "block_b", F.lit(1).alias("side"), F.col("block_b").alias("block")))
-    ends = ["block_a", "block_b"]
-    met = sides.join(placed.select("rep", "n", "sig", "comp", "block"), "block")
-    needed = materialize(met.groupBy(*ends).applyInPandas(_needed(matches, percent), "block_a long, block_b long, side int, rep long"))
+    # Pairs of small blocks share a task's call: buckets of about `ROWS` rows.
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    total = sides.join(sizes, "block").agg(F.sum("size")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("block_a", "block_b"), F.lit(max(1, -(-total // ROWS)))).alias("bucket")
+    met = sides.join(placed.select("rep", "n", "sig", "comp", "block"), "block").withColumn("bucket", bucket)
+    needed = materialize(met.groupBy("bucket").applyInPandas(_needed(matches, percent), "block_a long, block_b long, side int, rep long"))
     sets = sets.unionByName(build(needed.join(sets.select("rep"), "rep", "left_anti")))
-    near = needed.join(placed.select("rep", "n", "sig", "comp"), "rep").join(sets, "rep")
-    second = near.groupBy(*ends).applyInPandas(_compare(matches, percent), "u long, v long")
+    near = needed.join(placed.select("rep", "n", "sig", "comp"), "rep").join(sets, "rep").withColumn("bucket", bucket)
+    second = near.groupBy("bucket").applyInPandas(_compare(matches, percent), "u long, v long")
     links = first.unionByName(materialize(second))
 
     roots = components(links)
