@@ -133,6 +133,39 @@ def test_rules_reject_noise_and_keep_prose(spark):
     assert good.kept.mean() > 0.995 and bad.kept.mean() < 0.3
 
 
+def test_rules_reject_words_out_of_order(spark):
+    rng = random.Random(5)
+    stock = ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(400)]
+    after = {w: rng.sample(stock, 2) for w in stock}
+
+    def walk(n):
+        out = [rng.choice(stock)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    prose = [" ".join(walk(100)) for _ in range(300)]
+    mixed = [" ".join(rng.sample(words, len(words))) for words in (walk(100) for _ in range(10))]
+    spelt = [" ".join("".join(rng.sample(w, 6)) for w in walk(100)) for _ in range(10)]
+    rows = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(prose + mixed + spelt)], "doc_id long, text string, lang string")
+    got = perplexity.verdict(rows).collect()
+    kept = {r.doc_id: r.kept or r.base_failed for r in got}
+    assert sum(r.base_failed for r in got) < 20
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 320))
+
+
+def test_word_model_grows_and_sums_to_one(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = perplexity.fit(rows)
+    got = perplexity.word_model(perplexity.word_grams(rows, model=model)).toPandas()
+    assert len(got) == len({g for t in texts for g in zip(["", "^", *t.split()], ["^", *t.split()], t.split(), strict=False)})
+    # A whole context: every word follows, and what is left over is less than one.
+    full = got.groupby(["u", "v"]).filter(lambda x: len(x) == 8).groupby(["u", "v"])[["p0", "p1"]].sum()
+    assert len(full) and full.gt(0.9).all(axis=None) and full.lt(1 + 1e-6).all(axis=None)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{x:1}</style></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
 <div class="cookie-notice">We use cookies, really. Accept?</div><div id="content"><h1>Title &amp; more</h1>
