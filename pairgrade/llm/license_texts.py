@@ -1,4 +1,11 @@
-"""Known licence texts and notices.  Fixed values: the public texts themselves."""
+"""Known licence texts and notices.  Fixed values: the public texts themselves.
+
+Long texts lie in `license_files`, one file for each, named by the licence.  Each is known as it stands, without its
+title, and without what follows its terms (how to apply them), with and without the line that ends them.
+"""
+
+import re
+from pathlib import Path
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
@@ -120,6 +127,20 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+_END = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$|^(?=Exhibit A - |EXHIBIT A -|ADDENDUM: How)", re.M)
+
+
+def _variants(text: str) -> list[str]:
+    """The whole text and its terms, each with and without the title (its first paragraph)."""
+    text = text.strip()
+    out = [text]
+    if m := _END.search(text):
+        out += [text[:m.end()], text[:m.start()]]
+    return out + [body.split("\n\n", 1)[1] for body in out]
+
+
+KNOWN += [(f.stem, text) for f in sorted(Path(__file__).with_name("license_files").glob("*.txt")) for text in _variants(f.read_text(encoding="utf-8"))]
+
 # Spellings that count as the same word.
 EQUIVALENT: list[tuple[str, str]] = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"),

@@ -20,8 +20,16 @@ from pyspark.sql import functions as F
 
 from pairgrade.llm.license_texts import EQUIVALENT, KNOWN
 
-# Fixed: what a copyright line starts with.
-COPYRIGHT = r"^[^\p{L}\p{N}©(]*((portions )?copyright\s*(\(c\)|©|:|[0-9]{4})|\(c\)\s*[0-9]|©|all rights reserved[^\p{L}\p{N}]*$)"
+# Fixed: what a copyright line starts with, and how it states a holder or a year.  Prose that a line break puts at a
+# line's start ("copyright notice that is", "copyright holders and contributors") states neither.
+_STATED = (
+    r"(\(c\)|©|:|[0-9]{4}|[\[<{]"  # a sign, a year or a blank to fill in
+    r"|.*[^0-9](19|20)[0-9]{2}([^0-9]|$)|.*@"  # a year or an address further on
+    r"|(by\s|the\s)?.*[^\p{L}](inc|llc|ltd|gmbh|corp|corporation|foundation|company|university)[^\p{L}\p{N}]*(all rights reserved[^\p{L}\p{N}]*)?$"
+    r"|the\s.*[^\p{L}](authors|contributors|developers|maintainers|team|project|regents)[^\p{L}]|the\s.*[^\p{L}](authors|contributors|developers|maintainers|team|project|regents)$"
+    r"|[\p{L}\p{N}.-]+\s+(authors|contributors|developers|maintainers|team|project)[^\p{L}\p{N}]*$)"
+)
+COPYRIGHT = r"^[^\p{L}\p{N}©(]*((portions )?copyright\s*" + _STATED + r"|\(c\)\s*[0-9]|©|all rights reserved[^\p{L}\p{N}]*$)"
 
 
 def canonical(line: Column) -> Column:

@@ -196,6 +196,27 @@ def test_licences(spark):
     assert words == "license license"
 
 
+def test_whole_licence_texts_and_holders(spark):
+    full = dict((a, b) for a, b in reversed(KNOWN) if len(b) > 6000)  # the first variant of each, as it stands
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(full)
+    mit = KNOWN[0][1]
+    terms = full["Apache-2.0"].split("END OF TERMS")[0]
+    heads = ["Copyright The Foo Authors", "Copyright Foo Inc. 2019", "Copyright <YEAR> <HOLDER>", "Copyright Foo Contributors", "Copyright Foo Bar, Inc. All rights reserved."]
+    prose = ["copyright notice that is included in", "Copyright holders and contributors", "copyright license to reproduce,", "copyright law: that is to say,"]
+    wanted = [(t, a) for a, t in full.items()] + [(" ".join(t.split("\n")), a) for a, t in full.items() if "copyright (c)" not in t.lower() and "yyyy" not in t]
+    wanted += [(terms, "Apache-2.0"), (full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Foo"), "Apache-2.0")]
+    wanted += [(f"{h}\n\n{mit}", "MIT") for h in heads] + [(f"{h}\n\n{mit}", None) for h in prose]
+    wanted.append(("Copyright (c) 2021 Foo\n\n" + mit.replace("The above copyright", "The above\ncopyright"), "MIT"))
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(wanted)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows, licenses.known(spark)).collect()}
+    assert [got[i].license_id for i in range(len(wanted))] == [x for _, x in wanted]
+    import duckdb
+
+    db = duckdb.connect()
+    db.register("documents", rows.toArrow())
+    assert {(i, d, x) for i, d, x, _ in db.execute(licenses.sql()).fetchall()} == {(r.doc_id, r.digest, r.license_id) for r in got.values()}
+
+
 def test_bpe_like_the_library(spark, docs):
     import public_tokenizers as P
     import tiktoken
