@@ -8,12 +8,16 @@ the share of text outside links.  The ratios of the blocks in page order are
 smoothed with a Gaussian, fused with the unsmoothed ones (geometric mean), and
 averaged per path again.  Paths at or above `SHARE` of the best one are the
 core.  The containers of the core paths (the article or main around them, else
-their parent) say what else is the article: blocks below them that are not
-boilerplate and not mostly links, such as headings and short paragraphs.
+their parent) say what else is the article: blocks below them, at any depth, that are not
+boilerplate, such as headings, cells, nested lists and short paragraphs.  In an
+article or main, links don't matter; elsewhere a path of mostly links that is
+no heading is a menu before the first and after the last core block.
 
 Scripts, styles, forms, menus, headers, footers, asides, and elements whose
 class, id or role names an advert, notice, sidebar, comment section and the
-like are boilerplate whatever their ratio; a header inside an article is not.
+like are boilerplate whatever their ratio; a header inside an article is not,
+and a name doesn't count on an element that holds most of the page's text
+outside links, unless an article or main with text lies beside it.
 
 Edge cases: null, empty and text-free pages give an empty text; unclosed and
 stray tags, unclosed comments and quotes are read as far as they go; repeated
@@ -50,41 +54,44 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _OPEN = re.compile(r"</?[a-zA-Z]|<[!?]")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HEADING = re.compile(r"h[1-6](?:\[|$)")
 _POINT = re.compile(r"[.,;:!?。、，！？；：…]")
 
 
-def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """The element's step in tag paths, and whether it is boilerplate; inside: of an article."""
+def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """The element's step in tag paths, whether it is boilerplate, and whether a name says so; inside: of an article."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag, tag in BOILERPLATE or tag == "header" and not inside
-    step, bad = tag, tag in BOILERPLATE or tag == "header" and not inside
+        return tag, tag in BOILERPLATE or tag == "header" and not inside, False
+    named, step, bad = False, tag, tag in BOILERPLATE or tag == "header" and not inside
     for name, value in _NAMED.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             step += f"[{name}={value}]"
             if tag not in ("html", "body", "main", "article") or name == "class" and tag == "article":
                 found = {x.lower() for x in _PART.findall(value)}
-                bad |= bool(found & NAMES) and not (tag == "header" and inside or found & {"header", "masthead", "banner"} and inside and not found & NAMES - {"header", "masthead", "banner"})
+                named |= bool(found & NAMES) and not (tag == "header" and inside or found & {"header", "masthead", "banner"} and inside and not found & NAMES - {"header", "masthead", "banner"})
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             bad |= name != "hidden" or value.lower() != "until-found"
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return step, bad
+    return step, bad, named
 
 
-def blocks(page: str) -> tuple[list[tuple[int, int, str, int, bool]], dict[int, int]]:
-    """(path, article, text, characters in links, boilerplate) of each block in page order, and each path's parent.
+def blocks(page: str) -> tuple[list[tuple[int, int, str, int, bool]], dict[int, int], set[int]]:
+    """(path, article, text, characters in links, boilerplate) of each block in page order, each path's parent, and
+    the paths of headings.
     Paths are numbers, equal for equal paths; article is the path of the article or main around the block, or 0."""
     numbers: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, bool, int]] = []  # tag, path, boilerplate, path of the article it is in or 0
+    stack: list[tuple[str, int, bool, int, int]] = []  # tag, path, boilerplate, path of the article it is in or 0, named element or 0
+    outer: list[int] = [0]  # of each named element the one around it; 0 stands for the page
     out, text, linked, links, at = [], [], 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             if whole := " ".join(html.unescape("".join(text)).split()):
-                _, path, bad, article = stack[-1] if stack else ("", 0, False, 0)
-                out.append((path, article, whole, min(linked, len(whole)), bad))
+                _, path, bad, article, named = stack[-1] if stack else ("", 0, False, 0, 0)
+                out.append((path, article, whole, min(linked, len(whole)), bad, named))
             text.clear()
         linked = 0
 
@@ -136,18 +143,33 @@ def blocks(page: str) -> tuple[list[tuple[int, int, str, int, bool]], dict[int,
                     del stack[i:]
                 elif stack[i][0] in SCOPE:
                     break
-            _, above, bad, article = stack[-1] if stack else ("", 0, False, 0)
-            step, own = _kind(tag, attrs, bool(article))
+            _, above, bad, article, named = stack[-1] if stack else ("", 0, False, 0, 0)
+            step, own, by_name = _kind(tag, attrs, bool(article))
             path = numbers.setdefault((above, step), len(numbers) + 1)
-            stack.append((tag, path, bad or own, path if tag in ("article", "main") and not article else article))
+            if by_name:
+                outer.append(named)
+                named = len(outer) - 1
+            stack.append((tag, path, bad or own, path if tag in ("article", "main") and not article else article, named))
     add(page[at:])
     flush()
-    return out, {path: above for (above, _), path in numbers.items()}
+    # Text outside links, all and in articles, in each named element; an element's number is larger than that around it.
+    plain, told = [0] * len(outer), [0] * len(outer)
+    for _, article, text_, n, bad, named in out:
+        if not bad:
+            plain[named] += len(text_) - n
+            told[named] += (len(text_) - n) * bool(article)
+    for i in range(len(outer) - 1, 0, -1):
+        plain[outer[i]] += plain[i]
+        told[outer[i]] += told[i]
+    gone = [False] * len(outer)
+    for i in range(1, len(outer)):
+        gone[i] = gone[outer[i]] or 2 * plain[i] <= plain[0] or told[i] < told[0]
+    return [(*b[:4], b[4] or gone[b[5]]) for b in out], {path: above for (above, _), path in numbers.items()}, {path for (_, step), path in numbers.items() if _HEADING.match(step)}
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line."""
-    found, parent = blocks(page or "")
+    found, parent, headings = blocks(page or "")
     live = [b for b in found if not b[4]]
     if not live:
         return ""
@@ -167,19 +189,25 @@ def main_text(page: str | None) -> str:
     best = max(fused, key=lambda p: (fused[p] * math.sqrt(sums[p][0]), -p))
     core = {p for p, x in fused.items() if x >= SHARE * fused[best]}
     homes = {b[1] or parent.get(b[0], 0) for b in live if b[0] in core}
-    articles = {b[1] for b in live if b[0] in core and b[1]}
+    inside: dict[int, bool] = {0: 0 in homes}
 
     def below(path: int) -> bool:
-        """In an article of the core, or (where the core is in none) a child or grandchild of its container."""
-        steps = 0
-        while path not in homes:
-            path, steps = parent.get(path, 0), steps + 1
-            if not path:
-                return 0 in homes and steps <= 1
-        return path in articles or steps <= 2
-
-    under = {p: below(p) for p in sums}
-    return "\n\n".join(b[2] for b in live if b[0] in core or under[b[0]] and b[3] < LINKS * len(b[2]))
+        """In a container of the core."""
+        way = []
+        while path not in inside and path not in homes:
+            way.append(path)
+            path = parent.get(path, 0)
+        found = path in homes or inside[path]
+        inside.update(dict.fromkeys(way, found))
+        return found
+
+    at = [i for i, b in enumerate(live) if b[0] in core]
+    menus = {p for p, (t, _, linked, _) in sums.items() if linked >= LINKS * t} - headings
+
+    def kept(i: int, b: tuple[int, int, str, int, bool]) -> bool:
+        return b[0] in core or below(b[0]) and (b[1] in homes or at[0] < i < at[-1] or b[0] not in menus)
+
+    return "\n\n".join(b[2] for i, b in enumerate(live) if kept(i, b))
 
 
 def extract(pages: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

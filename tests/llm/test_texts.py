@@ -185,6 +185,22 @@ def test_extraction(spark):
     assert extract.extract(rows.limit(0)).count() == 0
 
 
+def test_extraction_keeps_the_whole_article():
+    body = "".join(f"<p>Paragraph {i}, which is long enough, tells a story; and it goes on, as stories do.</p>" for i in range(6))
+    deep = "<table><tbody><tr><td>cell</td></tr></tbody></table><ol><li>one<ul><li><p>inner</p></li></ul></li></ol>"
+    got = extract.main_text(f"<body><div class=top><ul><li><a href=/>Start</a></li></ul></div><div class=text>{body}{deep}{body}</div></body>")
+    assert {"cell", "one", "inner"} <= set(got.split("\n\n")) and "Start" not in got
+    linked = "<h1><a href=/t>Title</a></h1>", "<ul><li><a href=/x>Linked item</a></li></ul>"
+    got = extract.main_text(f"<body><article>{linked[0]}{body}{linked[1]}</article></body>")
+    assert got.startswith("Title\n\n") and got.endswith("\n\nLinked item")
+    assert extract.main_text(f"<body><div>{linked[0]}{body}</div></body>").startswith("Title\n\n")
+    side = "<div class=sidebar><p>Aside, here.</p></div>"
+    for name in ("has-sidebar", "notice-text", "social-share-page"):
+        got = extract.main_text(f"<body><div class={name}>{body}{side}</div></body>")
+        assert "Paragraph 5" in got and "Aside" not in got
+    assert "Paragraph" not in extract.main_text(f"<body><article><p>A short story, told.</p></article><div class=comments>{body}</div></body>")
+
+
 def test_licences(spark):
     mit = KNOWN[0][1]
     texts = [mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ;"), mit + " x", "prose\nReleased under the MIT licence!\nmore", None, "", "(c) 2019 me", "licence licence"]
