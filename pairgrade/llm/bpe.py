@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairgrade.llm import flat
-from pairgrade.llm.constants import constant, let
+from pairgrade.llm.constants import constant, let, ship
 
 LONG = 48
 WORDS = 1 << 19  # words of a batch that are encoded at a time
@@ -248,11 +248,12 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """`docs` with the tokens of `text` in the array column `ids`."""
-        coder = docs.sparkSession.sparkContext.broadcast(Coder(self.pairs.to_numpy(), self.first.to_numpy(), self.bits))
+        shared = ship(docs.sparkSession, Coder(self.pairs.to_numpy(), self.first.to_numpy(), self.bits))
         rows = docs.select(F.struct(*docs.columns).alias("row"), self.words(F.col(text)).alias("words"))
         schema = rows.select("row").withColumn("ids", F.array().cast("array<int>")).schema
 
         def run(batches):
+            coder = shared()
             for b in batches:
                 words = b.column("words")
                 off = words.offsets.to_numpy()
@@ -260,7 +261,7 @@ class Tokenizer:
                 while lo < b.num_rows:
                     hi = max(lo + 1, int(np.searchsorted(off, off[lo] + WORDS, side="right")) - 1)
                     part = b.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([part.column("row"), coder.value.encode(words.values.slice(off[lo], off[hi] - off[lo]), off[lo:hi + 1] - off[lo])], names=["row", "ids"])
+                    yield pa.RecordBatch.from_arrays([part.column("row"), coder.encode(words.values.slice(off[lo], off[hi] - off[lo]), off[lo:hi + 1] - off[lo])], names=["row", "ids"])
                     lo = hi
 
         return rows.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != ids), F.col("ids").alias(ids))

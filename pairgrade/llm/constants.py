@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,15 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def ship(spark: SparkSession, value):
+    """A function that gives `value` within tasks; the value travels once to each executor.
+
+    Broadcasts pickle classes by reference; here the class travels with the value, so that workers need no copy of the
+    package."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def may_hold(keys: DataFrame, column: str, bits: int = 20):
     """A test that is true for every value of `column` in `keys`: a bit map of fixed size, 2 ** bits, by hash.
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairgrade.llm import flat
+from pairgrade.llm.constants import ship
 
 # Bound on what is learned from: texts of one language.  The tables that go to the executors grow with it
 # (and with the number of languages), not with the corpus.
@@ -157,10 +158,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     (code length in the predicted language)."""
     rows = docs.select(*keep, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.col(text).alias("_text"))
     schema = rows.select(*keep).withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "bits": F.lit(0.0)}).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def score(batches):
-        m = shared.value
+        m = shared()
         names = np.asarray([*m.languages, "und"], object)
         for b in batches:
             letter = b.column("_letter").to_numpy(zero_copy_only=False)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairgrade.llm import flat
+from pairgrade.llm.constants import ship
 
 BUCKETS = 1 << 16
 # Bound on the labelled texts that are learned from (each gives at most BUCKETS counts to the driver).
@@ -146,10 +147,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """The `keep` columns, score (probability of label 1) and predicted (1 if score >= `threshold`)."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = rows.select(*keep).withColumn("score", F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def score(batches):
-        m = shared.value
+        m = shared()
         for b in batches:
             out = np.zeros(b.num_rows)
             for lo, hi, data, off in flat.chunks(b.column("_text")):
