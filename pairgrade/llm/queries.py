@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import bpe, extract, langid, licenses, linededup, mixing, nearcopies, perplexity, quality, topk
+from pairgrade.llm import bpe, extract, langid, licenses, linededup, merkle, mixing, nearcopies, perplexity, quality, topk
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -89,3 +89,16 @@ def op9(spark, sf_dir):
     return tok.decode(coded, "ids", "bytes").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op13_merkle_manifest", merkle.sql())
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(lowered))
+    rows = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(rows, "doc_id", "source", carry=["tampered"])
+    found = found.withColumn("folded_root", merkle.folded(F.col("path"), F.coalesce("tampered", "leaf")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
