@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import bpe, extract, langid, licenses, linededup, merkle, mixing, nearcopies, perplexity, quality, topk
+from pairgrade.llm import bpe, extract, langid, licenses, linededup, merkle, mixing, nearcopies, perplexity, quality, runs, topk
+from pairgrade.llm.constants import let
 from pairgrade.llm.registry import held_out, query, table
 
 
@@ -102,3 +103,31 @@ def op13(spark, sf_dir):
     found = found.withColumn("folded_root", merkle.folded(F.col("path"), F.coalesce("tampered", "leaf")))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def periodic_text(key, text):
+    """The text; for one row of ten with its words from a place on made periodic, both by the crc32 of the key."""
+    h = F.crc32(key.cast("string"))
+    g = F.floor(h / 10)
+
+    def spread(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i).cast("int"))), " ")).otherwise(text)
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when((h % 10 == 0) & text.isNotNull(), let(words, spread)).otherwise(text)
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = runs.find(docs.select("doc_id", periodic_text(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
