@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairgrade.llm import bpe, extract, langid, licenses, linededup, merkle, mixing, nearcopies, perplexity, quality, runs, topk
+from pairgrade.llm import bpe, extract, langid, licenses, linededup, merkle, mixing, nearcopies, ngram_join, perplexity, quality, runs, topk
 from pairgrade.llm.constants import let
 from pairgrade.llm.registry import held_out, query, table
 
@@ -92,6 +92,11 @@ def op9(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query("op12_ngram_jaccard_join")
+def op12(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query("op13_merkle_manifest", merkle.sql())
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
