@@ -116,11 +116,13 @@ def periodic_text(key, text):
     g = F.floor(h / 10)
 
     def spread(words):
-        n = F.size(words).cast("long")
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8))
-        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i).cast("int"))), " ")).otherwise(text)
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        some = lambda start, size: F.array_join(F.slice(words, start + 1, size), " ")
+        again = F.repeat(F.concat(F.lit(" "), some(a, p)), F.floor((n - a) / p).cast("int") - 1)
+        last = (n - a) % p
+        return F.when(n > 0, F.concat(some(F.lit(0), a + p), again, F.when(last > 0, F.concat(F.lit(" "), some(a, last))).otherwise(""))).otherwise(text)
 
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     return F.when((h % 10 == 0) & text.isNotNull(), let(words, spread)).otherwise(text)
