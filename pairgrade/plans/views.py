@@ -170,12 +170,18 @@ select y, n, cast(base + case when k <= short then 1 else 0 end as bigint) as qu
 
 
 VIEWS["v_quota20"] = _quota("v_pairs", "(n_all + 4) // 5")
-VIEWS["v_sealed"] = """
-with q as (select *, coalesce(sum(n - quota) over (order by y rows between unbounded preceding and 1 preceding), 0) as before from v_quota20),
-r as (select p.a, p.b, p.y, row_number() over (partition by p.y order by md5(concat_ws('|', '42', p.a, p.b)), p.a, p.b) as rn from v_pairs p)
+
+
+def _sealed(rows: str, quota: str) -> str:
+    return f"""
+with q as (select *, coalesce(sum(n - quota) over (order by y rows between unbounded preceding and 1 preceding), 0) as before from {quota}),
+r as (select p.a, p.b, p.y, row_number() over (partition by p.y order by md5(concat_ws('|', '42', p.a, p.b)), p.a, p.b) as rn from {rows} p)
 select r.a, r.b, r.y, cast(case when rn <= quota then 1 else 0 end as bigint) as sealed_test,
   cast(case when rn <= quota then -1 else (rn - quota - 1 + before) % 5 + 1 end as bigint) as fold
 from r join q on r.y = q.y"""
+
+
+VIEWS["v_sealed"] = _sealed("v_pairs", "v_quota20")
 VIEWS["v_universe"] = "select a as entity_id from v_pairs union select b as entity_id from v_pairs"
 VIEWS["v_held"] = """
 with s as (select unnest([42, 123, 2024]) as seed),
@@ -396,3 +402,21 @@ _REFLONG = " union all ".join(f"select method, null::double as alpha, null::doub
                               for m in ("ref_argmax_miss", "ref_argmax_false_alert", "ref_thr05_miss", "ref_thr05_false_alert"))
 VIEWS["v_policy_long"] = f"""
 select method, alpha, beta, metric, avg(value) as mean, stddev_pop(value) as sd, count(*) as n_runs from ({_LONG} union all {_REFLONG}) group by 1, 2, 3, 4"""
+
+# Training rows of the tier models: pairs and plain negatives, sealed and dealt.
+VIEWS["v_negatives"] = """
+with idx as (select entity_id, row_number() over (order by md5(entity_id), entity_id) - 1 as i from v_fp),
+k as (select (select count(*) from v_pairs) // 10 as n_neg, (select count(*) from v_fp) as n_ent),
+t as (select unnest(range(15 * n_neg)) as id, n_ent from k),
+d as (select cast('0x' || substr(md5(concat_ws('|', '42', 'i', cast(id as string))), 1, 15) as bigint) % n_ent as i,
+  cast('0x' || substr(md5(concat_ws('|', '42', 'j', cast(id as string))), 1, 15) as bigint) % (n_ent - 1) as j0 from t),
+e as (select i, j0 + case when j0 >= i then 1 else 0 end as j from d),
+c as (select distinct least(x.entity_id, z.entity_id) as a, greatest(x.entity_id, z.entity_id) as b
+  from e join idx x on e.i = x.i join idx z on e.j = z.i),
+f as (select c.a, c.b from c join v_fp x on c.a = x.entity_id join v_fp z on c.b = z.entity_id
+  where not exists (select 1 from v_pairs p where p.a = c.a and p.b = c.b)
+  and len(list_intersect(x.bits, z.bits)) / cast(len(x.bits) + len(z.bits) - len(list_intersect(x.bits, z.bits)) as double) < 0.3)
+select a, b from (select a, b, row_number() over (order by md5(concat_ws('|', '42', 'cut', a, b)), a, b) as rn from f), k where rn <= n_neg"""
+VIEWS["v_tier_rows"] = "select a, b, y from v_pairs union all select a, b, 0 as y from v_negatives"
+VIEWS["v_tier_quota"] = _quota("v_tier_rows", "(n_all + 4) // 5")
+VIEWS["v_tier_sealed"] = _sealed("v_tier_rows", "v_tier_quota")
