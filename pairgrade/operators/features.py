@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairgrade.functions.hashing import hex_to_long, keyed_md5
 from pairgrade.functions.ordering import add_rank, hash_bucket
+from pairgrade.session import materialize
 
 # Families of attribute names.
 CYP_PREFIX = "Cytochrome P450"
@@ -226,3 +227,43 @@ def similarity_cross(fp: DataFrame, reference: DataFrame, block_rows: int = 256)
     one = scored.select("block", "ref_ids", F.explode(F.arrays_zip("lrows", "m")).alias("z"))
     return one.select(F.col("z.lrows.entity_id").alias("entity_id"), "block", "ref_ids",
                       F.col("z.m").alias("sims"))
+
+
+def _by_rarity(fp: DataFrame, times: Column, num: int, den: int, suffix: str) -> DataFrame:
+    """Postings of each entity under the rarest bits of its set, one of which any set that is similar enough shares:
+    bit, place, number of bits, the set in order of rarity."""
+    order = F.transform(F.array_sort(F.transform("bits", lambda b: F.struct(F.coalesce(F.get("__times", b.cast("int")), F.lit(0)).alias("t"), b.alias("b")))), lambda x: x["b"])
+    e = fp.where(F.size("bits") > 0).withColumn("__times", times).select("entity_id", order.alias("set")).withColumn("n", F.size("set"))
+    prefix = F.slice("set", F.lit(1), (F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1).cast("int"))
+    p = e.select("entity_id", "set", "n", F.posexplode(prefix).alias("at", "bit"))
+    return p.select("bit", *(F.col(c).alias(f"{c}_{suffix}") for c in ("entity_id", "set", "n", "at")))
+
+
+def similarity_join(fp: DataFrame, reference: DataFrame, num: int = 3, den: int = 10, hot: int = 4096) -> DataFrame:
+    """(entity_id, ref_id, shared, sim): pairs of an entity and a reference entity whose Tanimoto similarity is at
+    least num / den, exactly; sets without bits are similar to nothing.
+
+    An inverted join on the rarest bits of each set.  Sizes and places rule pairs out within the join condition, a pair
+    is taken at its first shared posting only, and its similarity follows from the sets that travel with the postings
+    (never more than ``FP_BITS`` bits).  A bit with more than ``hot`` reference postings is split in that many parts, so
+    no bit is held by one task.  The result has the matches, not the product.
+    """
+    ids = fp.select("entity_id", "bits")
+    refs = reference.select("entity_id", "bits")
+    counts = ids.unionAll(refs).select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("times"))
+    # One number for each bit position: bounded by the width of the fingerprint.
+    times = materialize(counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col("bit").cast("int").alias("b"), "times"))).alias("m"))
+                        .select(F.transform(F.sequence(F.lit(0), F.lit(FP_BITS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("times"))).scalar()
+    left, right = _by_rarity(ids, times, num, den, "l"), _by_rarity(refs, times, num, den, "r")
+    parts = F.ceil(F.get("__times", F.col("bit").cast("int")) / hot).cast("int")
+    left = left.withColumn("__times", times).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("__times")
+    right = right.withColumn("__times", times).withColumn("part", F.pmod(F.xxhash64("entity_id_r"), F.greatest(parts, F.lit(1))).cast("int")).drop("__times")
+    sizes = (den * F.col("n_l") >= num * F.col("n_r")) & (den * F.col("n_r") >= num * F.col("n_l"))
+    need = num * (F.col("n_l") + F.col("n_r"))
+    reach = (den + num) * (F.least(F.col("n_l") - F.col("at_l"), F.col("n_r") - F.col("at_r"))) >= need
+    first = ~F.arrays_overlap(F.slice("set_l", F.lit(1), F.col("at_l")), F.slice("set_r", F.lit(1), F.col("at_r")))
+    met = left.join(right, ["bit", "part"]).where(sizes & reach & first)
+    shared = met.withColumn("shared", F.size(F.array_intersect("set_l", "set_r")).cast("bigint"))
+    hit = shared.where((den + num) * F.col("shared") >= need)
+    return hit.select(F.col("entity_id_l").alias("entity_id"), F.col("entity_id_r").alias("ref_id"), "shared",
+                      (F.col("shared") / (F.col("n_l") + F.col("n_r") - F.col("shared")).cast("double")).alias("sim"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pairgrade.operators import features as X, ingest as I, negatives as N
 from pairgrade.plans.registry import query
+from pairgrade.session import materialize
 
 _E = "concat('E', lpad(cast(p_partkey as string), 7, '0'))"
 
@@ -224,6 +225,17 @@ def _(src):
         F.max(F.array_max("sims")).alias("max_sim"))
 
 
+@query("similarity_join", f"""
+with s as (select x.entity_id, r.entity_id as ref_id, count(*) as shared from v_bits x join v_bits r on x.bit = r.bit
+  where {_REF.replace('entity_id', 'r.entity_id')} group by 1, 2)
+select s.entity_id, s.ref_id, s.shared, s.shared / cast(len(a.bits) + len(b.bits) - s.shared as double) as sim
+from s join v_fp a on s.entity_id = a.entity_id join v_fp b on s.ref_id = b.entity_id
+where s.shared / cast(len(a.bits) + len(b.bits) - s.shared as double) >= 0.3""")
+def _(src):
+    fp = materialize(src.fps)
+    return X.similarity_join(fp, fp.where(_REF), 3, 10)
+
+
 @query("negative_sampling", """
 with idx as (select entity_id, row_number() over (order by md5(entity_id), entity_id) - 1 as i from v_fp),
 k as (select (select count(*) from v_pairs) // 10 as n_neg, (select count(*) from v_fp) as n_ent),

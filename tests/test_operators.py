@@ -226,6 +226,28 @@ def test_similarity_tiles_equal_brute_force(spark):
     assert seen == 30 * 20
 
 
+def test_similarity_join_equals_brute_force(spark):
+    g = np.random.default_rng(3)
+    m = g.random((90, 40)) < g.random((90, 1)) * 0.6
+    m[:, 0] |= g.random(90) < 0.8  # a bit that most entities have
+    m[10:14] = m[10]
+    m[20] = False
+    fp = spark.createDataFrame([(f"E{i:02d}", [int(b) for b in np.flatnonzero(m[i])]) for i in range(90)], "entity_id string, bits array<bigint>")
+    ref = fp.where("entity_id < 'E60'")
+    for num, den, hot in ((3, 10, 4096), (1, 2, 7), (9, 10, 1)):
+        got = {(r["entity_id"], r["ref_id"]): (r["shared"], r["sim"]) for r in X.similarity_join(fp, ref, num, den, hot).collect()}
+        want = {}
+        for i in range(90):
+            for j in range(60):
+                shared, union = int((m[i] & m[j]).sum()), int((m[i] | m[j]).sum())
+                if union and den * shared >= num * union:
+                    want[f"E{i:02d}", f"E{j:02d}"] = shared, pytest.approx(shared / union)
+        assert got == want
+    rows = X.similarity_join(fp, ref, 9, 10).count()
+    assert rows == len({(i, j) for i in range(90) for j in range(60) if (m[i] | m[j]).any() and 10 * (m[i] & m[j]).sum() >= 9 * (m[i] | m[j]).sum()})
+    assert X.similarity_join(fp.limit(0), ref).count() == 0
+
+
 def test_models_predict_and_resume(spark, tmp_path):
     g = np.random.default_rng(2)
     y = g.integers(0, 3, 300)
