@@ -1,13 +1,16 @@
 """Operators that judge single texts: language, quality, rules, extraction, licences, tokens."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairgrade.llm import bpe, extract, flat, langid, licenses, perplexity, quality
+from pairgrade.llm import bpe, extract, flat, langid, licenses, perplexity, quality, wordmodel
 from pairgrade.llm.constants import let
 from pairgrade.llm.license_texts import KNOWN
 from pairgrade.llm.queries import byte_bpe
@@ -154,16 +157,53 @@ def test_rules_reject_words_out_of_order(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 320))
 
 
-def test_word_model_grows_and_sums_to_one(spark):
+def plain_word_bits(texts, own, low):
+    """Mean bits of each text's words by dicts of the other half's counts, one bucket."""
+    runs = [re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[0-9]", "0", brute.lower(t))) for t in texts]
+    pairs = [list(zip([None, *w], w)) for w in runs]
+    out = {}
+    every = sorted({p for ps in pairs for p in ps}, key=str)
+    models = []
+    for m in (0, 1):
+        c = {p: 0 for p in every}
+        for k, ps in zip(own, pairs):
+            if k & 1 == m:
+                for p in ps:
+                    c[p] += 1
+        cut = wordmodel.discounts(*(sum(n == i for n in c.values()) for i in (1, 2, 3, 4)))
+        off = lambda n: [0, *cut][min(n, 3)]  # noqa: E731, B023
+        total, free = Counter(), Counter()
+        for (v, _), n in c.items():
+            total[v] += n
+            free[v] += off(n)
+        models.append({(v, w): (n - off(n) + free[v] * 2 ** -low[w]) / total[v] if total[v] else 2 ** -low[w] for (v, w), n in c.items()})
+    for k, ps in zip(own, pairs):
+        if ps:
+            out[k] = sum(-math.log2(models[1 - (k & 1)][p]) for p in ps) / len(ps)
+    return out
+
+
+def test_word_bits_equal_dicts(spark, monkeypatch):
     rng = random.Random(6)
-    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))) for _ in range(60)]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    texts = [" ".join(rng.choice(["ab", "Ab", "c1", "c2", "é", "漢", "d,d", "x"]) for _ in range(rng.randrange(1, 60))) for _ in range(100)]
+    texts += [texts[0]] * 3 + [None, "", "...", "long " * 300_000 + "end"]
+    rows = spark.createDataFrame([(t, 1) for t in texts], "text string, own int")
+    own = [r[0] for r in rows.select(F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
     model = perplexity.fit(rows)
-    got = perplexity.word_model(perplexity.word_grams(rows, model=model)).toPandas()
-    assert len(got) == len({g for t in texts for g in zip(["", "^", *t.split()], ["^", *t.split()], t.split(), strict=False)})
-    # A whole context: every word follows, and what is left over is less than one.
-    full = got.groupby(["u", "v"]).filter(lambda x: len(x) == 8).groupby(["u", "v"])[["p0", "p1"]].sum()
-    assert len(full) and full.gt(0.9).all(axis=None) and full.lt(1 + 1e-6).all(axis=None)
+    spelt = sorted({w for t in texts for w in re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[0-9]", "0", brute.lower(t)))})
+    raw = [w.encode() for w in spelt]
+    end = np.cumsum([len(w) for w in raw])
+    bits = perplexity.spelling(model, np.frombuffer(b"".join(raw), np.uint8), np.r_[0, end[:-1]], end)
+    low = {w: min(round(4 * b), 255) / 4 for w, b in zip(spelt, bits.tolist())}
+    want = plain_word_bits(texts, own, low)
+    for part in (1, 5):
+        got = {r["own"]: r["mean_bits"] for r in wordmodel.word_bits(rows.repartition(part), model, perplexity.spelling).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    # Frequent words in shards and small buckets: the same texts, about the same bits.
+    monkeypatch.setattr(wordmodel, "HOT", 4)
+    many = {r["own"]: r["mean_bits"] for r in wordmodel.word_bits(rows, model, perplexity.spelling, bucket=200).collect()}
+    assert many.keys() == want.keys() and all(abs(many[k] - want[k]) < 2 for k in want)
+    assert wordmodel.word_bits(rows.limit(0), model, perplexity.spelling).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{x:1}</style></head><body>
