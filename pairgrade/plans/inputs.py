@@ -153,21 +153,23 @@ class Inputs:
     def cold_rows(self) -> DataFrame:
         n = self.table("events").agg(F.count_distinct("user_id")).scalar()
         s2 = F.col("row_id") % 3 == 0
-        return self.preds.where("fold = 1").select(
-            "method", "seed", F.when(s2, "S2").otherwise("S1").alias("part"), "row_id",
+        return self.preds.select(
+            "method", "fold", "seed", F.when(s2, "S2").otherwise("S1").alias("part"), "row_id",
             F.col("cluster_id").alias("u1"), F.when(s2, (F.col("row_id") * 7 + 3) % n).alias("u2"),
             "y_true", "y_pred", "r")
 
-    def cold_assigned(self) -> DataFrame:
-        from pairgrade.operators import referral as Rf
+    def cold_sides(self):
+        """Cold-start rows of all runs as a table, and their sides in all repeats."""
+        from pairgrade.operators import halves as H
+        run = ["method", "fold", "seed", "part"]
         rows = materialize(self.cold_rows())
-        run = ["method", "seed", "part"]
         ids = rows.select(*run, F.col("u1").alias("entity_id")).unionByName(
             rows.where("u2 is not null").select(*run, F.col("u2").alias("entity_id"))).distinct()
-        return materialize(Rf.assign_rows(rows, Rf.split_entities_half(ids, run, V.N_REPS), run))
-
-    def halves(self, which: str = "true") -> DataFrame:
-        """Narrow rows of the runs, split in halves ``N_REPS`` times."""
-        from pairgrade.operators import referral as Rf
-        rows = materialize(self.preds.where(which).select("method", "fold", "seed", "row_id", "y_true", "y_pred", "r"))
-        return Rf.split_rows_half(rows, ["method", "fold", "seed"], V.N_REPS)
+        return rows, H.Sides(H.half_cuts(ids, run, V.N_REPS, "entity_id"), V.N_REPS, ["u1", "u2"])
+
+    def pair_sides(self):
+        """Narrow rows of all runs as a table, and their halves in all repeats."""
+        from pairgrade.operators import halves as H
+        run = ["method", "fold", "seed"]
+        rows = materialize(self.preds.select(*run, "row_id", "y_true", "y_pred", "r"))
+        return rows, H.Sides(H.half_cuts(rows, run, V.N_REPS, "row_id"), V.N_REPS, ["row_id"])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pairgrade.operators import bootstrap as B, metrics as M, referral as Rf, runs as R
+from pairgrade.operators import bootstrap as B, halves as H, metrics as M, referral as Rf, runs as R
 from pairgrade.plans import views as V
 from pairgrade.plans.q_metrics import r6, sel6
 from pairgrade.plans.registry import query
@@ -10,7 +10,7 @@ from pairgrade.session import materialize
 
 PAIR = ["fold", "seed"]
 RUN = ["method", "fold", "seed"]
-IND = ["method", "seed", "part"]
+IND = ["method", "fold", "seed", "part"]
 IN_PAIRED = ", ".join(f"'{m}'" for m in B.PAIRED_METRICS)
 IN_SEVERE = ", ".join(f"'{m}'" for m in B.SEVERITY_METRICS)
 
@@ -150,91 +150,104 @@ def _(src):
     return src.preds.select(*RUN, "row_id", Rf.decide(F.col("r"), F.lit(0.3), F.lit(0.6)).alias("decision"))
 
 
-@query("split_pairs_half", "select method, fold, seed, cast(rep as bigint) as rep, row_id, is_cal from v_half")
+@query("split_pairs_half", """
+select method, fold, seed, row_id, string_agg(case when is_cal then 'c' else 'e' end, '' order by rep) as sides from v_half group by 1, 2, 3, 4""")
 def _(src):
-    return src.halves().select(*RUN, "rep", "row_id", "is_cal")
+    """A letter for each repeat: calibration or evaluation."""
+    rows, sides = src.pair_sides()
+    return H.packed(rows.select(*RUN, "row_id"), RUN, sides)
 
 
 @query("mondrian_thresholds", "select method, fold, seed, cast(rep as bigint) as rep, budget, lo, hi from v_thr")
 def _(src):
-    keys = [*RUN, "rep"]
-    return Rf.thresholds_long(Rf.mondrian_thresholds(src.halves().where("is_cal"), keys), keys)
+    rows, sides = src.pair_sides()
+    return H.thresholds(H.evaluate(rows, RUN, sides, unjudged=True), RUN)
 
 
 @query("referral_metrics", f"""
 select method, fold, seed, cast(rep as bigint) as rep, alpha, beta, lam_lo, lam_hi, {', '.join(V.REF_METRICS)}, exceed_miss, exceed_false_alert from v_eval""")
 def _(src):
-    keys = [*RUN, "rep"]
-    h = src.halves()
-    return Rf.referral_metrics(h.where("not is_cal"), Rf.mondrian_thresholds(h.where("is_cal"), keys), keys)
+    rows, sides = src.pair_sides()
+    return H.evaluate(rows, RUN, sides)
 
 
 @query("referral_reference", """
 select method, fold, seed, cast(rep as bigint) as rep, ref_argmax_miss, ref_argmax_false_alert, ref_thr05_miss, ref_thr05_false_alert from v_refpol""")
 def _(src):
-    return Rf.reference_policies(src.halves().where("not is_cal"), [*RUN, "rep"])
+    rows, sides = src.pair_sides()
+    return H.references(rows, RUN, sides)
 
 
-@query("split_entities_half", "select method, seed, part, cast(rep as bigint) as rep, row_id, u1, u2, side from v_cold_assigned")
+@query("split_entities_half", """
+select method, fold, seed, part, row_id, u1, u2, string_agg(case side when 'cal' then 'c' when 'eval' then 'e' else 'm' end, '' order by rep) as sides
+from v_cold_assigned group by 1, 2, 3, 4, 5, 6, 7""")
 def _(src):
-    return src.cold_assigned().select(*IND, "rep", "row_id", "u1", "u2", "side")
+    """A letter for each repeat: calibration, evaluation or mixed."""
+    rows, sides = src.cold_sides()
+    return H.packed(rows.select(*IND, "row_id", "u1", "u2"), IND, sides)
 
 
-@query("crc_thresholds", "select method, seed, part, cast(rep as bigint) as rep, budget, lo, hi from v_crc_thr")
+@query("crc_thresholds", "select method, fold, seed, part, cast(rep as bigint) as rep, budget, lo, hi from v_crc_thr")
 def _(src):
-    keys = [*IND, "rep"]
-    cal = src.cold_assigned().where("side = 'cal' and u2 is null")
-    return Rf.thresholds_long(Rf.crc_thresholds(cal, keys), keys)
+    rows, sides = src.cold_sides()
+    return H.thresholds(H.evaluate(rows.where("u2 is null"), IND, sides, "risk", unjudged=True), IND)
 
 
 @query("entity_averaged_rates", """
-with t as (select l.method, l.seed, l.part, l.rep, l.budget as alpha, h.budget as beta, l.lo, h.hi from v_crc_thr l
-  join v_crc_thr h on l.method = h.method and l.seed = h.seed and l.part = h.part and l.rep = h.rep),
-e as (select method, seed, part, rep, alpha, beta, u1,
+with t as (select l.method, l.fold, l.seed, l.part, l.rep, l.budget as alpha, h.budget as beta, l.lo, h.hi from v_crc_thr l
+  join v_crc_thr h on l.method = h.method and l.fold = h.fold and l.seed = h.seed and l.part = h.part and l.rep = h.rep),
+e as (select method, fold, seed, part, rep, alpha, beta, u1,
   count(*) filter (where y_true >= 3 and r < lo) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as m,
   count(*) filter (where y_true < 3 and r > hi) / nullif(cast(count(*) filter (where y_true < 3) as double), 0) as f,
-  count(*) filter (where r >= lo and r <= hi) / cast(count(*) as double) as v from v_cold_eval1 join t using (method, seed, part, rep) group by 1, 2, 3, 4, 5, 6, 7)
-select method, seed, part, cast(rep as bigint) as rep, alpha, beta, round(avg(m), 6) as entity_miss, round(avg(f), 6) as entity_false_alert, round(avg(v), 6) as entity_review,
-  cast(avg(m) / alpha > 1 + 1e-9 as bigint) as exceed_miss, cast(avg(f) / beta > 1 + 1e-9 as bigint) as exceed_false_alert from e group by 1, 2, 3, 4, 5, 6""")
+  count(*) filter (where r >= lo and r <= hi) / cast(count(*) as double) as v from v_cold_eval1 join t using (method, fold, seed, part, rep) group by 1, 2, 3, 4, 5, 6, 7, 8)
+select method, fold, seed, part, cast(rep as bigint) as rep, alpha, beta, round(avg(m), 6) as entity_miss, round(avg(f), 6) as entity_false_alert, round(avg(v), 6) as entity_review,
+  cast(avg(m) / alpha > 1 + 1e-9 as bigint) as exceed_miss, cast(avg(f) / beta > 1 + 1e-9 as bigint) as exceed_false_alert from e group by 1, 2, 3, 4, 5, 6, 7""")
 def _(src):
-    keys = [*IND, "rep"]
-    rows = src.cold_assigned().where("u2 is null")
-    thr = Rf.crc_thresholds(rows.where("side = 'cal'"), keys)
-    return r6(Rf.entity_rates(rows.where("side = 'eval'"), thr, keys), "entity_miss", "entity_false_alert", "entity_review")
+    rows, sides = src.cold_sides()
+    t = H.evaluate(rows.where("u2 is null"), IND, sides, "risk", "entities").drop("lam_lo", "lam_hi")
+    return r6(t, "entity_miss", "entity_false_alert", "entity_review")
 
 
 @query("transductive_run", f"select method, fold, seed, alpha, beta, {sel6(V.REF_METRICS)} from v_trans")
 def _(src):
-    rows = materialize(src.preds.select(*RUN, "row_id", "y_true", "y_pred", "r"))
-    t = Rf.transductive(rows, RUN, V.N_REPS)
+    rows, sides = src.pair_sides()
+    t = Rf.mean_over_reps(H.evaluate(rows, RUN, sides), RUN)
     return r6(t.select(*RUN, "alpha", "beta", *Rf.METRICS), *Rf.METRICS)
 
 
-def _pooled(src):
-    thr = Rf.mondrian_thresholds(src.halves("fold = 1").where("is_cal"), [*RUN, "rep"]).drop("fold")
-    return thr.withColumn("part", F.explode(F.array(F.lit("S1"), F.lit("S2"))))
+def _pooled(src) -> dict:
+    """Thresholds of the pair-level halves, for the cold-start parts of the same run."""
+    rows, sides = src.pair_sides()
+    limits = H.collected(H.thresholds(H.evaluate(rows, RUN, sides, unjudged=True), RUN), RUN, sides.n_reps)
+    return {(*run, part): limit for run, limit in limits.items() for part in ("S1", "S2")}
 
 
-@query("inductive_run", f"select method, seed, part, calibration, alpha, beta, {sel6(V.REF_METRICS)} from v_ind")
+@query("inductive_run", f"""
+select method, fold, seed, part, calibration, alpha, beta, {sel6(V.REF_METRICS)}, round(exceed_miss, 6) as exceed_miss, round(exceed_false_alert, 6) as exceed_false_alert from v_ind""")
 def _(src):
-    out = Rf.inductive(src.cold_assigned(), IND, materialize(_pooled(src)))
-    return r6(out.select(*IND, "calibration", "alpha", "beta", *Rf.METRICS), *Rf.METRICS)
+    rows, sides = src.cold_sides()
+    one = rows.where("u2 is null")
+    kinds = {"pair-level": H.evaluate(rows, IND, sides), "entity-level": H.evaluate(one, IND, sides, "risk"),
+             "transferred": H.evaluate(rows, IND, sides, given=_pooled(src))}
+    values = [*Rf.METRICS, "exceed_miss", "exceed_false_alert"]
+    out = None
+    for name, found in kinds.items():
+        mean = Rf.mean_over_reps(found, IND).select(*IND, F.lit(name).alias("calibration"), "alpha", "beta", *values)
+        out = mean if out is None else out.unionByName(mean)
+    return r6(out, *values)
 
 
 @query("threshold_transfer", f"""
-select method, seed, part, cast(rep as bigint) as rep, alpha, beta, lam_lo, lam_hi, {', '.join(V.REF_METRICS)} from v_pooled_res""")
+select method, fold, seed, part, cast(rep as bigint) as rep, alpha, beta, lam_lo, lam_hi, {', '.join(V.REF_METRICS)}, exceed_miss, exceed_false_alert from v_pooled_res""")
 def _(src):
-    ev = src.cold_assigned().where("side = 'eval'")
-    out = Rf.referral_metrics(ev, materialize(_pooled(src)), [*IND, "rep"])
-    return out.drop("exceed_miss", "exceed_false_alert")
+    rows, sides = src.cold_sides()
+    return H.evaluate(rows, IND, sides, given=_pooled(src))
 
 
 def _policy(src):
-    h = src.halves()
-    keys = [*RUN, "rep"]
-    thr = Rf.mondrian_thresholds(h.where("is_cal"), keys)
-    res = Rf.mean_over_reps(Rf.referral_metrics(h.where("not is_cal"), thr, keys), RUN)
-    ref = Rf.reference_policies(h.where("not is_cal"), keys).groupBy(*RUN).agg(*[
+    rows, sides = src.pair_sides()
+    res = Rf.mean_over_reps(H.evaluate(rows, RUN, sides), RUN)
+    ref = H.references(rows, RUN, sides).groupBy(*RUN).agg(*[
         F.avg(c).alias(c) for c in ("ref_argmax_miss", "ref_argmax_false_alert", "ref_thr05_miss", "ref_thr05_false_alert")])
     return Rf.policy_long(res.drop("fold", "seed"), ["method"], ref.drop("fold", "seed"))
 
@@ -254,11 +267,12 @@ def _(src):
 
 
 @query("split_size_report", """
-with c as (select method, seed, part, rep, count(*) filter (where side = 'cal') as cal, count(*) filter (where side = 'eval') as ev, count(*) filter (where side = 'mixed') as mixed
-  from v_cold_assigned group by 1, 2, 3, 4)
-select method, seed, part, round(avg(cal), 6) as mean_cal, round(avg(ev), 6) as mean_eval, round(avg(mixed), 6) as mean_mixed from c group by 1, 2, 3""")
+with c as (select method, fold, seed, part, rep, count(*) filter (where side = 'cal') as cal, count(*) filter (where side = 'eval') as ev, count(*) filter (where side = 'mixed') as mixed
+  from v_cold_assigned group by 1, 2, 3, 4, 5)
+select method, fold, seed, part, round(avg(cal), 6) as mean_cal, round(avg(ev), 6) as mean_eval, round(avg(mixed), 6) as mean_mixed from c group by 1, 2, 3, 4""")
 def _(src):
-    return r6(Rf.split_sizes(src.cold_assigned(), IND), "mean_cal", "mean_eval", "mean_mixed")
+    rows, sides = src.cold_sides()
+    return r6(H.sizes(rows, IND, sides), "mean_cal", "mean_eval", "mean_mixed")
 
 
 @query("long_cell_lookup", """

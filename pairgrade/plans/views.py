@@ -294,7 +294,7 @@ join v_cluster_mult x on r.a = x.entity_id join v_cluster_mult z on r.b = z.enti
 VIEWS["v_cluster_boot"] = _cell_metrics(_sides("v_cluster_resampled", "fold, seed, rep", "m"), "fold, seed, rep")
 VIEWS["v_cluster_point"] = _cell_metrics(_sides("v_cluster_rows", "fold, seed", "1"), "fold, seed")
 
-N_REPS = 10
+N_REPS = 100
 BUDGET_VALUES = "(0, 1, 200, 0.005::double), (1, 1, 100, 0.01::double), (2, 1, 50, 0.02::double), (3, 1, 20, 0.05::double)"
 VIEWS["v_budget"] = f"select * from (values {BUDGET_VALUES}) as t(level, num, den, budget)"
 VIEWS["v_half"] = f"""
@@ -304,18 +304,18 @@ select *, rn <= n // 2 as is_cal from (
     count(*) over (partition by method, fold, seed, rep) as n
   from v_preds, unnest(range({N_REPS})) as u(rep))"""
 VIEWS["v_cold_rows"] = f"""
-select method, seed, case when row_id % 3 = 0 then 'S2' else 'S1' end as part, row_id, cluster_id as u1,
-  case when row_id % 3 = 0 then {_PAIR_B} end as u2, y_true, y_pred, r from v_preds where fold = 1"""
+select method, fold, seed, case when row_id % 3 = 0 then 'S2' else 'S1' end as part, row_id, cluster_id as u1,
+  case when row_id % 3 = 0 then {_PAIR_B} end as u2, y_true, y_pred, r from v_preds"""
 VIEWS["v_cold_half"] = f"""
-with u as (select method, seed, part, u1 as entity_id from v_cold_rows union select method, seed, part, u2 from v_cold_rows where u2 is not null),
-k as (select method, seed, part, rep, entity_id, row_number() over (partition by method, seed, part, rep
-    order by md5(concat_ws('|', method, cast(seed as string), part, cast(rep as string), cast(entity_id as string))), entity_id) as rn,
-  count(*) over (partition by method, seed, part, rep) as n from u, unnest(range({N_REPS})) as t(rep))
-select method, seed, part, rep, entity_id, rn <= n // 2 as in_a from k"""
+with u as (select method, fold, seed, part, u1 as entity_id from v_cold_rows union select method, fold, seed, part, u2 from v_cold_rows where u2 is not null),
+k as (select method, fold, seed, part, rep, entity_id, row_number() over (partition by method, fold, seed, part, rep
+    order by md5(concat_ws('|', method, cast(fold as string), cast(seed as string), part, cast(rep as string), cast(entity_id as string))), entity_id) as rn,
+  count(*) over (partition by method, fold, seed, part, rep) as n from u, unnest(range({N_REPS})) as t(rep))
+select method, fold, seed, part, rep, entity_id, rn <= n // 2 as in_a from k"""
 VIEWS["v_cold_assigned"] = """
 select r.*, h.rep, case when h.in_a and coalesce(g.in_a, h.in_a) then 'cal' when not h.in_a and not coalesce(g.in_a, h.in_a) then 'eval' else 'mixed' end as side
-from v_cold_rows r join v_cold_half h on r.method = h.method and r.seed = h.seed and r.part = h.part and r.u1 = h.entity_id
-left join v_cold_half g on r.method = g.method and r.seed = g.seed and r.part = g.part and h.rep = g.rep and r.u2 = g.entity_id
+from v_cold_rows r join v_cold_half h on r.method = h.method and r.fold = h.fold and r.seed = h.seed and r.part = h.part and r.u1 = h.entity_id
+left join v_cold_half g on r.method = g.method and r.fold = g.fold and r.seed = g.seed and r.part = g.part and h.rep = g.rep and r.u2 = g.entity_id
 where r.u2 is null or g.entity_id is not null"""
 
 
@@ -371,7 +371,7 @@ from d group by {keys}, alpha, beta"""
 
 REF_METRICS = ["miss_sev", "false_alert", "review_frac", "passive_frac", "alert_frac", "review_frac_sev",
                "review_frac_tier0", "review_frac_sevonly", "auto_acc", "severe_sens"]
-_TK, _IK = "method, fold, seed, rep", "method, seed, part, rep"
+_TK, _IK = "method, fold, seed, rep", "method, fold, seed, part, rep"
 VIEWS["v_half_cal"] = "select * from v_half where is_cal"
 VIEWS["v_half_eval"] = "select * from v_half where not is_cal"
 VIEWS["v_thr"] = _mondrian("v_half_cal", _TK)
@@ -384,12 +384,12 @@ VIEWS["v_cold_res"] = _evaluate("v_cold_eval", "v_cold_thr", _IK)
 VIEWS["v_crc_thr"] = _crc("v_cold_cal", _IK)
 VIEWS["v_crc_res"] = _evaluate("v_cold_eval1", "v_crc_thr", _IK)
 VIEWS["v_pooled_thr"] = """
-select t.method, t.seed, p.part, t.rep, t.level, t.budget, t.lo, t.hi from v_thr t cross join (select unnest(['S1', 'S2']) as part) p where t.fold = 1"""
+select t.method, t.fold, t.seed, p.part, t.rep, t.level, t.budget, t.lo, t.hi from v_thr t cross join (select unnest(['S1', 'S2']) as part) p"""
 VIEWS["v_pooled_res"] = _evaluate("v_cold_eval", "v_pooled_thr", _IK)
-_MEANS = ", ".join(f"avg({m}) as {m}" for m in REF_METRICS)
+_MEANS = ", ".join(f"avg({m}) as {m}" for m in [*REF_METRICS, "exceed_miss", "exceed_false_alert"])
 VIEWS["v_trans"] = f"select method, fold, seed, alpha, beta, {_MEANS} from v_eval group by 1, 2, 3, 4, 5"
 VIEWS["v_ind"] = " union all ".join(
-    f"select method, seed, part, '{c}' as calibration, alpha, beta, {_MEANS} from {v} group by 1, 2, 3, 4, 5, 6"
+    f"select method, fold, seed, part, '{c}' as calibration, alpha, beta, {_MEANS} from {v} group by 1, 2, 3, 4, 5, 6, 7"
     for c, v in (("pair-level", "v_cold_res"), ("entity-level", "v_crc_res"), ("transferred", "v_pooled_res")))
 VIEWS["v_refpol"] = """
 select method, fold, seed, rep, count(*) filter (where y_true >= 3 and y_pred <= 2) / nullif(cast(count(*) filter (where y_true >= 3) as double), 0) as ref_argmax_miss,
