@@ -49,7 +49,10 @@ _SPACE = " \\t\\x0b\\x0c\\r"
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.trim(line, F.lit(" \t\x0b\x0c\r")), f"[{_SPACE}]+")
+    """Split at single spaces, which takes no pattern; other white space is rare and becomes spaces first."""
+    other = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    spaced = F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _lines(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
@@ -72,8 +75,8 @@ def _order(docs: DataFrame, text: str) -> Column:
 def _sets(lines: DataFrame, order: Column) -> DataFrame:
     """set: sorted distinct numbers of the words; the high bits are the place in `order`, the low ones the rest of the hash."""
     n = 1 << RARITY_BITS
-    hashed = F.transform(_words(F.col("body")), lambda w: F.xxhash64(w))
-    number = lambda t: F.transform(hashed, lambda h: F.shiftleft(F.get(t["place"], h.bitwiseAND(n - 1).cast("int")).cast("long"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1)))
+    place = lambda t, w: F.shiftleft(F.get(t["place"], F.xxhash64(w).bitwiseAND(n - 1).cast("int")).cast("long"), 63 - RARITY_BITS)
+    number = lambda t: F.transform(_words(F.col("body")), lambda w: place(t, w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1)))
     rows = lines.withColumn("_order", order)
     return rows.select("doc", "line", let(F.col("_order"), lambda t: F.sort_array(F.array_distinct(number(t)))).alias("set"))
 
