@@ -20,10 +20,25 @@ def _(src):
     return B.joint_cells(src.aligned(), PAIR)
 
 
-@query("hash_resample", "select cast(rep as bigint) as rep, i, pos from v_draws")
+@query("hash_resample", f"select cast(rep as bigint) as rep, i, pos from v_draws where rep < {V.N_BOOT_LISTED}")
 def _(src):
+    """The single draws of the first replicates; all replicates are in ``hash_multiplicities``."""
     ids = src.table("events").select(F.col("event_id").alias("row_id"))
-    return B.hash_resample(B.hash_positions(ids), V.N_BOOT_HASH, 0)
+    return B.hash_resample(B.hash_positions(ids), V.N_BOOT_LISTED, 0)
+
+
+@query("hash_multiplicities", """
+with m as (select pos, rep, count(*) as m from v_draws group by 1, 2),
+t as (select p.row_id, r.rep, coalesce(m.m, 0) as m from v_pos p cross join (select distinct rep from v_draws) r left join m on m.pos = p.pos and m.rep = r.rep)
+select row_id, cast(sum(m) as bigint) as drawn, cast(count(*) filter (where m > 0) as bigint) as replicates, md5(string_agg(cast(m as string), ',' order by rep)) as times_md5 from t group by 1""")
+def _(src):
+    """How often each row is drawn in each replicate: sums and a digest of the whole vector."""
+    ids = src.table("events").select(F.col("event_id").alias("row_id"))
+    m = B.packed_multiplicities(ids, V.N_BOOT_HASH, 0, "row_id")
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(V.N_BOOT_HASH)), lambda i: F.conv(F.hex(F.substring("times", 2 * i - 1, F.lit(2))), 16, 10).cast("int"))
+    return m.withColumn("t", pairs).select("row_id", F.aggregate("t", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("drawn"),
+                                           F.size(F.filter("t", lambda x: x > 0)).cast("bigint").alias("replicates"),
+                                           F.md5(F.array_join(F.col("t").cast("array<string>"), ",")).alias("times_md5"))
 
 
 def _multinomial(src, names):
@@ -34,9 +49,8 @@ def _multinomial(src, names):
 
 def _hash(src, names):
     al = materialize(src.aligned())
-    mult = B.hash_multiplicities(al.select("row_id"), V.N_BOOT_HASH, 0)
     keys = ["method_a", "method_b", *PAIR]
-    reps = materialize(B.resampled_cells(al, mult, keys))
+    reps = materialize(B.resampled_vectors(al, keys, V.N_BOOT_HASH))
     return B.paired_bootstrap(B.joint_cells(al, keys), reps, keys, names)
 
 
@@ -106,9 +120,7 @@ def _(src):
           .join(ev.select(F.col("event_id").alias("row_id"), F.col("user_id").alias("a")), "row_id")
           .withColumn("b", (F.col("row_id") * 7 + 3) % n))
     al = materialize(al.select(*PAIR, "a", "b", "y_true", "pred_a", "pred_b"))
-    ids = al.select(F.explode(F.array("a", "b")).alias("entity_id"))
-    mult = B.hash_multiplicities(ids, V.N_BOOT_HASH, 0, id_col="entity_id")
-    reps = B.deltas(B.cluster_cells(al, materialize(mult), PAIR), [*PAIR, "rep"], ["macro_f1_sev"])
+    reps = B.deltas(materialize(B.cluster_vectors(al, PAIR, V.N_BOOT_HASH)), [*PAIR, "rep"], ["macro_f1_sev"])
     point = B.deltas(B.joint_cells(al, PAIR), PAIR, ["macro_f1_sev"]).select(*PAIR, "delta")
     out = point.join(B.interval(reps, PAIR), PAIR)
     return r6(out, "delta", "ci_low", "ci_high", "share_not_above_0")

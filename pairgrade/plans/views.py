@@ -229,7 +229,7 @@ VIEWS["v_long"] = " union all ".join(
     f"select {_RUN}, '{m}' as metric, {m} as value from v_hard" for m in METRIC_NAMES)
 
 # Resampling and referral (oracle side).
-N_BOOT_HASH = 20
+N_BOOT_HASH, N_BOOT_LISTED = 1000, 20
 VIEWS["v_aligned"] = """
 select a.fold, a.seed, a.row_id, a.y_true, a.y_pred as pred_a, b.y_pred as pred_b
 from v_preds a join v_preds b on a.method = 'A' and b.method = 'B' and a.fold = b.fold and a.seed = b.seed and a.row_id = b.row_id"""
@@ -268,8 +268,9 @@ def _sides(src: str, keys: str, n: str) -> str:
 
 VIEWS["v_point"] = _cell_metrics(_sides("v_aligned", "fold, seed", "1"), "fold, seed")
 VIEWS["v_resampled"] = """
-select a.fold, a.seed, m.rep, a.y_true, a.pred_a, a.pred_b, m.m from v_aligned a
-join (select p.row_id, d.rep, count(*) as m from v_draws d join v_pos p on d.pos = p.pos group by 1, 2) m on a.row_id = m.row_id"""
+select a.fold, a.seed, m.rep, a.y_true, a.pred_a, a.pred_b, sum(m.m) as m from v_aligned a
+join (select p.row_id, d.rep, count(*) as m from v_draws d join v_pos p on d.pos = p.pos group by 1, 2) m on a.row_id = m.row_id
+group by 1, 2, 3, 4, 5, 6"""
 VIEWS["v_boot"] = _cell_metrics(_sides("v_resampled", "fold, seed, rep", "m"), "fold, seed, rep")
 VIEWS["v_ci"] = """
 select fold, seed, metric, count(delta) as n_finite, quantile_cont(delta, 0.025) as ci_low, quantile_cont(delta, 0.975) as ci_high,
@@ -289,8 +290,8 @@ VIEWS["v_cluster_mult"] = f"""
 with d as (select rep, cast('0x' || substr(sha256('0|' || rep || '|' || pos), 1, 15) as bigint) % n as pos from v_cluster_pos, unnest(range({N_BOOT_HASH})) as r(rep))
 select d.rep, p.entity_id, count(*) as m from d join v_cluster_pos p on d.pos = p.pos group by 1, 2"""
 VIEWS["v_cluster_resampled"] = """
-select r.fold, r.seed, x.rep, r.y_true, r.pred_a, r.pred_b, x.m * z.m as m from v_cluster_rows r
-join v_cluster_mult x on r.a = x.entity_id join v_cluster_mult z on r.b = z.entity_id and x.rep = z.rep"""
+select r.fold, r.seed, x.rep, r.y_true, r.pred_a, r.pred_b, sum(x.m * z.m) as m from v_cluster_rows r
+join v_cluster_mult x on r.a = x.entity_id join v_cluster_mult z on r.b = z.entity_id and x.rep = z.rep group by 1, 2, 3, 4, 5, 6"""
 VIEWS["v_cluster_boot"] = _cell_metrics(_sides("v_cluster_resampled", "fold, seed, rep", "m"), "fold, seed, rep")
 VIEWS["v_cluster_point"] = _cell_metrics(_sides("v_cluster_rows", "fold, seed", "1"), "fold, seed")
 

@@ -318,3 +318,24 @@ def test_any_white_space_around_a_phrase(spark):
     rows = spark.createDataFrame([("The risk or severity of  Alpha  can be increased",), ("  ",)], "description string")
     tiers = spark.createDataFrame([("alpha", 4)], "phrase string, tier long")
     assert [r.tier for r in L.tier_cascade(rows, tiers).collect()] == [4, 1]
+
+
+def test_packed_draws_equal_exploded_draws(spark, monkeypatch):
+    monkeypatch.setattr(B, "POSITIONS", 16)
+    monkeypatch.setattr(B, "DRAW_BLOCK", 30)
+    monkeypatch.setattr(B, "REP_BLOCK", 3)
+    g = np.random.default_rng(5)
+    rows = [(k, int(i), int(g.integers(0, 12)), int(g.integers(0, 12)), int(g.integers(0, 3)), int(g.integers(0, 3)), int(g.integers(0, 3))) for k in ("x", "y") for i in range(100)]
+    rows += rows[:5]  # a repeated row counts twice
+    al = spark.createDataFrame(rows, "k string, row_id bigint, a bigint, b bigint, y_true bigint, pred_a bigint, pred_b bigint")
+    key = lambda df: sorted(map(tuple, df.select("k", "rep", "y_true", "pred_a", "pred_b", "n").collect()))
+    want = B.resampled_cells(al, B.hash_multiplicities(al.select("row_id"), 7, 0), ["k"])
+    assert key(B.resampled_vectors(al, ["k"], 7)) == key(want)
+    ids = al.select(F.explode(F.array("a", "b")).alias("entity_id"))
+    many = B.hash_multiplicities(ids, 7, 0, id_col="entity_id")
+    assert key(B.cluster_vectors(al, ["k"], 7)) == key(B.cluster_cells(al, many, ["k"]))
+    packed = {r["entity_id"]: np.frombuffer(r["times"], ">u2").tolist() for r in B.packed_multiplicities(ids, 7).collect()}
+    for r in many.collect():
+        assert packed[r["entity_id"]][r["rep"]] == r["m"]
+    assert sum(map(sum, packed.values())) == 7 * len(packed)
+    assert B.resampled_vectors(al.limit(0), ["k"], 7).count() == 0 and B.cluster_vectors(al.limit(0), ["k"], 7).count() == 0
