@@ -49,12 +49,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-copies, the one of the smallest doc_id."""
     gone = nearcopies.near_copies(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
-    return _whole(docs, F.col("doc_id").cast("long")).join(gone, "id", "left_anti").select("row.*").dropDuplicates(["doc_id", "text"])
+    left = _whole(docs, F.col("doc_id").cast("long")).join(gone, "id", "left_anti")
+    # Rows of equal doc_id and text are one document; where other columns differ, a hash of the row says which one stays.
+    one = left.groupBy(_identity("row.doc_id", "row.text").alias("id")).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
-    own = F.xxhash64("doc_id", "text")
+    own = F.concat_ws("-", F.xxhash64(F.lit(1), "doc_id", "text"), F.xxhash64(F.lit(2), "doc_id", "text"))
     taken = mixing.copies(docs.select(own.alias("id"), "source", mixing.word_count(F.col("text")).alias("size")), key="id")
     taken = taken.groupBy("id").agg(F.max("copies").alias("copies")).where(F.col("copies") > 0)
     rows = _whole(docs, own).join(taken, "id")

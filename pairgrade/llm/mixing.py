@@ -8,15 +8,18 @@ Mass is counted in words (fraction times size), so a source's expected words
 stay at its target through every exchange.  The exchanges form a reduction
 tree: `FAN` documents of a source meet in one task and leave at most one
 undecided, `FAN` of those meet in the next level, up to one for each source,
-which is rounded to the nearer side.  No group is larger than about `FAN`
-rows, whatever the size of a source.
+which is rounded to the nearer side.  Rows of equal key, source and size are one
+row with a count first: the whole part of count times fraction is certain, one
+fraction goes on, and the rows share the copies as evenly as they can.  So no
+group is larger than about `FAN` rows, whatever the size of a source and
+however often a key occurs.
 
 Random numbers come from the seed, the source's rank, the level and the group,
 and documents meet in a fixed order, so reruns agree.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times; a null
 source is a source of its own, last in order; without rows or words all
-targets are 0; repeated rows are rounded as documents of their own.
+targets are 0; repeated rows get one result each.
 """
 
 from __future__ import annotations
@@ -89,11 +92,12 @@ def copies(rows: DataFrame, key: str = "doc_id", source: str = "source", size: s
     rows = rows.select(F.col(key).alias("_key"), F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"))
     targets = materialize(source_targets(rows, "_src", "_size"))
     groups = F.ceil(F.col("n") / fan)
-    level = (rows.join(targets, F.col("_src").eqNullSafe(F.col("_source")))
-             .withColumn("share", F.when(F.col("_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    merged = rows.groupBy("_key", "_src", "_size").agg(F.count(F.lit(1)).alias("rows"))
+    level = (merged.join(targets, F.col("_src").eqNullSafe(F.col("_source")))
+             .withColumn("share", F.when(F.col("_size") > 0, F.col("rows") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
              .withColumn("whole", F.floor("share")).withColumn("part", F.col("share") - F.col("whole"))
-             .withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "_key"), groups))
-             .select("_key", "_src", "_size", "source_size", "target", "whole", "part", "rank", "group"))
+             .withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "_key", "_size"), groups))
+             .select("_key", "_src", "_size", "rows", "source_size", "target", "whole", "part", "rank", "group"))
     most = targets.agg(F.max("n")).first()[0] or 0
     schema = level.schema
     done, left, depth = [], max(1, -(-most // fan)), 0
@@ -120,4 +124,7 @@ def copies(rows: DataFrame, key: str = "doc_id", source: str = "source", size: s
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select(F.col("_key").alias(key), F.col("_src").alias(source), F.col("_size").alias(size), "source_size", "target", (F.col("whole") + F.col("part")).cast("long").alias("copies"))
+    total = (F.col("whole") + F.col("part")).cast("long")
+    each = out.withColumn("total", total).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    own = F.floor(F.col("total") / F.col("rows")) + (F.col("i") <= F.col("total") % F.col("rows")).cast("long")
+    return each.select(F.col("_key").alias(key), F.col("_src").alias(source), F.col("_size").alias(size), "source_size", "target", own.cast("long").alias("copies"))

@@ -17,8 +17,9 @@ Edge cases: vectors that are null, empty, or hold null or non-finite
 components take no part; a query meets candidates of its own length only; all
 candidates are returned where there are fewer than k; equal scores go to the
 smaller id; rows with a query's own id are never its candidates; repeated rows
-are candidates each.  Components must fit 2**31 after scaling; sums beyond
-2**53 are carried in 64-bit integers.
+are candidates each.  Sums beyond 2**53 are carried in 64-bit integers; where a
+vector's square sum reaches 2**62, so that a score could pass 64 bits, the
+search stops with an error instead of a wrong score.
 """
 
 from __future__ import annotations
@@ -79,7 +80,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vecto
     vector: an integer array column (see `scaled`); null takes no part."""
     rows = materialize(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
                        .where(F.col("v").isNotNull() & F.col("id").isNotNull()).withColumn("n", F.size("v")))
-    counts = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    counts = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(square)).first()
+    if (counts[2] or 0) >= 2.0 ** 62:
+        raise ValueError(f"scores do not fit 64 bits: a vector has the square sum {counts[2]:.3g}, the bound is 2**62")
     n_groups, q_groups = max(1, -(-counts[0] // CANDIDATES)), max(1, -(-counts[1] // QUERIES))
     salt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id", F.hash("v")), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

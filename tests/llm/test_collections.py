@@ -49,6 +49,29 @@ def test_search_odd_rows(spark):
     assert topk.search(vectors.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_stops_before_scores_overflow(spark):
+    for big in (3e9, 1e17):
+        df = spark.createDataFrame([(100, [big, 1.0]), (200, [big, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="64 bits"):
+            topk.search(df.withColumn("vector", topk.scaled(F.col("embedding"))), F.col("vec_id") % 100 == 0, 10)
+    df = spark.createDataFrame([(100, [1e6, 1.0]), (200, [1e6, 2.0])], "vec_id long, embedding array<double>")
+    got = topk.search(df.withColumn("vector", topk.scaled(F.col("embedding"))), F.col("vec_id") % 100 == 0, 10).collect()
+    assert {r["score"] for r in got} == {(1024 * 10**6) ** 2 + 2 * 1024**2}
+
+
+def test_mixing_of_equal_keys(spark):
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), (F.col("id") % 3).alias("size"))
+    other = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("b").alias("source"), F.lit(5).cast("long").alias("size"))
+    out = mixing.copies(rows.union(other)).toPandas()
+    assert len(out) == 50_300
+    for source, part in out.groupby("source"):
+        assert abs((part["copies"] * part["size"]).sum() - part["target"].iloc[0]) <= 5
+        assert (part.groupby("size")["copies"].agg(lambda c: c.max() - c.min()) <= 1).all() and part["copies"].max() <= 2
+    again = mixing.copies(rows.union(other).repartition(3)).toPandas()
+    key = ["source", "size", "copies"]
+    assert out[key].value_counts().to_dict() == again[key].value_counts().to_dict()
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(100, 160)] + [(200, x) for x in range(201, 240)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
