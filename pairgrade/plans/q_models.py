@@ -269,8 +269,52 @@ def _(src):
     return _tier_report(Md.predict_tiers(model, sealed, ["a", "b"]), min(losses) < 1.6094379124341003)
 
 
+_ASKED = "select distinct concat('E', lpad(cast(l_orderkey % 900 as string), 7, '0')) as drug_a, concat('E', lpad(cast((l_partkey * 7 + l_suppkey) % 900 as string), 7, '0')) as drug_b from {}"
+
+
+@query("saved_model_inference", f"""
+with q as ({_ASKED.format('lineitem')}), known as (select entity_id from v_fp where entity_id in (select entity_id from v_sets))
+select drug_a, drug_b, least(drug_a, drug_b) as drug_a_canon, greatest(drug_a, drug_b) as drug_b_canon, x.entity_id is not null and z.entity_id is not null and drug_a <> drug_b as in_index,
+  case when x.entity_id is not null and z.entity_id is not null and drug_a <> drug_b then 1.0::double end as forest_sum, case when x.entity_id is not null and z.entity_id is not null and drug_a <> drug_b then 1.0::double end as mlp_sum,
+  case when x.entity_id is not null and z.entity_id is not null and drug_a <> drug_b then true end as forest_pred_is_largest, case when x.entity_id is not null and z.entity_id is not null and drug_a <> drug_b then true end as mlp_pred_is_largest
+from q left join known x on drug_a = x.entity_id left join known z on drug_b = z.entity_id""")
+def _(src):
+    """Models fitted here, saved, loaded and applied to query pairs; what every grade must hold is compared."""
+    d, path = _tier_rows(src).where("fold <> -1"), fresh(src)
+    trees = Md.boosted_classifier(d, valid="valid", rounds=3)
+    mlp, _ = Md.mlp_weighted(d, valid="valid", hidden=(64,), epochs=1, batch=8192)
+    Md.save_models(src.spark, {"forest": trees, "mlp": mlp}, path)
+    asked = src.spark.sql(_ASKED.format("{lineitem}"), lineitem=src.table("lineitem"))
+    got = Md.score_models(asked, Md.load_models(src.spark, path), materialize(src.sets), materialize(src.fps))
+    p = lambda n: [F.col(f"{n}_p{c}") for c in range(5)]
+    return got.select("drug_a", "drug_b", "drug_a_canon", "drug_b_canon", "in_index", *[F.round(sum(p(n)[1:], p(n)[0]), 6).alias(f"{n}_sum") for n in ("forest", "mlp")],
+                      *[(F.get(F.array(*p(n)), F.col(f"{n}_pred").cast("int")) == F.greatest(*p(n))).alias(f"{n}_pred_is_largest") for n in ("forest", "mlp")])
+
+
 @query("cv_train_eval")
 def _(src):
     d = _training(src, False)
     runs = Md.cv_train_eval(d, {"forest": lambda t, s: Md.tree_classifier(t, trees=5, depth=5, seed=s)}, [42], fresh(src), n_folds=5)
     return M.metrics_table(runs, ["method", "fold", "seed", "test_set"])
+
+
+@query("cv_run_status", """
+with t as (select count(*) as n from v_tier_sealed where fold = -1)
+select method, fold, cast(42 as bigint) as seed, case when method = 'broken' then 'failed' else 'ok' end as state, case when method = 'broken' then 0 else n end as n_rows,
+  case when method = 'broken' then 'ValueError: no such model' end as error, method <> 'broken' as has_metrics
+from (select unnest(['broken', 'forest', 'mlp']) as method) cross join (select cast(unnest(range(1, 6)) as bigint) as fold) cross join t""")
+def _(src):
+    """Every method, fold and seed ends in one row; a restart repeats only what failed."""
+    d = _tier_rows(src).drop("valid")
+
+    def broken(train, valid, seed):
+        raise ValueError("no such model")
+
+    methods = {"forest": lambda t, v, s: Md.boosted_classifier(t, valid=v, rounds=1, depth=3, seed=s),
+               "mlp": lambda t, v, s: Md.mlp_weighted(t, valid=v, hidden=(32,), epochs=1, batch=1 << 14, seed=s)[0]}
+    path = fresh(src)
+    Md.train_runs(d, methods, [42], path)
+    # The restarted job knows a method more; the finished runs are not trained again.
+    again = {n: broken for n in (*methods, "broken")}
+    out = Md.train_runs(d, again, [42], path)
+    return out.select("method", "fold", "seed", "state", "n_rows", "error", F.col("accuracy").isNotNull().alias("has_metrics"))

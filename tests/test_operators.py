@@ -339,3 +339,55 @@ def test_packed_draws_equal_exploded_draws(spark, monkeypatch):
         assert packed[r["entity_id"]][r["rep"]] == r["m"]
     assert sum(map(sum, packed.values())) == 7 * len(packed)
     assert B.resampled_vectors(al.limit(0), ["k"], 7).count() == 0 and B.cluster_vectors(al.limit(0), ["k"], 7).count() == 0
+
+
+def test_saved_models_grade_queries(spark, tmp_path):
+    from pairgrade.operators import boosting, perceptron
+
+    g = np.random.default_rng(3)
+    ids = [f"E{i}" for i in range(12)]
+    fp = spark.createDataFrame([(e, sorted(int(b) for b in g.choice(40, 5, replace=False))) for e in ids], "entity_id string, bits array<bigint>")
+    attrs = spark.createDataFrame([(e, "enzyme", f"n{i % 3}", "substrate") for i, e in enumerate(ids)], "entity_id string, kind string, name string, action string")
+    sets = X.entity_sets(attrs)
+    pairs = spark.createDataFrame([(ids[i], ids[j], (i + j) % 5) for i in range(12) for j in range(i + 1, 12)], "a string, b string, y bigint")
+    rows = Md.tier_rows(pairs, sets, fp)
+    models = {"forest": Md.boosted_classifier(rows, rounds=2, depth=2), "mlp": Md.mlp_weighted(rows, hidden=(4,), epochs=1)[0]}
+    path = str(tmp_path / "models")
+    Md.save_models(spark, models, path)
+    loaded = Md.load_models(spark, path)
+    assert list(loaded) == ["forest", "mlp"] and isinstance(loaded["forest"], boosting.BoostedTrees) and isinstance(loaded["mlp"], perceptron.Perceptron)
+    with pytest.raises(KeyError):
+        Md.load_models(spark, path, ["other"])
+    q = spark.createDataFrame([("E3", "E1"), ("E1", "E3"), ("E1", "E99"), (None, "E1"), ("E1", "E1"), ("E3", "E1")], "drug_a string, drug_b string").withColumn("bits", F.lit("clash"))
+    got = Md.score_models(q, loaded, sets, fp).collect()
+    assert len(got) == 6 and sum(r["in_index"] for r in got) == 3
+    plain = {r["a"]: r["p"] for r in models["forest"].predict(rows.where("a = 'E1' and b = 'E3'"), ["a"]).collect()}["E1"]
+    for r in got:
+        if r["in_index"]:
+            assert (r["drug_a_canon"], r["drug_b_canon"]) == ("E1", "E3") and [r[f"forest_p{c}"] for c in range(5)] == pytest.approx(plain)
+            assert r["forest_pred"] == int(np.argmax(plain)) and sum(r[f"mlp_p{c}"] for c in range(5)) == pytest.approx(1)
+        else:
+            assert r["forest_pred"] is None and r["mlp_p0"] is None
+
+
+def test_runs_restart_and_every_run_has_a_status(spark, tmp_path):
+    from tests.test_boosting import make
+
+    bits, dense, y, _ = make(150, 4)
+    rows = [(f"A{i}", "B", int(c), -1 if i % 5 == 0 else i % 2 + 1, b, [0.0] * 24) for i, (b, c) in enumerate(zip(bits, y))]
+    d = spark.createDataFrame(rows, "a string, b string, y bigint, fold bigint, bits array<int>, dense array<double>").cache()
+    calls, fail = [], {"on": True}
+
+    def fit(train, valid, seed):
+        calls.append((train.where(valid).count(), seed))
+        if fail["on"] and seed == 2:
+            raise RuntimeError("lost")
+        return Md.boosted_classifier(train, valid=valid, rounds=1, depth=2, seed=seed)
+
+    path = str(tmp_path / "store")
+    first = {(r["fold"], r["seed"]): r for r in Md.train_runs(d, {"forest": fit}, [1, 2], path, n_folds=2).collect()}
+    assert len(calls) == 4 and {k: r["state"] for k, r in first.items()} == {(1, 1): "ok", (2, 1): "ok", (1, 2): "failed", (2, 2): "failed"}
+    assert first[1, 2]["error"] == "RuntimeError: lost" and first[1, 2]["accuracy"] is None and first[1, 1]["n_rows"] == 30 and first[1, 1]["accuracy"] is not None
+    fail["on"] = False
+    second = Md.train_runs(d, {"forest": fit}, [1, 2], path, n_folds=2).collect()
+    assert len(calls) == 6 and all(r["state"] == "ok" and r["n_rows"] == 30 for r in second)
