@@ -1,12 +1,16 @@
 """Registered queries: splits, samples and data-quality gates."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairgrade.functions.hashing import keyed_md5
 from pairgrade.operators import features as X, pairs as P, quality as Q, scoring as C, splits as S
 from pairgrade.plans import views as V
+from pairgrade.plans.q_ingest import _oracle_bio
 from pairgrade.plans.registry import query
-from pairgrade.session import materialize
+from pairgrade.session import materialize, work_dir
+from pairgrade.sources import tables as Tb
 
 IDS = ["a", "b"]
 
@@ -250,3 +254,45 @@ def _(src):
     return s.select("vec_id", F.round(C.vec_sum(F.col("x")), 6).alias("first_sum"),
                     F.round(C.vec_sum(F.col("z")), 6).alias("second_sum"),
                     F.get("w", 0).cast("double").alias("third_head"), F.size("w").cast("bigint").alias("third_len"))
+
+
+_NAMES = [f"f{i:02d}" for i in range(X.N_BIO)]
+_VECTORS = f"""
+with f as ({_oracle_bio()}),
+v as (select a, b, [{', '.join(f'cast({n} as float)' for n in _NAMES)}] as e, substr(md5(concat_ws('|', 'fault', a, b)), 1, 2) as h from f)"""
+
+
+def _stored(src):
+    """Bio features of all pairs as a stored table, read back; and the pairs' keys with a hash."""
+    path = f"{work_dir(src.spark)}/pairgrade/{uuid.uuid4().hex}"
+    Tb.write_features(X.bio_pair_features(src.pairs.select("a", "b"), src.sets), path, IDS, _NAMES)
+    return src.spark.read.parquet(path)
+
+
+@query("feature_audit", _VECTORS + """
+select a, b, 'value' as fault, 5 as place, cast(e[6] + cast(0.5 as float) as double) as stored, cast(e[6] as double) as expected from v where h = '00'
+union all select a, b, 'width', null, 23.0::double, 24.0::double from v where h = '01'
+union all select a, b, 'missing', null, null, null from v where h = '02'
+union all select a, b, 'duplicate', null, 2.0::double, 1.0::double from v where h = '03'
+union all select a, b, 'order', null, null, null from v where h = '04' and list_reverse(e) <> e
+union all select b, a, 'extra', null, null, null from v where h = '05'""")
+def _(src):
+    """Six kinds of faults put into the stored features of one pair in 256 each; all are found and no other."""
+    h = F.substring(keyed_md5("fault", F.col("a"), F.col("b")), 1, 2)
+    rows = _stored(src).withColumn("h", h)
+    bad = F.when(h == "00", F.transform("features", lambda v, i: F.when(i == 5, v + F.lit(0.5).cast("float")).otherwise(v))).when(
+        h == "01", F.slice("features", 1, X.N_BIO - 1)).when(h == "04", F.reverse("features")).otherwise(F.col("features"))
+    stored = rows.where(h != "02").select("a", "b", bad.alias("features"))
+    stored = stored.unionByName(rows.where(h == "03").select("a", "b", "features"))
+    stored = stored.unionByName(rows.where(h == "05").select(F.col("b").alias("a"), F.col("a").alias("b"), "features"))
+    anew = X.bio_pair_features(src.pairs.select("a", "b"), src.sets).select("a", "b", F.array(*_NAMES).alias("features"))
+    return Q.audit_features(stored, anew, IDS)
+
+
+@query("feature_column_audit", _VECTORS + """,
+x as (select unnest(range(1, 25)) as i, unnest(e) as x from v), y as (select i, cast(round(cast(x as double) * 10000) as bigint) as v from x)
+select 'f' || lpad(cast(i - 1 as string), 2, '0') as feature, count(*) as n, count(*) filter (where v <> 0) as n_nonzero, cast(sum(v) as bigint) as total,
+  cast(sum(cast(v as hugeint) * v) as string) as squares, true as all_fit from y group by i""")
+def _(src):
+    """The stored values themselves, by column."""
+    return Q.column_audit(_stored(src), _NAMES)

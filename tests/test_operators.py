@@ -391,3 +391,23 @@ def test_runs_restart_and_every_run_has_a_status(spark, tmp_path):
     fail["on"] = False
     second = Md.train_runs(d, {"forest": fit}, [1, 2], path, n_folds=2).collect()
     assert len(calls) == 6 and all(r["state"] == "ok" and r["n_rows"] == 30 for r in second)
+
+
+def test_audit_finds_each_fault_and_no_other(spark):
+    from pairgrade.operators import quality as Q
+
+    rows = [(f"a{i}", "b", [float(i), 0.5, None if i == 9 else 2.0]) for i in range(12)]
+    expected = spark.createDataFrame(rows, "a string, b string, features array<float>")
+    assert Q.audit_features(expected.repartition(3), expected, ["a", "b"]).count() == 0
+    bad = {r[0]: list(r[2]) for r in rows}
+    bad["a1"][1] = 0.75
+    bad["a2"] = bad["a2"][:2]
+    bad["a3"] = [2.0, 3.0, 0.5]
+    bad["a4"][0] = 4.0000001
+    bad["a9"][2] = 0.0
+    bad["a8"][0], bad["a8"][1] = float("nan"), -0.5
+    del bad["a5"]
+    stored = [(k, "b", v) for k, v in bad.items()] + [("a6", "b", bad["a6"]), ("zz", "b", [1.0, 2.0, 3.0])]
+    got = {(r["a"], r["fault"], r["place"]) for r in Q.audit_features(spark.createDataFrame(stored, "a string, b string, features array<float>"), expected, ["a", "b"]).collect()}
+    assert got == {("a1", "value", 1), ("a2", "width", None), ("a3", "order", None), ("a5", "missing", None), ("a6", "duplicate", None), ("a8", "value", 0), ("a8", "value", 1), ("a9", "value", 2), ("zz", "extra", None)}
+    assert Q.audit_features(expected.limit(0), expected.limit(0), ["a", "b"]).count() == 0
