@@ -75,6 +75,39 @@ def _(src):
     return r6(SR.state_runs(docs), "accuracy", "macro_f1")
 
 
+_STATE = f"""
+with f as (select {KEYS}, {', '.join(f"max(case when c = {c} then f1 end) as f1_c{c}" for c in range(5))} from v_class_f1 group by 1, 2, 3),
+s as (select method || '_f' || fold || '_s' || seed as run_key, {KEYS}, case when fold = 2 then 'drug' else 'pair' end as split, case when fold = 2 then 'S1' else 'test' end as test_set,
+  n_eval as n, {sel6([*METRIC_NAMES, 'macro_auroc', 'macro_ap', *[f'f1_c{c}' for c in range(5)]])}, round(accuracy - macro_f1, 6) as gap
+  from v_hard join f using ({KEYS}) join v_ranking using ({KEYS}) where not (method = 'B' and seed = 123))"""
+_STATE_COLUMNS = f"run_key, {KEYS}, split, test_set, n"
+
+
+def _states(src):
+    """State documents with all metrics of every run, and one that no reader knows."""
+    t = M.metrics_table(src.runs_table, RUN)
+    values = [*METRIC_NAMES, "macro_auroc", "macro_ap"]
+    drug = F.col("fold") == 2
+    rec = F.struct("method", "fold", "seed", F.when(drug, "drug").alias("split_mode"), F.when(drug, "S1").alias("test_set"),
+                   F.when((F.col("method") == "B") & (F.col("seed") == 123), "out of memory").alias("error"), "n_eval",
+                   *[F.round(c, 6).alias(c) for c in values], F.array(*[F.round(f"f1_c{c}", 6) for c in range(5)]).alias("per_class_f1"),
+                   F.round(F.col("accuracy") - F.col("macro_f1"), 6).alias("gap"))
+    return t.groupBy("method").agg(F.to_json(F.struct(
+        F.map_from_entries(F.collect_list(F.struct(R.run_key(F.col("method"), F.col("fold"), F.col("seed")), rec))).alias("runs"),
+        F.lit("full:pair").alias("mode"))).alias("state"))
+
+
+@query("state_metrics_table", f"{_STATE} select {_STATE_COLUMNS}, {', '.join([*METRIC_NAMES, 'macro_auroc', 'macro_ap', *[f'f1_c{c}' for c in range(5)]])} from s")
+def _(src):
+    return SR.state_table(_states(src))
+
+
+@query("state_metrics_long", f"{_STATE} " + " union all ".join(
+    f"select {_STATE_COLUMNS}, '{m}' as metric, {m} as value, {'false' if m == 'gap' else 'true'} as is_known from s" for m in [*METRIC_NAMES, "macro_auroc", "macro_ap", "gap"]))
+def _(src):
+    return SR.state_long(_states(src))
+
+
 @query("runs_union_unique", f"""
 with k as (select {KEYS}, case when lower(test_set) in ('test', 'holdout') then 'test' else test_set end as ts, test_set, n, split from v_runs),
 u as (select *, row_number() over (partition by {KEYS}, ts order by test_set desc, split) as i from k)

@@ -411,3 +411,20 @@ def test_audit_finds_each_fault_and_no_other(spark):
     got = {(r["a"], r["fault"], r["place"]) for r in Q.audit_features(spark.createDataFrame(stored, "a string, b string, features array<float>"), expected, ["a", "b"]).collect()}
     assert got == {("a1", "value", 1), ("a2", "width", None), ("a3", "order", None), ("a5", "missing", None), ("a6", "duplicate", None), ("a8", "value", 0), ("a8", "value", 1), ("a9", "value", 2), ("zz", "extra", None)}
     assert Q.audit_features(expected.limit(0), expected.limit(0), ["a", "b"]).count() == 0
+
+
+def test_state_documents_of_any_layout(spark):
+    from pairgrade.sources import runs as SR
+
+    docs = ['{"mode": "full:drug", "runs": {"A_f1_s2": {"method": "A", "fold": 1, "seed": 2, "accuracy": 0.5, "per_class_f1": [0.1, 0.2], "n_test": 7, "new": 3, "note": "x", "nested": {"a": 1}},'
+            ' "B": {"method": "B", "macro_f1": null, "test_set": "", "split_mode": "odd", "n_eval": 0}, "C": {"method": "C", "accuracy": 1, "error": "lost"},'
+            ' "D": {"accuracy": 1}, "E": "text", "F": null, "G": {"method": "G", "qwk": 1}}}', '{"runs": {}}', "not json", None,
+            '{"runs": {"H": {"method": "H", "macro_f1": 1, "split_mode": "pair", "fold": "3", "new": "0.25"}}}']
+    df = spark.createDataFrame([(d,) for d in docs], "state string")
+    got = {r["run_key"]: r for r in SR.state_table(df).collect()}
+    assert got.keys() == {"A_f1_s2", "B", "H"}
+    a, b, h = (got[k] for k in ("A_f1_s2", "B", "H"))
+    assert (a["split"], a["test_set"], a["n"], a["accuracy"], a["f1_c1"], a["f1_c2"], a["qwk"]) == ("drug", "test", 7, 0.5, 0.2, None, None)
+    assert (b["split"], b["fold"], b["n"], b["macro_f1"], b["test_set"]) == ("drug", 0, 0, None, "test") and (h["split"], h["fold"]) == ("pair", 3)
+    long = {(r["run_key"], r["metric"]): (r["value"], r["is_known"]) for r in SR.state_long(df).collect()}
+    assert long == {("A_f1_s2", "accuracy"): (0.5, True), ("A_f1_s2", "new"): (3.0, False), ("H", "macro_f1"): (1.0, True), ("H", "new"): (0.25, False)}
