@@ -128,6 +128,98 @@ def _(src):
     return out
 
 
+# Every column of every table, the times to the microsecond and the numbers to their last bit.
+_COLUMNS = {
+    "region": (["r_regionkey"], "r_regionkey r_name"), "nation": (["n_nationkey"], "n_nationkey n_name n_regionkey"),
+    "customer": (["c_custkey"], "c_custkey c_name c_nationkey c_acctbal:f c_mktsegment"), "supplier": (["s_suppkey"], "s_suppkey s_name s_nationkey s_acctbal:f"),
+    "part": (["p_partkey"], "p_partkey p_name p_brand p_type p_size p_retailprice:f"),
+    "orders": (["o_orderkey"], "o_orderkey o_custkey o_orderstatus o_totalprice:f o_orderdate:t o_orderpriority"),
+    "lineitem": (["l_orderkey", "l_linenumber"], "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag l_linestatus l_shipdate:t"),
+    "events": (["event_id"], "event_id ts:t user_id event_type value:f props"), "documents": (["doc_id"], "doc_id text lang source n_chars"),
+    "embeddings": (["vec_id"], "vec_id embedding:a label"), "pages": (["page_id"], "page_id url html"), "benchmark": (["item_id"], "item_id text"),
+    "labels": (["doc_id"], "doc_id quality toxic"), "conversations": (["conv_id", "turn"], "conv_id turn role text"),
+}
+
+
+def _sql_float(x):
+    out, rest = [f"floor({x})"], f"({x} - floor({x}))"
+    for _ in range(3):
+        out.append(f"floor({rest} * 2147483648)")
+        rest = f"({rest} * 2147483648 - floor({rest} * 2147483648))"
+    return " || '.' || ".join(f"cast(cast({o} as bigint) as string)" for o in out)
+
+
+def _sql_text(column):
+    name, _, kind = column.partition(":")
+    if kind == "f":
+        return _sql_float(f"cast({name} as double)")
+    if kind == "t":
+        return f"cast(epoch_us({name}) as string)"
+    if kind == "a":
+        one = _sql_float("cast(x as double)")
+        return f"len({name}) || '[' || array_to_string(list_transform({name}, lambda x: length({one}) || ':' || {one}), '')"
+    return f"cast({name} as string)"
+
+
+def _sql_field(column):
+    return f"coalesce(length({_sql_text(column)}) || ':' || {_sql_text(column)}, '-')"
+
+
+def _sql_digests(table, source):
+    keys, columns = _COLUMNS[table]
+    key = " || ".join(map(_sql_field, keys))
+    return [f"""select '{table}' as name, substr(md5({' || '.join(f'cast({k} as string)' for k in keys)}), 1, 1) as part, '{c.partition(":")[0]}' as "column", count(*) as n_rows,
+  count(*) filter (where {c.partition(":")[0]} is null) as n_null, cast(sum(cast(cast('0x' || substr(sha256({key} || {_sql_field(c)}), 1, 15) as bigint) as hugeint)) as string) as digest
+  from {source} group by 1, 2""" for c in columns.split()]
+
+
+def _parts(table):
+    return F.substring(F.md5(F.concat(*[F.col(k).cast("string") for k in _COLUMNS[table][0]])), 1, 1)
+
+
+def _digested(src, table, rows=None):
+    rows = src.table(table) if rows is None else rows
+    return Tb.column_digests(rows, table, _COLUMNS[table][0], _parts(table))
+
+
+@query("column_digest_manifest", " union all ".join(x for t in _COLUMNS for x in _sql_digests(t, t)))
+def _(src):
+    out = None
+    for t in _COLUMNS:
+        d = _digested(src, t)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("snapshot_diff", """
+with e as (select *, substr(md5(cast(event_id as string)), 1, 1) as part from events),
+n as (select part, count(*) as old_rows, count(*) filter (where event_id % 991 <> 5) as new_rows, count(*) filter (where event_id % 97 = 0 and event_id % 991 <> 5) as moved,
+  count(*) filter (where event_id % 501 = 1 and event_id % 991 <> 5) as later from e group by 1)
+select 'events' as name, part, c as "column", case when old_rows <> new_rows then 'rows' else 'values' end as change, old_rows, new_rows
+from n cross join (select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) as c)
+where old_rows <> new_rows or (c = 'value' and moved > 0) or (c = 'ts' and later > 0)""")
+def _(src):
+    """Values moved by 2**-40, times by a microsecond, and rows lost; the old snapshot is merged from two halves."""
+    events = src.table("events")
+    moved = F.when(F.col("event_id") % 97 == 0, F.col("value") + 2.0**-40).otherwise(F.col("value"))
+    later = F.when(F.col("event_id") % 501 == 1, F.col("ts") + F.expr("interval 1 microsecond")).otherwise(F.col("ts"))
+    new = events.where("event_id % 991 <> 5").withColumns({"value": moved, "ts": later})
+    old = Tb.merge_digests(*(_digested(src, "events", events.where(c)) for c in ("event_id % 2 = 0", "event_id % 2 <> 0")))
+    return Tb.snapshot_diff(old, _digested(src, "events", new))
+
+
+@query("file_manifest", """
+select substr(md5(cast(doc_id as string)), 1, 2) as folder, cast(sum(length(cast(doc_id as string)) + 1) as bigint) as bytes, sha256(string_agg(cast(doc_id as string) || chr(10), '' order by doc_id)) as sha256
+from documents group by 1""")
+def _(src):
+    """Files of ids, one for each leading pair of hash digits, by their bytes."""
+    path = fresh(src)
+    ids = src.table("documents").select("doc_id", F.col("doc_id").cast("string").alias("value"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2).alias("folder"))
+    ids.repartition("folder").sortWithinPartitions("folder", "doc_id").select("value", "folder").write.partitionBy("folder").text(path)
+    found = Tb.file_manifest(src.spark, f"{path}/folder=*/*.txt")
+    return found.select(F.regexp_extract("folder", "folder=(.*)", 1).alias("folder"), "bytes", "sha256")
+
+
 @query("meta_sink", """
 select (select count(*) from v_pairs) as n_samples, (select count(*) from v_labelled) as n_before, cast(4120 as bigint) as feature_dim, """ + ", ".join(
     f"(select count(*) from v_pairs where y = {c}) as after_{c}" for c in range(1, 5)))
