@@ -106,6 +106,41 @@ def coverage(mapped: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(w))
 
 
+NO_LINK, UNMATCHED = "detail_page_no_link", "unmatched"
+
+
+def page_status(mapped: DataFrame, visited: DataFrame, name: str = "drug") -> DataFrame:
+    """``mapped`` with ``status``: its method, ``detail_page_no_link`` where no entity was found although the name's
+    page was visited, else ``ambiguous`` or ``unmatched``.  ``visited``: names whose pages were read."""
+    seen = visited.select(F.col(name).alias("__seen")).distinct()
+    j = mapped.join(seen, F.col(name) == F.col("__seen"), "left")
+    none = F.col("entity_id").isNull()
+    return j.withColumn("status", F.when(none & F.col("__seen").isNotNull(), NO_LINK).otherwise(F.coalesce("method", F.lit(UNMATCHED)))).drop("__seen")
+
+
+def unmatched_names(status: DataFrame, name: str = "drug") -> DataFrame:
+    """Names without an entity, why, and how many external entries carry them."""
+    return status.where(F.col("entity_id").isNull()).groupBy(name, "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mapping_report(status: DataFrame) -> DataFrame:
+    """One row: names, found and not found, the share found in percent, found by name and by page, what the names left
+    open or ambiguous, pages without a link."""
+    by_name = ~F.coalesce(F.col("method").isin("detail_page", AMBIGUOUS), F.lit(True))
+    count = lambda c, n: F.count_if(c).alias(n)
+    t = status.agg(F.count(F.lit(1)).alias("n_names"), count(F.col("entity_id").isNotNull(), "n_mapped"), count(F.col("entity_id").isNull(), "n_unmapped"),
+                   count(by_name, "n_by_name"), count(F.col("method") == "detail_page", "n_by_page"), count(F.col("status") == NO_LINK, "n_page_without_link"),
+                   count(F.col("status") == AMBIGUOUS, "n_ambiguous"), count(F.col("status") == UNMATCHED, "n_not_visited"))
+    return t.withColumn("coverage_percent", F.round(100 * F.try_divide("n_mapped", "n_names"), 4))
+
+
+def level_distribution(pairs: DataFrame, level: str = "level") -> DataFrame:
+    """Pairs and listed rows of each level, and the share of the pairs; levels that no pair has are not listed."""
+    from pyspark.sql import Window
+    n = pairs.groupBy(level).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("n_rows").alias("n_rows"))
+    return n.withColumn("share", F.round(F.col("n_pairs") / F.sum("n_pairs").over(Window.partitionBy(F.lit(0))), 6))  # a row per level
+
+
 def level_conflict_split(rows: DataFrame, id_a: str, id_b: str, level: str, order: str,
                          names: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """(clean pairs, conflicting pairs) of an external list.

@@ -333,6 +333,41 @@ def _(src):
     return Mp.coverage(_mapped(src))
 
 
+V.VIEWS["v_visited"] = "select distinct drug from v_drug_names where drug like 'page %' or (drug like 'nothing %' and substr(drug, 16, 1) in ('0', '2', '4', '6', '8'))"
+V.VIEWS["v_status"] = """
+select m.*, case when m.entity_id is null and v.drug is not null then 'detail_page_no_link' else coalesce(m.method, 'unmatched') end as status from v_mapped m left join v_visited v on m.drug = v.drug"""
+
+
+def _status(src):
+    n = src.names
+    visited = V.VIEWS["v_visited"].replace("from v_drug_names", f"from ({V.VIEWS['v_drug_names'].replace('from v_names', 'from {n}')})")
+    return Mp.page_status(_mapped(src), src.spark.sql(visited, n=n))
+
+
+@query("mapping_status", "select ext_id, drug, entity_id, method, confidence, status from v_status")
+def _(src):
+    return _status(src)
+
+
+@query("mapping_unmatched", "select drug, status, count(*) as n from v_status where entity_id is null group by 1, 2")
+def _(src):
+    return Mp.unmatched_names(_status(src))
+
+
+@query("mapping_report", """
+select count(*) as n_names, count(entity_id) as n_mapped, count(*) filter (where entity_id is null) as n_unmapped, round(100 * count(entity_id) / cast(count(*) as double), 4) as coverage_percent,
+  count(*) filter (where method not in ('detail_page', 'ambiguous')) as n_by_name, count(*) filter (where method = 'detail_page') as n_by_page,
+  count(*) filter (where status = 'detail_page_no_link') as n_page_without_link, count(*) filter (where status = 'ambiguous') as n_ambiguous, count(*) filter (where status = 'unmatched') as n_not_visited from v_status""")
+def _(src):
+    return Mp.mapping_report(_status(src))
+
+
+@query("level_distribution", """
+select level, count(*) as n_pairs, cast(sum(n_rows) as bigint) as n_rows, round(count(*) / cast(sum(count(*)) over () as double), 6) as share from v_ext_clean group by 1""")
+def _(src):
+    return Mp.level_distribution(_split(src)[0])
+
+
 V.VIEWS["v_known"] = """
 select a, b, case when substr(md5(concat_ws('|', 'neg', a, b)), 1, 1) < '4' then 0 else y end as y from v_pairs"""
 V.VIEWS["v_ext_pairs"] = """

@@ -32,8 +32,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the
-    session, else the warehouse.  Both are folders that all executors see."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    session, else the warehouse; a cluster without either has none, since a
+    folder of one machine is not seen by the others."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and folder.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local folder")
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
