@@ -46,6 +46,21 @@ def class_distribution(df: DataFrame, y: str, by: list[str] | None = None) -> Da
     return n.select(*by, y, "n", (F.col("n") / F.sum("n").over(group)).alias("share"))
 
 
+def stage_distribution(df: DataFrame, left: str, right: str, pos: str, y: str, n_classes: int = 5) -> DataFrame:
+    """(stage, y, n, share): rows of each class before (``raw``) and after (``dedup``) the first row of each unordered
+    pair is kept.  One scan and one shuffle: a pair carries a counter for each class beside its first label."""
+    classes = range(n_classes)
+    per = df.groupBy(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).agg(
+        F.min_by(y, pos).alias("first"), *[F.count_if(F.col(y) == c).alias(f"c{c}") for c in classes])
+    total = per.agg(*[F.sum(f"c{c}").alias(f"raw_{c}") for c in classes], *[F.count_if(F.col("first") == c).alias(f"dedup_{c}") for c in classes])
+    rows = []
+    for stage in ("raw", "dedup"):
+        whole = sum((F.col(f"{stage}_{c}") for c in classes[1:]), F.col(f"{stage}_0"))
+        rows += [F.struct(F.lit(stage).alias("stage"), F.lit(c).cast("bigint").alias("y"), F.col(f"{stage}_{c}").alias("n"),
+                          (F.col(f"{stage}_{c}") / whole).alias("share")) for c in classes]
+    return total.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("n > 0")
+
+
 def dup_group_audit(df: DataFrame, left: str, right: str, y: str) -> DataFrame:
     """Unordered duplicate groups: extra rows and agreement of their labels."""
     g = df.groupBy(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).agg(

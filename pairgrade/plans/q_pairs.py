@@ -43,11 +43,7 @@ with s as (
   union all select 'dedup' as stage, y, count(*) as n from v_pairs group by y)
 select stage, y, n, n / cast(sum(n) over (partition by stage) as double) as share from s""")
 def _(src):
-    lab = src.labelled
-    stages = lab.select(F.lit("raw").alias("stage"), F.col("tier").alias("y")).unionByName(
-        P.keep_first_pair(lab, "id1", "id2", "ingest_pos", {"y": "tier"})
-        .select(F.lit("dedup").alias("stage"), "y"))
-    return P.class_distribution(stages, "y", ["stage"])
+    return P.stage_distribution(src.labelled, "id1", "id2", "ingest_pos", "tier")
 
 
 _AUDIT = """

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from tests.conftest import SF
 
 HOT = ["keep_first_pair", "tier_cascade", "stratified_kfold", "bio_pair_features", "negative_sampling", "metrics_table",
-       "referral_metrics", "kg_edges", "paired_bootstrap_hash", "name_to_id_cascade"]
+       "referral_metrics", "kg_edges", "paired_bootstrap_hash", "name_to_id_cascade", "similarity_join", "feature_audit",
+       "snapshot_diff", "mapping_unmatched", "state_metrics_long"]
 
 
 @pytest.mark.parametrize("key", HOT)
@@ -15,6 +16,12 @@ def test_no_cross_product(spark, key):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("key", ["similarity_join", "feature_audit", "snapshot_diff", "mapping_unmatched"])
+def test_no_window_over_all_rows(spark, key):
+    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan or "Window" not in plan
+
+
 def test_scan_reads_only_needed_columns(spark):
     plan = entry.queries()["accuracy_suite"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
