@@ -234,13 +234,46 @@ def _(src):
 
 # ------------------------------------------------------------------- profiles
 
-@query("ssp_pca")
-def _(src):
-    """Components on the training entities, projection of all entities."""
+def _profile(src):
+    """Components on the training entities, and all entities."""
     fp = materialize(src.fps)
     train = src.sealed.where("sealed_test = 0").select("a", "b")
-    ref = fp.join(P.entity_universe(train), "entity_id", "left_semi")
-    return ProfilePCA(ref, 10, iterations=1).transform(fp)
+    ref = materialize(fp.join(P.entity_universe(train), "entity_id", "left_semi"))
+    return ProfilePCA(ref, 50, iterations=2), fp, ref
+
+
+@query("ssp_pca")
+def _(src):
+    """Projection of all entities."""
+    pca, fp, _ = _profile(src)
+    return pca.transform(fp)
+
+
+@query("ssp_pca_report", """
+with u as (select a as e from v_sealed where sealed_test = 0 union select b from v_sealed where sealed_test = 0), r as (select count(*) as n from v_fp where entity_id in (select e from u))
+select cast(unnest(range(1, cast(least(50, n) as bigint) + 1)) as bigint) as component, n as n_reference, true as is_orthonormal, true as has_its_variance, true as is_in_order from r""")
+def _(src):
+    """What the components must hold: unit length and right angles, projections of the reference entities that are
+    centred, uncorrelated, and have the variance that the fit states, the largest first."""
+    pca, _, ref = _profile(src)
+    k, want = pca.k, pca.explained_variance
+    flat = lambda df, c: df.select(F.posexplode(c).alias("i", "x"), "entity_id")
+
+    def products(df, c):
+        one, two = flat(df, c), flat(df, c).select(F.col("i").alias("j"), F.col("x").alias("z"), "entity_id")
+        return one.join(two, "entity_id").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("z")).alias("s"))  # k x k
+
+    same = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    unit = products(pca.components, "v").groupBy("i").agg(F.every(F.abs(F.col("s") - same) < 1e-6).alias("is_orthonormal"))
+    scores = materialize(pca.transform(ref))
+    stated = src.spark.createDataFrame([(i, float(v), bool(i == 0 or v <= want[i - 1])) for i, v in enumerate(want)], "i int, variance double, is_in_order boolean")  # a row per component
+    spread = products(scores, "pc").join(stated, "i")
+    held = F.abs(F.col("s") / (pca.n - 1) - same * F.col("variance")) < 1e-6 * float(want[0])
+    spread = spread.groupBy("i", "is_in_order").agg(F.every(held).alias("held"))
+    centred = flat(scores, "pc").groupBy("i").agg((F.abs(F.avg("x")) < 1e-6 * float(want[0]) ** 0.5).alias("centred"))
+    out = unit.join(spread, "i").join(centred, "i")
+    return out.select((F.col("i") + 1).cast("bigint").alias("component"), F.lit(pca.n).cast("bigint").alias("n_reference"), "is_orthonormal",
+                      (F.col("held") & F.col("centred")).alias("has_its_variance"), "is_in_order")
 
 
 # -------------------------------------------------------------- fused features
