@@ -50,6 +50,17 @@ def materialize(df: DataFrame) -> DataFrame:
     a table with known size instead of recomputing the plan, and a lost
     executor costs nothing.
     """
-    path = f"{work_dir(df.sparkSession)}/pairgrade/{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/pairgrade/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> bool:
+    """Delete the intermediate tables of this application, for use when its results are written; DataFrames that read
+    them end.  False where there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
