@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairgrade.functions.hashing import md5_leading
 from pairgrade.operators import halves as H, referral as R
 
 RUN = ["m", "seed"]
@@ -15,6 +16,27 @@ def draw(*parts):
     return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
 
 
+def test_array_md5_equals_hashlib():
+    heads = [f"A|1|{r}|".encode() for r in range(9, 12)] + [b"", "é|".encode(), b"x" * 54, b"y" * 70]
+    tails = [str(i).encode() for i in (0, 7, 99, 100, 123456)] + [b"", "ü".encode(), b"z" * 55]
+    want = [[int(hashlib.md5(h + t).hexdigest()[:16], 16) for h in heads] for t in tails]
+    assert md5_leading(heads, tails).tolist() == want and md5_leading(heads, []).shape == (0, 7)
+
+
+def test_no_task_holds_a_run_in_all_repeats(spark, monkeypatch):
+    """Cells travel in blocks of repeats, and there are few until an interval is known to hold a threshold."""
+    rows = rows_of(spark, 3000, ties=10**6)
+    sides = H.Sides(H.half_cuts(rows, RUN, 25, "row_id"), 25, ["row_id"])
+    made = []
+    cells = H.cells
+    monkeypatch.setattr(H, "cells", lambda *a: made.append(cells(*a)) or made[-1])
+    monkeypatch.setattr(H, "CELL_ROWS", 8)
+    assert H.evaluate(rows, RUN, sides).count() == 2 * 25 * 16
+    wide, narrow, exact = (x.select("bucket", "block", "low", F.length("sums").alias("size")).toPandas() for x in made)
+    assert set(wide["block"]) == {0, 1, 2} and wide["size"].max() == 2 * H.REP_BLOCK * 8
+    assert len(wide[wide["block"] == 0]) < 1500 and (narrow["bucket"] > H.NARROW // 2).all() and len(exact) < 3 * 3060
+
+
 def rows_of(spark, n=400, ties=40, seed=0):
     g = np.random.default_rng(seed)
     rows = []
