@@ -211,6 +211,24 @@ def test_profile_components_match_svd(spark):
         assert abs(np.corrcoef(pc[:, j], want[:, j])[0, 1]) > 0.999
 
 
+def test_draws_of_a_bucket_are_counted_at_once(spark, monkeypatch):
+    """Blocks of draws grow with the rows; each must not cost a vector of the whole bucket."""
+    monkeypatch.setattr(B, "DRAW_BLOCK", 7)
+    draws = B._draw_blocks(spark, 60, 120, 0).toPandas()
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or count(*a, **k))
+    times = B._times(draws, 120)
+    assert len(draws) == 9 * 3 and len(calls) == 1 and (times.sum(0) == 60).all()
+    ids = spark.range(60).withColumnRenamed("id", "row_id")
+    pos = {r["row_id"]: r["pos"] for r in B.hash_positions(ids).collect()}
+    plain = {(r["rep"], r["row_id"]): r["m"] for r in B.hash_multiplicities(ids, 120, 0).collect()}
+    assert all(times[pos[i], rep] == plain.get((rep, i), 0) for i in range(60) for rep in range(120))
+    rows = spark.createDataFrame([(np.array(v, ">u2").tobytes(),) for v in ([0, 3, 9], [12, 0, 300])], "times binary")
+    got = [tuple(r["t"]) for r in rows.select(B.times_digest(F.col("times")).alias("t")).collect()]
+    md5 = lambda x: __import__("hashlib").md5(x).hexdigest()
+    assert sorted(got) == [(12, 2, md5(b"0,3,9")), (312, 2, md5(b"12,0,300"))]
+
+
 def test_similarity_tiles_equal_brute_force(spark):
     g = np.random.default_rng(1)
     m = g.random((30, 50)) < 0.3
