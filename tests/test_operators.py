@@ -244,6 +244,14 @@ def test_similarity_tiles_equal_brute_force(spark):
     assert seen == 30 * 20
 
 
+def test_a_task_holds_one_similarity_tile(spark):
+    """No Arrow batch of tiles: each is a group of its own."""
+    fp = spark.createDataFrame([(f"E{i:02d}", [i % 7]) for i in range(40)], "entity_id string, bits array<bigint>")
+    plan = X.similarity_cross(fp, fp, block_rows=4)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "ArrowEvalPython" not in plan
+    assert X.similarity_cross(fp, fp.limit(0)).count() == 0
+
+
 def test_similarity_join_equals_brute_force(spark):
     g = np.random.default_rng(3)
     m = g.random((90, 40)) < g.random((90, 1)) * 0.6
