@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -246,10 +247,12 @@ class Tokenizer:
     def words(self, text: Column) -> Column:
         return F.coalesce(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), F.array().cast("array<string>"))
 
-    def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
-        """`docs` with the tokens of `text` in the array column `ids`."""
+    def encode(self, docs: DataFrame, text: str, ids: str, keep: Sequence[str] | None = None) -> DataFrame:
+        """`docs` with the tokens of `text` in the array column `ids`; keep: the columns that go with them, else all.
+        What is kept travels to the tasks' Python and back, beside the words."""
+        keep = [c for c in (docs.columns if keep is None else keep) if c != ids]
         shared = ship(docs.sparkSession, Coder(self.pairs.to_numpy(), self.first.to_numpy(), self.bits))
-        rows = docs.select(F.struct(*docs.columns).alias("row"), self.words(F.col(text)).alias("words"))
+        rows = docs.select(F.struct(*keep).alias("row"), self.words(F.col(text)).alias("words"))
         schema = rows.select("row").withColumn("ids", F.array().cast("array<int>")).schema
 
         def run(batches):
@@ -263,8 +266,9 @@ class Tokenizer:
                     part = b.slice(lo, hi - lo)
                     yield pa.RecordBatch.from_arrays([part.column("row"), coder.encode(words.values.slice(off[lo], off[hi] - off[lo]), off[lo:hi + 1] - off[lo])], names=["row", "ids"])
                     lo = hi
+                pa.default_memory_pool().release_unused()
 
-        return rows.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != ids), F.col("ids").alias(ids))
+        return rows.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in keep), F.col("ids").alias(ids))
 
     def decode(self, rows: DataFrame, ids: str, out: str) -> DataFrame:
         """`rows` with the binary column `out`, the bytes of `ids`."""
