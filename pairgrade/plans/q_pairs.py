@@ -43,7 +43,7 @@ with s as (
   union all select 'dedup' as stage, y, count(*) as n from v_pairs group by y)
 select stage, y, n, n / cast(sum(n) over (partition by stage) as double) as share from s""")
 def _(src):
-    return P.stage_distribution(src.labelled, "id1", "id2", "ingest_pos", "tier")
+    return P.stage_distribution(src.labelled_pairs, "pair_a", "pair_b", "ingest_pos", "tier", ordered=True)
 
 
 _AUDIT = """
