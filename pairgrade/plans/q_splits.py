@@ -73,7 +73,7 @@ r as (select *, row_number() over (partition by y order by md5(concat_ws('|', '4
 select r.a, r.b, r.y, case when g.plain = 1 then rn_all <= (n_all + 9) // 10 else rn <= quota end as is_val
 from r join q on r.y = q.y cross join g""")
 def _(src):
-    kk = materialize(src.cold().where("seed = 42 and part = 'KK'").select("a", "b", "y"))
+    kk = materialize(src.cold(seeds=(42,)).where("seed = 42 and part = 'KK'").select("a", "b", "y"))
     return S.stratified_or_plain_cut(kk, "y", IDS, 42, S.ceil_share(1, 10), "is_val")
 
 
