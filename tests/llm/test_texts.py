@@ -294,3 +294,20 @@ def test_bpe_like_the_library(spark, docs):
         ids = enc.encode_ordinary(held[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(held[r.doc_id].encode()).hexdigest()
+
+
+def test_word_bits_do_not_depend_on_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [a + b for a in "abcdefgh" for b in "klmnop"]
+    texts = [" ".join("the" if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randrange(1, 80))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts + texts[:5] + [None, ""]], "text string")
+    model = perplexity.fit(rows)
+    bits = lambda df, **how: {r["own"]: r["mean_bits"] for r in wordmodel.word_bits(df, model, perplexity.spelling, **how).collect()}
+    want = bits(rows)
+    assert len(want) == len(set(texts))
+    monkeypatch.setattr(wordmodel, "SEND", 500)
+    for bucket in (3000, 400):  # "the" lies in several shards
+        assert bits(rows.repartition(5), bucket=bucket) == want
+    plan = wordmodel.word_bits(rows, model, perplexity.spelling, bucket=400)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
