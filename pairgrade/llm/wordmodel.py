@@ -133,14 +133,16 @@ def _pack(held: dict[int, list], buckets: int, hot: np.ndarray, shards: np.ndarr
     after, low = (np.concatenate([x[i] for x in held.values()]) for i in (0, 1))
     before = np.r_[START, after[:-1]]
     before[np.cumsum(size) - size] = START
-    doc = np.repeat(np.arange(len(own)), size)
+    doc = np.repeat(np.arange(len(own), dtype=np.int32), size)
     after = after >> np.uint64(40)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, before), len(hot) - 1)
         before = before + after % np.where(hot[at] == before, shards[at], 1).astype(np.uint64) * GOLDEN
     key = flat.mix(before) & ~np.uint64(0xFFFFFF) | after
+    del before, after
     order = np.argsort(key, kind="stable")
     key, low, doc = key[order], low[order], doc[order]
+    del order
     new_after = np.r_[True, key[1:] != key[:-1]]
     before = key >> np.uint64(24)
     new_before = np.r_[True, before[1:] != before[:-1]]
@@ -214,10 +216,13 @@ def _merged(g: pd.DataFrame):
     pair = np.empty(len(order), np.int64)
     pair[order] = np.cumsum(first) - 1
     at = np.flatnonzero(first)
+    low = np.minimum.reduceat(low[order], at)
+    key = key[at] >> np.uint64(24)
+    del order, first
     pair = np.repeat(pair, size)
     side, n = half[doc], times[doc]
     counts = [np.bincount(pair[side == m], n[side == m], len(at)) for m in (0, 1)]
-    return key[at] >> np.uint64(24), np.minimum.reduceat(low[order], at), counts, pair, doc, side, cut
+    return key, low, counts, pair, doc, side, cut
 
 
 COUNTED = "word int, half int, n1 long, n2 long, n3 long, n4 long, more long, total long"
