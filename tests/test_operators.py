@@ -419,6 +419,32 @@ def test_runs_restart_and_every_run_has_a_status(spark, tmp_path):
     assert len(calls) == 6 and all(r["state"] == "ok" and r["n_rows"] == 30 for r in second)
 
 
+def test_runs_are_trained_at_the_same_time(spark, tmp_path):
+    import threading
+
+    from tests.test_boosting import make
+
+    bits, dense, y, _ = make(60, 4)
+    rows = [(f"A{i}", "B", int(c), -1 if i % 5 == 0 else i % 2 + 1, b, [0.0] * 24) for i, (b, c) in enumerate(zip(bits, y))]
+    d = spark.createDataFrame(rows, "a string, b string, y bigint, fold bigint, bits array<int>, dense array<double>").cache()
+    both = threading.Barrier(2, timeout=60)
+
+    def fit(train, valid, seed):
+        both.wait()  # broken if one run is not begun before another ends
+        return Md.boosted_classifier(train, valid=valid, rounds=1, depth=2, seed=seed)
+
+    out = Md.train_runs(d, {"forest": fit}, [1], str(tmp_path / "store"), n_folds=2).collect()
+    assert [(r["state"], r["n_rows"]) for r in out] == [("ok", 12)] * 2
+
+    one = Md.assemble(d.select("*", *[F.get("dense", F.lit(j)).alias(c) for j, c in enumerate(Md.BIO)]), with_fp=False).select("a", "b", "y", "fold", "features").cache()
+
+    def forest(train, seed):
+        both.wait()
+        return Md.tree_classifier(train, trees=1, depth=2, seed=seed)
+
+    assert Md.cv_train_eval(one, {"forest": forest}, [1], str(tmp_path / "runs"), n_folds=2).count() == 24
+
+
 def test_audit_finds_each_fault_and_no_other(spark):
     from pairgrade.operators import quality as Q
 
