@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pairgrade.functions.text import normalize_alias
 from pairgrade.operators import (bootstrap as B, features as X, graph as G, ingest as I, label as L, mapping as Mp,
                                  metrics as M, models as Md, pairs as P, quality as Q, runs as R, scoring as C, splits as S)
@@ -419,6 +420,29 @@ def test_runs_restart_and_every_run_has_a_status(spark, tmp_path):
     assert len(calls) == 6 and all(r["state"] == "ok" and r["n_rows"] == 30 for r in second)
 
 
+def test_similarity_links_count_the_join_with_a_row_for_each_entity(spark):
+    g = np.random.default_rng(4)
+    m = g.random((120, 50)) < g.random((120, 1)) * 0.6
+    m[20:60] = m[20]  # a class of 40 entities: 1,600 pairs in the join
+    m[70] = False
+    fp = spark.createDataFrame([(f"E{i:03d}", [int(b) for b in g.permutation(np.flatnonzero(m[i]))]) for i in range(120)], "entity_id string, bits array<bigint>")
+    ref = fp.where("entity_id < 'E090'")
+    equal = {}
+    for i in range(120):
+        equal.setdefault(m[i].tobytes(), f"E{i:03d}")
+    for num, den, rows in ((3, 10, 1024), (1, 2, 7), (9, 10, 1)):
+        out = X.similarity_links(fp, ref, num, den, rows)
+        got = {r["entity_id"]: (r["class_id"], r["n_links"]) for r in out.collect()}
+        both, union = (m[:, None] & m[None, :90]).sum(2), (m[:, None] | m[None, :90]).sum(2)
+        n = ((union > 0) & (den * both >= num * union)).sum(1)
+        assert got == {f"E{i:03d}": (equal[m[i].tobytes()], n[i]) for i in range(120)} and out.count() == 120
+    joined = {r["entity_id"]: r["count"] for r in X.similarity_join(fp, ref, 9, 10).groupBy("entity_id").count().collect()}
+    assert joined == {e: k for e, (_, k) in got.items() if k}
+    assert X.similarity_links(fp.limit(0), ref).count() == 0 and X.similarity_links(fp, ref.limit(0)).agg(F.sum("n_links")).first()[0] == 0
+    # Rows follow the entities: the query's result has one for each.
+    assert entry.queries()["similarity_join"](spark, SF).groupBy().agg(F.count_distinct("entity_id") == F.count("*")).first()[0]
+
+
 def test_runs_are_trained_at_the_same_time(spark, tmp_path):
     import threading
 
