@@ -420,6 +420,21 @@ def test_runs_restart_and_every_run_has_a_status(spark, tmp_path):
     assert len(calls) == 6 and all(r["state"] == "ok" and r["n_rows"] == 30 for r in second)
 
 
+def test_cluster_vectors_travel_short_and_unsorted(spark):
+    m = np.random.default_rng(1).poisson(1, (3, 1000))
+    m[1, 5], m[2] = 300, 255
+    raw = pd.Series([x.astype(">u2").tobytes() for x in m])
+    short = B._shortened(raw)
+    assert all((B._restored(x) == y).all() for x, y in zip(short, m)) and len(short[0]) < 300  # 2,000 bytes before
+    assert (B._restored(B._shortened(pd.Series([b""]))[0]) == []).all()
+    al = spark.createDataFrame([("x", f"e{i % 7}", f"e{i % 5}", i % 3, i % 2, i % 4) for i in range(60)], "k string, a string, b string, y_true bigint, pred_a bigint, pred_b bigint")
+    ids = al.select(F.explode(F.array("a", "b")).alias("entity_id"))
+    got = B.cluster_vectors(al, ["k"], 9)
+    want = B.cluster_cells(al, B.hash_multiplicities(ids, 9, 0, [], "entity_id"), ["k"])
+    rows = lambda d: sorted(tuple(r[c] for c in ("k", "rep", "y_true", "pred_a", "pred_b", "n")) for r in d.collect())
+    assert rows(got) == rows(want)
+
+
 def test_similarity_links_count_the_join_with_a_row_for_each_entity(spark):
     g = np.random.default_rng(4)
     m = g.random((120, 50)) < g.random((120, 1)) * 0.6
