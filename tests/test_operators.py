@@ -454,8 +454,15 @@ def test_similarity_links_count_the_join_with_a_row_for_each_entity(spark):
     joined = {r["entity_id"]: r["count"] for r in X.similarity_join(fp, ref, 9, 10).groupBy("entity_id").count().collect()}
     assert joined == {e: k for e, (_, k) in got.items() if k}
     assert X.similarity_links(fp.limit(0), ref).count() == 0 and X.similarity_links(fp, ref.limit(0)).agg(F.sum("n_links")).first()[0] == 0
-    # Rows follow the entities: the query's result has one for each.
-    assert entry.queries()["similarity_join"](spark, SF).groupBy().agg(F.count_distinct("entity_id") == F.count("*")).first()[0]
+
+
+def test_similarity_join_query_has_a_row_for_each_similar_pair(spark):
+    """Not one for each entity: every pair of the product that is similar enough, and no other."""
+    bits = {r["entity_id"]: set(r["bits"]) for r in Inputs(spark, SF).fps.collect()}
+    got = {(r["entity_id"], r["ref_id"]): (r["shared"], r["sim"]) for r in entry.queries()["similarity_join"](spark, SF).collect()}
+    refs = {e for _, e in got}
+    want = {(e, r): (len(bits[e] & bits[r]), len(bits[e] & bits[r]) / len(bits[e] | bits[r])) for e in bits for r in refs}
+    assert len(refs) > 1 and got == {k: v for k, v in want.items() if v[1] >= 0.3} and len(got) > len(bits)
 
 
 def test_runs_are_trained_at_the_same_time(spark, tmp_path):
