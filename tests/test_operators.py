@@ -212,6 +212,23 @@ def test_profile_components_match_svd(spark):
         assert abs(np.corrcoef(pc[:, j], want[:, j])[0, 1]) > 0.999
 
 
+def test_profile_products_come_in_few_large_tiles(spark):
+    """The thin matrix travels once for each block of entities: their number must not grow with the rows."""
+    g = np.random.default_rng(12)
+    m = g.random((150, 40)) < 0.3
+    m[7] = False
+    fp = spark.createDataFrame([(f"E{i:03d}", [int(b) for b in np.flatnonzero(m[i])]) for i in range(150)], "entity_id string, bits array<bigint>")
+    pca = ProfilePCA(fp.where("entity_id < 'E140'"), 3, iterations=1, block_rows=2)
+    assert pca.blocks.count() <= 18
+    thin = g.normal(size=(140, 4))
+    got = pca._product(fp, spark.createDataFrame([(f"E{i:03d}", [float(x) for x in thin[i]]) for i in range(140)], "entity_id string, v array<double>"))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {r["entity_id"]: r["v"] for r in got.collect()}
+    both = (m[:, None] & m[None, :140]).sum(2)
+    want = both / np.maximum((m[:, None] | m[None, :140]).sum(2), 1e-8) @ thin
+    assert len(got) == 150 and np.allclose([got[f"E{i:03d}"] for i in range(150)], want, atol=1e-4)
+
+
 def test_draws_of_a_bucket_are_counted_at_once(spark, monkeypatch):
     """Blocks of draws grow with the rows; each must not cost a vector of the whole bucket."""
     monkeypatch.setattr(B, "DRAW_BLOCK", 7)
