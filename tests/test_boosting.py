@@ -104,3 +104,26 @@ def test_odd_rows(spark):
     assert len(model.rounds) == 2
     assert model.predict(odd, ["a"]).where("size(p) = 3").count() == 40
     assert B.fit(df.limit(0), 12, 2, classes=3, rounds=2).rounds == []
+
+
+def test_fits_leave_no_tables(spark, monkeypatch):
+    """Rows are written again every few rounds: the copies must not stay on disk."""
+    import os
+    from pairgrade import session
+    from pairgrade.operators import perceptron as P
+
+    home = session._tables(spark).removeprefix("file:")
+    held = lambda: set(os.listdir(home)) if os.path.isdir(home) else set()
+    kept = session.materialize(spark.range(5))
+    before, most, write = held(), [], B.materialize
+
+    def counted(df):
+        most.append(len(held() - before))
+        return write(df)
+
+    monkeypatch.setattr(B, "materialize", counted)
+    monkeypatch.setattr(B, "SAVE", 1)
+    rows = frame(spark, *make(200, 3))
+    model = B.fit(rows, 12, 2, classes=3, rounds=4, depth=2)
+    P.fit(rows, 12, 2, hidden=(4,), classes=3, epochs=1)
+    assert len(model.rounds) == 4 and len(most) == 5 and max(most) <= 1 and held() == before and kept.count() == 5
