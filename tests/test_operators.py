@@ -563,3 +563,16 @@ def test_pairs_carry_numbers_for_names(spark):
     ends = X.bio_entities(sets)
     assert all(f.dataType.elementType.simpleString() == "int" for f in ends.schema if f.dataType.typeName() == "array")
     assert ends.count() == sets.count()
+
+
+def test_negative_candidates_carry_small_numbers(spark, monkeypatch):
+    """Bits of two bytes and a number for each name travel with a candidate; the rows are those of the wide columns."""
+    from pairgrade.operators import negatives as N
+
+    fp = spark.createDataFrame([(f"E{i:02d}", [i % 9, 100 + i % 4, 200 + i]) for i in range(30)], "entity_id string, bits array<bigint>")
+    sets = spark.createDataFrame([(f"E{i:02d}", [f"x{i % 5}"], [f"t{i % 3}"]) for i in range(30)], "entity_id string, enzyme_all array<string>, target_all array<string>")
+    seen, plain = [], N.attr_disjoint
+    monkeypatch.setattr(N, "attr_disjoint", lambda c, s: seen.append((s, "smallint" in c._jdf.queryExecution().analyzed().toString())) or plain(c, s))
+    got = {(r["a"], r["b"]) for r in N.negative_sampling(fp, fp.limit(0).selectExpr("entity_id as a", "entity_id as b"), sets, 20).collect()}
+    assert seen[0][1] and dict(seen[0][0].dtypes)["enzyme_all"] == "array<int>"
+    assert len(got) == 20 and all(a < b and (int(a[1:]) - int(b[1:])) % 5 and (int(a[1:]) - int(b[1:])) % 3 for a, b in got)
